@@ -109,21 +109,15 @@ class Words:
         return at, mix(w[at])
 
     def joined(self, keep: np.ndarray | None = None) -> tuple[memoryview, np.ndarray]:
-        """The words (with ``keep`` only some), each followed by one space; and where documents begin in them."""
-        mark = np.zeros(self.size + 2, np.int8)
+        """The words (with ``keep`` only some), each followed by one space; and where each word begins in them."""
         s, e = (self.starts, self.ends) if keep is None else (self.starts[keep], self.ends[keep])
-        size = np.zeros(len(self.starts) + 1, np.int64)
-        if keep is None:
-            size[1:] = self.ends - self.starts + 1
-        else:
-            size[1:] = np.where(keep, self.ends - self.starts + 1, 0)
-        where = np.cumsum(size)
-        np.add.at(mark, s, 1)
-        np.add.at(mark, e, -1)
-        out = np.full(int(where[-1]), 0x20, np.uint8)
-        taken = self.buf[: self.size + 2][np.cumsum(mark, dtype=np.int8).astype(bool)]
-        # in ``out`` every place but the one after each word takes the next kept byte
-        place = np.ones(len(out), bool)
-        place[np.cumsum(size[1:][size[1:] > 0]) - 1] = False
-        out[place] = taken
-        return memoryview(out), where[self.first]
+        place = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum((self.ends - self.starts + 1) * (1 if keep is None else keep), out=place[1:])
+        mark = np.zeros(self.size + 2, np.int8)  # a word may begin where one of the text before ends
+        mark[s] += 1
+        mark[e] -= 1
+        out = np.full(int(place[-1]), 0x20, np.uint8)
+        filled = np.ones(len(out), bool)
+        filled[np.cumsum(e - s + 1) - 1] = False
+        out[filled] = self.buf[: self.size + 2][np.cumsum(mark, dtype=np.int8).view(bool)]
+        return memoryview(out), place
