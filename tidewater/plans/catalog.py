@@ -1,10 +1,4 @@
 """All registered queries of the library, with their SQL equivalents."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import events, star, vectors  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
