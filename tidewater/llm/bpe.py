@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ from .words import text_column
 
 #: Pieces whose ids a Python worker remembers at once; then it starts anew. Bounds memory, not results.
 PIECES_KEPT = 300_000
+#: The same for pairs of tokens.
+PAIRS_KEPT = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -39,39 +42,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: The rank of pairs that do not merge; the lengths to try where no longer token ends.
+NEVER, _SHORT = 1 << 60, (2, 1)
+
+
 def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if best == 1 << 60:
-            break
+    pairs = [ranks.get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) < NEVER:
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = ranks.get(parts[at] + parts[at + 1], NEVER)
+        if at:
+            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], NEVER)
     return [ranks[p] for p in parts]
 
 
 class Vocabulary:
-    """Ranks, the bytes of each id, and which pairs of tokens merging leaves apart."""
+    """Ranks, the bytes of each id, and which pairs of tokens merging leaves as they are."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.of_id = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
-        self._alone: dict[bytes, bool] = {}
-
-    def alone(self, token: bytes) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        if (known := self._alone.get(token)) is None:
-            known = self._alone[token] = merge_by_rank(token, self.ranks) == [self.ranks[token]]
-        return known
-
-    def apart(self, a: bytes, b: bytes) -> bool:
-        """Whether merging the bytes of a and b gives the two tokens a, b."""
-        if (known := self._apart.get((a, b))) is None:
-            if len(self._apart) > 1_000_000:
-                self._apart.clear()
-            known = self._apart[a, b] = merge_by_rank(a + b, self.ranks) == [self.ranks[a], self.ranks[b]]
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], {1, 2}).add(len(token))
+        #: Last three bytes to the lengths of the tokens that can end there, longest first.
+        self.lengths = {k: sorted(x, reverse=True) for k, x in lengths.items()}
+        self.known: dict[tuple[bytes, bytes], bool] = {}
+
+    def fits(self, a: bytes, b: bytes) -> bool:
+        """Whether merging the bytes of a and b gives the two tokens a, b (only b, if a is empty)."""
+        if (known := self.known.get((a, b))) is None:
+            if len(self.known) > PAIRS_KEPT:
+                self.known.clear()
+            wanted = [self.ranks[a], self.ranks[b]] if a else [self.ranks[b]]
+            known = self.known[a, b] = merge_by_rank(a + b, self.ranks) == wanted
         return known
 
 
@@ -82,26 +93,34 @@ class PrefixEncoder:
         self.v, self.piece, self.last = vocabulary, b"", [b""]
         self.append(piece)
 
-    def _last(self, piece: bytes, last: list[bytes], i: int) -> bytes:
-        ranks, v = self.v.ranks, self.v
-        for n in range(min(i, v.longest), 0, -1):
-            token = piece[i - n : i]
-            if token in ranks and (v.alone(token) if n == i else v.apart(last[i - n], token)):
-                return token
-        raise ValueError(f"no token of the vocabulary ends at byte {i}")
+    def _grow(self, piece: bytes, last: list[bytes], begin: int, end: int) -> None:
+        """Adds to ``last`` the entries of the prefixes ``begin`` to ``end`` (inclusive)."""
+        v = self.v
+        ranks, lengths, known = v.ranks, v.lengths, v.known
+        for i in range(begin, end + 1):
+            for n in lengths.get(piece[i - 3 : i], _SHORT):
+                token = piece[i - n : i] if n <= i else b""
+                if token not in ranks:
+                    continue
+                pair = (last[i - n], token)  # the piece's first token follows the empty one
+                fits = known.get(pair)
+                if v.fits(*pair) if fits is None else fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token of the vocabulary ends at byte {i}")
 
     def append(self, more: bytes) -> None:
         begin = len(self.piece)
         self.piece += more
-        for i in range(begin + 1, len(self.piece) + 1):
-            self.last.append(self._last(self.piece, self.last, i))
+        self._grow(self.piece, self.last, begin + 1, len(self.piece))
 
     def edit(self, at: int, gone: int, new: bytes) -> int:
         """Replace ``gone`` bytes at ``at`` by ``new``; returns how many entries were computed anew."""
         piece = self.piece[:at] + new + self.piece[at + gone :]
         last, shift, same = self.last[: at + 1], gone - len(new), 0
         for i in range(at + 1, len(piece) + 1):
-            last.append(self._last(piece, last, i))
+            self._grow(piece, last, i, i)
             inside = i > at + len(new)
             same = same + 1 if inside and last[i] == self.last[i + shift] else 0
             if same >= self.v.longest:
@@ -134,7 +153,7 @@ class _Pieces(dict):
         raw = piece.encode()
         whole = self.v.ranks.get(raw)
         ids = [whole] if whole is not None else PrefixEncoder(self.v, raw).ids()
-        packed = b"".join(x.to_bytes(4, "little") for x in ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = packed
         return packed
