@@ -6,10 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, mixing, quality_rules, queries, secrets, simhash, store
-
-#: Words in a shingle of the near-dedup stage.
-SHINGLE = 5
+from tidewater.llm import bpe, mixing, near_copies, quality_rules, queries, secrets, store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near copies: that of the smallest id."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    """Leaves one document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ SALTS = 4
 PAIRS = 1 << 21
 
 
-def fingerprint(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of whole texts, as uint64."""
+def shingle_hashes(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of whole texts, and where each text's begin in them (one more entry than texts)."""
     import xxhash
 
     w = Words(texts)
@@ -53,17 +53,26 @@ def fingerprint(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     begin = np.concatenate([[0], np.cumsum(shingles)])
     word = np.repeat(w.first[:-1] - begin[:-1], shingles) + np.arange(begin[-1])
     last = np.minimum(word + shingle, np.repeat(w.first[1:], shingles))
-    h, out = xxhash.xxh64_intdigest, np.zeros(w.n, np.uint64)
-    if not len(word):
-        return out
-    hashes = np.fromiter((h(raw[a:b], SEED) for a, b in zip(place[word].tolist(), (place[last] - 1).tolist(), strict=True)), np.uint64, len(word))
+    h = xxhash.xxh64_intdigest
+    return np.fromiter((h(raw[a:b], SEED) for a, b in zip(place[word].tolist(), (place[last] - 1).tolist(), strict=True)), np.uint64, len(word)), begin
+
+
+def majority(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text's shingle hashes."""
+    shingles, out = np.diff(begin), np.zeros(len(begin) - 1, np.uint64)
     full = np.flatnonzero(shingles)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, begin[:-1][full], axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * counts > shingles[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    if len(full):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, begin[:-1][full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * counts > shingles[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def fingerprint(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """Fingerprints of whole texts, as uint64."""
+    return majority(*shingle_hashes(texts, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (the 64 bits as a signed long). Narrow: no shuffle."""
 
@@ -118,7 +127,7 @@ class Covering:
             yield k, home, np.concatenate(rows), np.concatenate(visited)
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every node of the graph a-b to the smallest node connected to it."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y, label = inv[: len(a)], inv[len(a) :], np.arange(len(nodes))
@@ -159,7 +168,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray
         v = visits[np.repeat(first[group[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         near = (np.bitwise_count(fp[h] ^ fp[v]) <= distance) & (node[h] != node[v])
         if near.any():
-            yield _stars(node[h[near]], node[v[near]])
+            yield stars(node[h[near]], node[v[near]])
         at = stop
 
 
@@ -221,11 +230,3 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     classes = reps.join(roots, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "node").alias("component_id"))
     joined = prints.join(classes, prints["fp"] == classes["__fp"], "left")
     return joined.select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each component left: that of the smallest id. Rows of one id are one document and stay
-    or go together; documents with a null id all stay. All columns stay."""
-    id_col = how.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **how).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
