@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import near_copies
@@ -66,3 +67,27 @@ def test_keep_one(spark, rows):
     assert sorted(r[0] for r in near_copies.keep_one(docs).collect() if r[0] is not None) == sorted(i for i, _ in rows if i is not None and classes[i] == i)
     assert near_copies.keep_one(docs).where("doc_id is null").count() == 2
     assert not near_copies.keep_one(docs.limit(0)).collect()
+
+
+def test_equal_minima_do_not_merge(spark):
+    """1 and 2 have equal minima but not equal sets; 3 is at 0.8 with 2 and below it with 1; 4 is an exact copy of 2."""
+    for seed in range(200):
+        rng = random.Random(seed)
+        base = [f"{rng.getrandbits(40):x}" for _ in range(204)]  # 200 shingles
+        texts = [" ".join([*base[:-1], "other"]), " ".join(base), " ".join(base[40:])]
+        keys = near_copies.signatures(*near_copies.shingle_hashes(pa.array(texts, pa.large_string()), 5))
+        if (keys[0] == keys[1]).all():
+            break
+    else:
+        raise AssertionError("no pair of texts with equal minima")
+    rows = list(enumerate([*texts, texts[1]], 1))
+    assert 5 * len(_shingles(texts[0]) & _shingles(texts[2])) < 4 * len(_shingles(texts[0]) | _shingles(texts[2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.components(docs).collect()} == _expected(rows) == dict.fromkeys(range(1, 5), 1)
+    assert [r["doc_id"] for r in near_copies.keep_one(docs).collect()] == [1]
+
+
+def test_set_digests():
+    hashes = near_copies.shingle_hashes(pa.array(["a b c d e a b c d e a b c d e", "b c d e a b c d e a b c d e a b c", "a b c d e", ""], pa.large_string()), 5)
+    one, two, three, four = near_copies.set_digests(*hashes)
+    assert one == two and len({one, three, four}) == 3 and len(one) == 16

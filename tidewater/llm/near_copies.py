@@ -5,7 +5,8 @@ bits, for which a covering by anchors replicates without bound. So candidates co
 and bands of minima of the same shingle hashes (``BANDS`` x ``ROWS``; a pair at similarity 0.8 is missed with
 probability (1 - 0.8^4)^16 = 0.0002), and every link is then checked exactly on whole texts:
 
-1. documents of one signature (all minima equal) are merged;
+1. documents with the same set of shingle hashes (by a 128-bit digest of the sorted set) are merged; equal minima alone
+   merge nothing, they only make candidates;
 2. a band's bucket gives each member an edge to its smallest one; with the covering's edges these make candidate components;
 3. components of over ``TILE`` members are cut into tiles, and each pair of tiles is compared in a task of its own, by
    products of incidence matrices in slices of the vocabulary, so that no task holds more than two tiles;
@@ -17,6 +18,7 @@ rows of one id are one document; documents with a null id link to nothing; extra
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,18 +39,22 @@ TILE = 256
 CELLS = 1 << 22
 
 
-def signatures(hashes: np.ndarray, begin: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: a hash of all minima, and one of each band's (texts, bands)."""
+def set_digests(hashes: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Of each text: a 128-bit digest of its sorted distinct shingle hashes."""
+    return [hashlib.blake2b(np.unique(hashes[a:b]).tobytes(), digest_size=16).digest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def signatures(hashes: np.ndarray, begin: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Of each text: a hash of each band's minima (texts, bands)."""
     full = np.flatnonzero(np.diff(begin))
-    whole, keys = np.zeros(len(begin) - 1, np.uint64), np.zeros((len(begin) - 1, bands), np.uint64)
+    keys = np.zeros((len(begin) - 1, bands), np.uint64)
     factors = np.random.default_rng(11).integers(1, 1 << 63, (bands, rows, 2)).astype(np.uint64)
     for b in range(bands):
         for a, c in factors[b]:
             if len(full):
                 low = np.minimum.reduceat(mix(hashes * (a | np.uint64(1)) + c), begin[:-1][full])
                 keys[full, b] = mix(keys[full, b] ^ low) + np.uint64(b)
-        whole = mix(whole ^ keys[:, b])
-    return whole, keys
+    return keys
 
 
 def _prints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -56,12 +62,12 @@ def _prints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 hashes, begin = shingle_hashes(text_column(part), shingle)
-                same, keys = signatures(hashes, begin)
+                same, keys = set_digests(hashes, begin), signatures(hashes, begin)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority(hashes, begin).view(np.int64)), pa.array(same.view(np.int64)), lists], names=["id", "fp", "same", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority(hashes, begin).view(np.int64)), pa.array(same, pa.binary()), lists], names=["id", "fp", "same", "keys"])
 
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, same long, keys array<long>")
+    return rows.mapInArrow(run, "id long, fp long, same binary, keys array<long>")
 
 
 def similar(ids: np.ndarray, side: np.ndarray, texts: pa.Array, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +101,8 @@ def similar(ids: np.ndarray, side: np.ndarray, texts: pa.Array, shingle: int, si
 def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id (smallest id reachable over links) for every row with an id."""
     spark = docs.sparkSession
-    prints = spark.read.schema("id long, fp long, same long, keys array<long>").parquet(written(_prints(docs, shingle, id_col, text_col), "signatures"))
-    reps = spark.read.schema("same long, node long, fp long, keys array<long>").parquet(written(prints.groupBy("same").agg(F.min(F.struct("id", "fp", "keys")).alias("r")).select("same", F.col("r.id").alias("node"), "r.fp", "r.keys"), "representatives"))
+    prints = spark.read.schema("id long, fp long, same binary, keys array<long>").parquet(written(_prints(docs, shingle, id_col, text_col), "signatures"))
+    reps = spark.read.schema("same binary, node long, fp long, keys array<long>").parquet(written(prints.groupBy("same").agg(F.min(F.struct("id", "fp", "keys")).alias("r")).select("same", F.col("r.id").alias("node"), "r.fp", "r.keys"), "representatives"))
     banded = reps.select("node", F.posexplode("keys").alias("band", "key"))
     hubs = banded.groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").drop("other")
     edges = banded.join(hubs, ["band", "key"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
