@@ -208,6 +208,13 @@ def test_licenses(spark, empty):
     assert not licenses.scan_licenses(empty).collect()
 
 
+@pytest.mark.parametrize("gap", ["  ", "\t", "\u00a0", "-", " - ", "_"])
+def test_licenses_odd_spacing(gap):
+    rules = licenses.Rules()
+    assert rules.scan(f"All rights{gap}reserved.") == (1, 1, [("proprietary", 0, 1)])
+    assert [rules.scan(part.replace(" ", gap))[1] for _, parts in licenses.RULES for part in parts if not re.search("[.!?] .", part)] == [1] * sum(not re.search("[.!?] .", part) for _, parts in licenses.RULES for part in parts)
+
+
 def _counts(text):
     w, t = words(text), text or ""
     n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))

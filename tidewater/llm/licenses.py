@@ -53,8 +53,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("Released under CC0 1.0.",)),
     ("proprietary", ("All rights reserved.",)),
 )
-#: Every known sentence holds one of these, so texts without any hold no known sentence.
-CUES = ("licens", "copyright", "cc0", "rights reserved", "free software", "without any warranty")
 _END = re.compile(r"\n|(?<=[.!?])[ \t\r\x0b\x0c]+")
 _PLAIN = re.compile(r"[^\W_]+")
 
@@ -71,21 +69,16 @@ def sentences(text: str) -> list[str]:
 class Rules:
     """Sentence identifiers and ordered rules over them."""
 
-    def __init__(self, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES, cues: tuple[str, ...] = CUES):
+    def __init__(self, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES):
         self.ids: dict[str, int] = {}
         self.rules: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
-        self.cues = re.compile("|".join(map(re.escape, cues)), re.IGNORECASE)
         ordered = [(name, tuple(x for part in parts for x in sentences(part))) for name, parts in rules]
         for name, parts in sorted(ordered, key=lambda r: -len(r[1])):
-            if not any(self.cues.search(p) for p in parts):
-                raise ValueError(f"a rule of {name} has no cue in any sentence")
             seq = tuple(self.ids.setdefault(p, len(self.ids) + 1) for p in parts)
             self.rules.setdefault(seq[0], []).append((name, seq))
 
     def scan(self, text: str) -> tuple[int, int, list[tuple[str, int, int]]]:
-        """Number of sentences (-1: no cue, not counted), of known ones, and (licence, first, end) of each match."""
-        if not self.cues.search(text):
-            return -1, 0, []
+        """Number of sentences, of known ones, and (licence, first, end) of each match."""
         seq = [self.ids.get(s, 0) for s in sentences(text)]
         out, at = [], 0
         while at < len(seq):
