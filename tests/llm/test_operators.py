@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 from pathlib import Path
 
@@ -215,6 +216,53 @@ def test_licenses_odd_spacing(gap):
     assert [rules.scan(part.replace(" ", gap))[1] for _, parts in licenses.RULES for part in parts if not re.search("[.!?] .", part)] == [1] * sum(not re.search("[.!?] .", part) for _, parts in licenses.RULES for part in parts)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = "This work is licensed under the GNU General\nPublic License, version 3.\nMore"
+MIT = licenses.long_rules()[0][1]
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- ", ";; ", "dnl ", "REM ", "> "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licenses_wrapped_commented_numbered(mark, end):
+    rules, found = licenses.Rules(), lambda text: [m[0] for m in licenses.Rules.scan(rules, text)[2]]
+    as_comment = lambda text: end.join(mark + line for line in text.split("\n"))
+    wrapped = lambda text, width: "\n".join(textwrap.wrap(text, width, break_on_hyphens=False))
+    assert found(as_comment("Copyright 2020 Foo\n" + APACHE)) == ["Apache-2.0"]
+    assert found(as_comment("Foo\n" + GPL)) == ["GPL-3.0"]
+    assert found(as_comment(GPL.replace("version 3.\n", "version\n3. "))) == ["GPL-3.0"]
+    assert found(as_comment("Header\nReleased under the MIT License\nint x;")) == ["MIT"]
+    for text in (BSD, BSD.replace("1. ", "(a) ").replace("2. ", "b) "), BSD.replace("1. ", "* ").replace("2. ", "- "), BSD.replace("\n2. ", "\n\n2. ")):
+        assert found(as_comment(text)) == ["BSD"]
+    for width in (40, 78, 10_000):
+        text = "MIT License\n\nCopyright (c) 2020 Foo\n\n" + "\n\n".join(wrapped(x, width) for x in (MIT[0], MIT[1], " ".join(MIT[2:])))
+        (match,) = rules.scan(as_comment(text))[2]
+        assert match[:2] == ("MIT", 2) and match[2] == len(licenses.pieces(as_comment(text)))
+    assert not found(as_comment("All rights\n\nreserved.")) and found(as_comment("All rights\nreserved.")) == ["proprietary"]
+    assert not found(as_comment("All rights reserved by Foo.")) and not found(as_comment("Not all rights reserved."))
+
+
+@pytest.mark.parametrize("name, file", [t[:2] for t in licenses.TEXTS])
+def test_licenses_full_text(name, file):
+    text = (Path(licenses.__file__).parent / "license_texts" / file).read_text()
+    rules = licenses.Rules()
+    for form in (text, "\n".join(f" * {x}" for x in text.split("\n")), "\n\n".join(" ".join(p.split("\n")) for p in re.split(r"\n[\W_]*\n", text))):
+        matches = rules.scan(form)[2]
+        assert matches[0][0] == name and matches[0][2] - matches[0][1] > 20
+
+
 def _counts(text):
     w, t = words(text), text or ""
     n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
