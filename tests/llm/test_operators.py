@@ -177,6 +177,21 @@ def test_nearest(spark):
     assert not nearest.search(df.limit(0), F.col("vec_id") % 20 == 0).collect()
 
 
+def test_nearest_repeated_rows(spark):
+    """30 rows of id 5, between rows of another vector of it, leave ids 6 and 7 of an equal vector in."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(2).normal(size=(40, 8))
+    far = (-x[0]).tolist()
+    data = [(0, x[0].tolist()), *[(5, v) for _ in range(30) for v in ([*x[0].tolist()], far)], (6, x[0].tolist()), (7, x[0].tolist()), *[(100 + i, far) for i in range(40)]]
+    got = nearest.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4, rerank=10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got][:3] == [5, 6, 7] and len(got) == 4
+    # a block of signed zeros: equal vectors in value
+    ids, v = np.array([1, 1, 1, 2, 3]), np.array([[0.0, 1.0], [-0.0, 1.0], [0.0, 1.0], [0.0, 1.0], [-0.0, 1.0]])
+    ((_, found, _),) = nearest._search(np.array([9]), v[:1], ids, v, np.zeros((5, 1), np.uint8), np.zeros((1, 1, 2)), 3, 10)
+    assert found.tolist() == [1, 2, 3]
+
+
 def test_quality_fm(docs, rows, empty, labels):
     machine = quality_fm.train(docs, labels)
     got = quality_fm.score(docs, machine).collect()

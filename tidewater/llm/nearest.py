@@ -9,7 +9,7 @@ distances, see :func:`approximate`), and the best ``RERANK`` of a block are scor
 Every row is indexed. Queries are searched against all rows in blocks: rows are dealt into blocks of about
 ``BLOCK_ROWS`` by id, queries into blocks of about ``BLOCK_QUERIES``, and each task meets one pair of blocks. A task
 returns its ``k`` best for a query, and a window takes the best of these. More than ``k + 1`` equal vectors of a block
-can't all be neighbours: those of the smallest ids stay, which loses nothing.
+can't all be neighbours: repeated rows of one id are removed, then those of the smallest ids stay, which loses nothing.
 
 Defined results: vectors null, of another length than most, with null or non-finite components or zero take no part,
 nor do rows without id; a query's own id is never its neighbour; ties go to the smaller id; equal rows of one id count
@@ -79,16 +79,15 @@ def approximate(table: np.ndarray, codes: np.ndarray, norms: np.ndarray | None =
 
 def _search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query: its id, neighbours of the block and their scores."""
-    order = np.lexsort((np.arange(len(ids)), ids))
-    ids, x, codes = ids[order], x[order], codes[order]
-    _, same = np.unique(np.ascontiguousarray(x).view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
-    by = np.lexsort((np.arange(len(ids)), same))
+    x = np.ascontiguousarray(x) + 0.0  # one zero, not two
+    _, same = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
+    by = np.lexsort((ids, same))
+    fresh = np.concatenate([[True], np.diff(same[by]) > 0])
+    by = by[fresh | np.concatenate([[True], np.diff(ids[by]) != 0])]  # equal rows of one id count once, before ranks
     first = np.flatnonzero(np.concatenate([[True], np.diff(same[by]) > 0]))
-    rank = np.empty(len(ids), np.int64)
-    rank[by] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    once = np.ones(len(ids), bool)
-    once[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)
-    keep = np.flatnonzero((rank <= k) & once)
+    rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    keep = by[rank <= k]
+    keep = keep[np.lexsort((same[keep], ids[keep]))]
     ids, x, codes = ids[keep], x[keep].astype(np.float64), codes[keep]
     tables = np.einsum("qd,mwd->qmw", q.astype(np.float64), books).astype(np.float32)
     most = min(rerank + 1, len(ids))
