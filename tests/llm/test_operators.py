@@ -217,6 +217,19 @@ def test_quality_fm_held_out(spark):
     assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() >= 0.9  # area under the curve
 
 
+def test_training_takes_one_row_of_an_id(spark, monkeypatch):
+    """Fits see one row of each sampled id, and of op8 no more than its first lines."""
+    data = [(1, f"good words here {i}\nand more of them") for i in range(50)] + [(2, "bad\n" * 30), (3, "other good words")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality_rules, "fit", lambda x, doc, label: seen.update(lines=np.bincount(doc).tolist()))
+    monkeypatch.setattr(quality_fm.Machine, "fit", lambda self, start, *rest: seen.update(rows=len(start) - 1))
+    quality_rules.fit_on(docs, labels, train_lines=10)
+    quality_fm.train(docs, labels)
+    assert seen == {"lines": [2, 10, 1], "rows": 3}
+
+
 def test_licenses(spark, empty):
     texts = {1: "A b.\nReleased under the MIT License. More", 2: None, 3: "", 4: "All rights reserved.\nThis  WORK is licensed under the GNU General Public License, version 3.", 5: "licensed under something"}
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}

@@ -5,7 +5,8 @@ half of sum_f ((sum_j v_jf x_j)^2 - sum_j v_jf^2 x_j^2). Inputs x: hashed words
 structure statistics (shares of upper-case, symbol, repeated words, of repeated lines, length) and metadata
 (the stored length ``n_chars``, where there is such a column). Labels, language, source and ids are never inputs.
 
-The machine is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``); scoring reads every whole text.
+The machine is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``; of repeated rows of one id the one of the
+smallest text and ``n_chars``); scoring reads every whole text.
 
 Defined results: a null or empty text is scored from its statistics alone; a null ``n_chars`` counts as 0;
 repeated rows get equal scores; without labels of both kinds every score is the share of good labels (0.5
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import FEATURES as LINE_FEATURES
-from .quality_rules import measure
+from .quality_rules import measure, one_each
 from .words import Words, mix, slices, text_column
 
 #: The most labelled rows that the machine is fitted on.
@@ -107,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     without the rows that are held out."""
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", *_inputs(docs)).join(F.broadcast(some), "doc_id")  # train_rows rows at most
+    rows = one_each(docs.select("doc_id", *_inputs(docs)).join(F.broadcast(some), "doc_id"))  # train_rows rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

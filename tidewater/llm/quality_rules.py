@@ -4,7 +4,8 @@ Base rules are counts over the whole text. The verdict comes from a linear-chain
 over the lines that hold a word: each line gets the label content or boilerplate, Viterbi decoding finds the
 likeliest sequence, and a document is kept if the share of its words in content lines reaches a threshold.
 
-The field is fitted on a bounded sample of labelled documents (``TRAIN_DOCS``), whose lines take the label of
+The field is fitted on a bounded sample of labelled documents (``TRAIN_DOCS``, of each its first ``TRAIN_LINES`` lines;
+of repeated rows of one id the one of the smallest text), whose lines take the label of
 their document: most lines of good documents are content, most lines of bad ones are not, and the clean lines
 inside bad ones are outvoted by those of the good ones. Without labels of both kinds, fixed prior weights hold.
 
@@ -25,6 +26,8 @@ from .words import Words, mix, slices, text_column
 
 #: The most labelled documents that the field is fitted on.
 TRAIN_DOCS = 1500
+#: The most lines of one of them that the field is fitted on: its first ones.
+TRAIN_LINES = 1000
 MIN_WORDS, MOST_REPEATED_PERCENT, CONTENT_SHARE = 50, 50, 0.5
 FEATURES = ("bias", "log_words", "upper", "symbols", "bangs", "same_as_before", "in_repeated", "duplicate", "digits", "ends_sentence")
 N = len(FEATURES)
@@ -174,11 +177,17 @@ def fit(x: np.ndarray, doc: np.ndarray, label: np.ndarray, rounds: int = 150, ra
     return theta
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: that of the smallest values, in the order of the columns."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *(F.col(f"r.{c}").alias(c) for c in others))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> np.ndarray:
     """Weights fitted on the ``train_docs`` labelled documents of smallest hash: a bounded sample."""
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # train_docs rows at most
+    joined = one_each(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id"))  # train_docs rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +195,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
                 _, x, _, doc = measure(text_column(part))
                 ids, quality = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "quality"))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array([x[a : min(b, a + train_lines)].astype("<f4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = sorted(joined.mapInArrow(run, "doc_id long, quality int, x binary").collect())
     x = [np.frombuffer(r["x"], "<f4").reshape(-1, N).astype(np.float64) for r in rows]
