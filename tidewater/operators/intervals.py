@@ -5,23 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How a point or an event lies in an interval: of the event's start and end, and the interval's (closed: both ends in).
+#: How a point or an event lies in an interval: of the event's start and end, and the interval's (closed: both ends in;
+#: early: may begin up to a second before, if it lasts beyond 50 ms after the begin).
 MODES = {
     "strict": lambda s, e, lo, hi: (s > lo) & (e < hi),
     "closed": lambda s, e, lo, hi: (s >= lo) & (s <= hi),
     "start": lambda s, e, lo, hi: (s > lo) & (s < hi),
     "half_open": lambda s, e, lo, hi: (s >= lo) & (s < hi),
+    "early": lambda s, e, lo, hi: (s > lo - 1) & (e > lo + 0.05) & (s < hi),
 }
+#: How far before its interval an event may start.
+REACH = {"early": 1.0}
+#: Intervals longer than this many buckets get buckets that are so many times wider, and so on.
+WIDER = 8
 
 
 def contained(events: DataFrame, intervals: DataFrame, by: list[str], start: str, end: str, low: str, high: str, mode: str = "strict", bucket: float = 3600.0) -> DataFrame:
     """Inner join of events with the intervals that contain them, on equal ``by``. Intervals are copied to each time
-    bucket that they touch, so the join has a key of (by, bucket); both sides shuffle once."""
-    at = lambda c: F.floor(F.col(c) / bucket)
-    right = intervals.withColumn("__bucket", F.explode(F.sequence(at(low), F.greatest(at(high), at(low)))))
-    left = events.withColumn("__bucket", at(start))
-    joined = left.join(right, [*by, "__bucket"])
-    return joined.where(MODES[mode](F.col(start), F.col(end), F.col(low), F.col(high))).drop("__bucket")
+    bucket that they touch, so the join has a key of (by, bucket); both sides shuffle once.
+
+    An interval longer than ``WIDER`` buckets is put into wider ones, so none makes more than ``WIDER`` + 2 rows; events are
+    copied once for each width that some interval needs (usually one; a handful at most, as widths grow by powers).
+    """
+    length = F.col(high) - F.col(low) + REACH.get(mode, 0.0)
+    level = F.greatest(F.ceil(F.log(F.greatest(length, F.lit(1e-9)) / (bucket * WIDER)) / F.log(F.lit(float(WIDER)))), F.lit(0)).cast("int")
+    levelled = intervals.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("__level", level)
+    levels = [r[0] for r in levelled.select("__level").distinct().collect()] or [0]  # the logarithms of lengths: a few numbers
+    width = lambda: F.lit(bucket) * F.pow(F.lit(float(WIDER)), F.col("__level"))
+    at = lambda c: F.floor(c / width())
+    first = at(F.col(low) - REACH.get(mode, 0.0))
+    right = levelled.withColumn("__bucket", F.explode(F.sequence(first, F.greatest(at(F.col(high)), first))))
+    left = events.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]))).withColumn("__bucket", at(F.col(start)))
+    joined = left.join(right, [*by, "__level", "__bucket"])
+    return joined.where(MODES[mode](F.col(start), F.col(end), F.col(low), F.col(high))).drop("__bucket", "__level")
 
 
 def assign(events: DataFrame, intervals: DataFrame, by: list[str], key: list[str], start: str, end: str, low: str, high: str, **how) -> DataFrame:
@@ -60,19 +76,23 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, values: li
 
 def windows(events: DataFrame, samples: DataFrame, by: list[str], key: list[str], onset: str, time: str, value: str, before: int, length: int, step: float, bucket: float = 3600.0) -> DataFrame:
     """Fixed-grid event-locked windows: an array of ``length`` values from ``before`` steps before the onset, half open;
-    the place is the half-even round; the latest sample wins a place; places without one are null."""
+    the place is the half-even round; the latest sample wins a place (of equal times the greatest value); places without one
+    are null."""
     low, high = F.col(onset) - before * step, F.col(onset) + (length - before) * step
     some = contained(samples.select(*by, time, value), events.select(*by, *key, onset).withColumns({"__low": low, "__high": high}), by, time, time, "__low", "__high", "half_open", bucket)
     place = F.bround((F.col(time) - F.col("__low")) / step).cast("int")
-    one = some.withColumn("__i", place).where(F.col("__i").between(0, length - 1)).groupBy(*key, "__i").agg(F.max_by(value, time).alias("__v"))
+    one = some.withColumn("__i", place).where(F.col("__i").between(0, length - 1)).groupBy(*key, "__i").agg(F.max(F.struct(time, value))[value].alias("__v"))
     maps = one.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))  # ``length`` entries at most
     grid = F.sequence(F.lit(0), F.lit(length - 1))
     return events.join(maps, key, "left").withColumn("window", F.transform(grid, lambda i: F.col("__m")[i])).drop("__m")
 
 
-def adjacent(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str) -> DataFrame:
-    """Pairs that touch exactly: the left row's time equals the right one's."""
-    return left.join(right.withColumnRenamed(right_time, left_time), [*by, left_time])
+def adjacent(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str]) -> DataFrame:
+    """Left rows with a right row that touches them exactly (the left row's time equals the right one's), with the right
+    row's ``values`` under new names. Of several that touch the smallest is taken."""
+    named = F.struct(*[F.col(old).alias(new) for old, new in values.items()])
+    first = right.groupBy(*by, F.col(right_time).alias(left_time)).agg(F.min(named).alias("__v"))
+    return left.join(first, [*by, left_time]).select(*left.columns, *[F.col(f"__v.{n}").alias(n) for n in values.values()])
 
 
 def bucketed_lookup(facts: DataFrame, dim: DataFrame, on: list[str], order: list[Column]) -> DataFrame:

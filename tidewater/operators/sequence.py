@@ -85,7 +85,45 @@ def robust_scale(df: DataFrame, by: list[str], value: str, name: str = "scaled")
     return df.join(q, by).withColumn(name, (F.col(value) - F.col("__q")[1]) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("__q")
 
 
-def displacement(df: DataFrame, by: list[str], order: list[str], axes: list[str]) -> DataFrame:
-    """Distance from the group's first row."""
+def displacement(df: DataFrame, by: list[str], order: list[str], axes: list[str], name: str = "displacement") -> DataFrame:
+    """Distance of each row from its group's first row. The first is aggregated with partial sums and joined."""
+    first = df.groupBy(*by).agg(F.min(F.struct(*order, *[F.col(a).alias(f"__{a}") for a in axes])).alias("__first"))
+    square = sum(((F.col(a) - F.col(f"__first.__{a}")) ** 2 for a in axes), F.lit(0.0))
+    return df.join(first, by).withColumn(name, F.sqrt(square)).drop("__first")
+
+
+def euler_angles(df: DataFrame, q1: str, q2: str, q3: str) -> DataFrame:
+    """roll, pitch and yaw in degrees of unit quaternions that are given by their last three parts."""
+    x, y, z = F.col(q1), F.col(q2), F.col(q3)
+    w = F.sqrt(F.greatest(1 - x * x - y * y - z * z, F.lit(0.0)))
+    pitch = F.asin(F.least(F.greatest(2 * (w * y - z * x), F.lit(-1.0)), F.lit(1.0)))
+    return df.withColumns({"roll": F.degrees(F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y))), "pitch": F.degrees(pitch), "yaw": F.degrees(F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)))})
+
+
+def repositioning(df: DataFrame, by: list[str], run: list[str], order: list[str], axes: list[str], first: int = 100) -> DataFrame:
+    """By group the standard deviation, over runs, of where each run begins: the medians of its first ``first`` rows."""
+    w = Window.partitionBy(*by, *run).orderBy(*order)
+    head = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= first)
+    begins = head.groupBy(*by, *run).agg(*[F.median(a).alias(a) for a in axes])
+    return begins.groupBy(*by).agg(F.count("*").alias("runs"), *[F.stddev_pop(a).alias(f"{a}_sd") for a in axes])
+
+
+def stability(df: DataFrame, by: list[str], axes: list[str], fit: str, least_fit: float = 0.95, least: int = 10) -> DataFrame:
+    """By group the standard deviation of each axis over well-fitted rows; groups of fewer than ``least`` are left out."""
+    return df.where(F.col(fit) >= least_fit).groupBy(*by).agg(F.count("*").alias("n"), *[F.stddev_pop(a).alias(f"{a}_sd") for a in axes]).where(F.col("n") >= least)
+
+
+def timeline(df: DataFrame, by: list[str], time: str) -> DataFrame:
+    """By group: rows, days from first to last, and median, quartiles, least and most of the whole days between rows."""
+    day = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400_000_000))
+    w = Window.partitionBy(*by).orderBy("__day")
+    gaps = df.select(*by, day.alias("__day")).withColumn("__gap", F.col("__day") - F.lag("__day").over(w))
+    q = F.percentile("__gap", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = gaps.groupBy(*by).agg(F.count("*").alias("n"), (F.max("__day") - F.min("__day")).alias("span"), q.alias("__q"), F.min("__gap").alias("least"), F.max("__gap").alias("most"))
+    return out.select(*by, "n", "span", F.col("__q")[1].alias("median"), F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), "least", "most")
+
+
+def edges(samples: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows at which the value changes to another one than 0, with the value before: events of a stimulus channel."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("displacement", F.sqrt(sum(((F.col(a) - F.first(a).over(w)) ** 2 for a in axes), F.lit(0.0))))
+    return samples.withColumn("previous", F.coalesce(F.lag(value).over(w), F.lit(0))).where((F.col(value) != F.col("previous")) & (F.col(value) != 0))
