@@ -44,9 +44,9 @@ def event_sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select event_id, case when event_type in ('view', 'click') then row_number() over w - 1 end::bigint as fix, case when event_type in ('view', 'click') then row_number() over w - count(*) over (partition by user_id, event_type in ('view', 'click')) end::bigint as fix_from_last
-from events where event_type in ('view', 'click') window w as (partition by user_id, event_type in ('view', 'click') order by ts, event_id)""")
+from events window w as (partition by user_id, event_type in ('view', 'click') order by ts, event_id)""")
 def sequence_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sequence.positions(events(spark, sf_dir), ["user_id"], ORDER, "fix", F.col("event_type").isin("view", "click")).where("fix is not null")
+    out = sequence.positions(events(spark, sf_dir), ["user_id"], ORDER, "fix", F.col("event_type").isin("view", "click"))
     return out.select("event_id", F.col("fix").cast("long").alias("fix"), F.col("fix_from_last").cast("long").alias("fix_from_last"))
 
 
@@ -194,8 +194,8 @@ def percentile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 with q as (select quantile_cont(value, 0.05) as lo, quantile_cont(value, 0.995) as hi from events) select event_id, greatest(least(value, hi), lo) as value from events, q""")
 def percentile_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
-    q = df.agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.995))).alias("q"))
-    return df.crossJoin(q).select("event_id", F.greatest(F.least("value", F.col("q")[1]), F.col("q")[0]).alias("value"))
+    q = aggregates.exact_quantiles(df, "value", [0.05, 0.995]).select(F.col("__q").alias("q"))
+    return df.crossJoin(F.broadcast(q)).select("event_id", F.greatest(F.least("value", F.col("q")[1]), F.col("q")[0]).alias("value"))
 
 
 @query("""
@@ -270,12 +270,3 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'null_value' as "check", count(*) filter (value is null)::bigint as n from events union all select 'null_ts', count(*) filter (ts is null) from events union all select 'unknown_event_type', count(*) filter (event_type not in ('view', 'click')) from events union all select 'duplicate_key', (count(*) - count(distinct event_id)) from events""")
 def data_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.quality_report(events(spark, sf_dir), ["value", "ts"], {"event_type": ["view", "click"]}, ["event_id"])
-
-
-def event_means_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap interval over users of the mean value by event type."""
-    users = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
-    return stats.bootstrap_mean(users, ["event_type"], "v", 200)
-
-
-query()(event_means_bootstrap)

@@ -31,9 +31,11 @@ def lookup_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.bucketed_lookup(table(spark, sf_dir, "orders"), dim, ["o_custkey"], [F.col("c_name")]).select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def missing_keys_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order that is done: some lack one."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
@@ -114,10 +116,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.spread(table(spark, sf_dir, "part"), "p_type", ["p_partkey"], 300, 5).select("p_type", "p_partkey")
 
 
-@query("""with c as (select c_mktsegment, count(*) as cap from customer where c_nationkey < 5 group by 1), s as (select c_mktsegment, unnest(range(1, least(cap, 100) + 1)) as seat from c), t as (select c_mktsegment, count(*) as take from (select * from s order by seat, c_mktsegment limit 100) group by 1)
+@query("""with c as (select c_mktsegment, count(*) as cap from customer group by 1), s as (select c_mktsegment, unnest(range(1, least(cap, 100) + 1)) as seat from c), t as (select c_mktsegment, count(*) as take from (select * from s order by seat, c_mktsegment limit 100) group by 1)
 select c_mktsegment, cap::bigint as cap, coalesce(take, 0)::bigint as take from c left join t using (c_mktsegment)""")
 def water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    caps = table(spark, sf_dir, "customer").where("c_nationkey < 5").groupBy("c_mktsegment").agg(F.count("*").alias("cap"))
+    caps = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("cap"))
     return sampling.water_fill(caps, "c_mktsegment", "cap", 100)
 
 
@@ -133,9 +135,11 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.spearman(table(spark, sf_dir, "part"), "p_size", "p_retailprice").select(R(F.col("rho"), "rho"), "n")
 
 
-@query("select c_nationkey, max(c_acctbal) as best, arg_max(c_name, c_acctbal) as winner from customer group by 1")
+@query("select c_nationkey, max(c_acctbal) as best, arg_min(c_name, (-c_acctbal, c_name)) as winner from customer group by 1")
 def group_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"), F.max_by("c_name", "c_acctbal").alias("winner"))
+    """Ties go to the smaller name."""
+    first = F.min(F.struct((-F.col("c_acctbal")).alias("b"), "c_name"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"), first["c_name"].alias("winner"))
 
 
 @query("select conv_id, list(role order by turn) as role_list, first(text order by turn) as text_first, count(*)::bigint as n from conversations group by 1")

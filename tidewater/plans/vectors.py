@@ -27,10 +27,10 @@ def catalog_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.elementwise_median(rows, ["label"], "embedding").select("label", F.posexplode("embedding").alias("pos", "m")).withColumn("m", F.round("m", 6))
 
 
-@query(f"with {PARTS} select label, pos, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as sd, count(*)::bigint as n from parts group by all")
+@query(f"with {PARTS} select label, pos, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as sd, round(stddev_pop(x) / sqrt(count(*)), 6) as sem, count(*)::bigint as n from parts group by all")
 def grand_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = aggregates.elementwise_mean(table(spark, sf_dir, "embeddings"), ["label"], "embedding")
-    return out.select("label", "pos", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
+    return out.select("label", "pos", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("sem", 6).alias("sem"), "n")
 
 
 @query(f"with {MEANS} select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as cosine from embeddings join means using (label)")
