@@ -184,12 +184,12 @@ def test_nearest_repeated_rows(spark):
     x = np.random.default_rng(2).normal(size=(40, 8))
     far = (-x[0]).tolist()
     data = [(0, x[0].tolist()), *[(5, v) for _ in range(30) for v in ([*x[0].tolist()], far)], (6, x[0].tolist()), (7, x[0].tolist()), *[(100 + i, far) for i in range(40)]]
-    got = nearest.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4, rerank=10).orderBy("rank").collect()
+    got = nearest.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4, rerank=40).orderBy("rank").collect()
     assert [r["vec_id"] for r in got][:3] == [5, 6, 7] and len(got) == 4
-    # a block of signed zeros: equal vectors in value
-    ids, v = np.array([1, 1, 1, 2, 3]), np.array([[0.0, 1.0], [-0.0, 1.0], [0.0, 1.0], [0.0, 1.0], [-0.0, 1.0]])
-    ((_, found, _),) = nearest._search(np.array([9]), v[:1], ids, v, np.zeros((5, 1), np.uint8), np.zeros((1, 1, 2)), 3, 10)
-    assert found.tolist() == [1, 2, 3]
+    # signed zeros: equal vectors in value
+    zeros = [(1, [0.0, 1.0]), (1, [-0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [-0.0, 1.0]), (9, [0.0, 1.0])]
+    got = nearest.search(spark.createDataFrame(zeros, "vec_id long, embedding array<double>"), F.col("vec_id") == 9, k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3]
 
 
 def test_quality_fm(docs, rows, empty, labels):
@@ -395,3 +395,40 @@ def test_pipeline(spark, docs, rows, tmp_path):
             assert new.count() == at.count()
         at = new
     assert collected(corpus_pipeline.run(spark, str(tmp_path)).drop("ids")) == collected(at.drop("ids"))
+
+
+def test_nearest_recall_at_a_full_block(spark):
+    """Vectors without any structure, the hardest case, as many as codes meet a lookup table in some thousands."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(7).normal(size=(8192, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nearest.search(df, F.col("vec_id") % 100 == 0, sample=8192).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 82 and hits >= 0.9 * 20 * len(got)
+
+
+def test_nearest_lengths_distances_and_few_candidates(spark):
+    """Vectors of each length among their own; distances; fewer candidates than k; extra columns; several vectors of an id."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=6).tolist(), "a") for i in range(60)] + [(100 + i, rng.normal(size=3).tolist(), "b") for i in range(4)] + [(7, rng.normal(size=6).tolist(), "c")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, x string").withColumns({"rank": F.lit(1), "a.b": F.lit(2), "score": F.lit(3)})
+    for measure in ("product", "distance"):
+        got = {}
+        for r in nearest.search(df, F.col("vec_id") % 20 == 0, k=5, words=16, books=4, measure=measure).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert set(got) == {0, 20, 40, 100} and len(got[100]) == 3
+        for q, found in got.items():
+            own = next(np.array(v) for i, v, _ in data if i == q)
+            rest = [(i, np.array(v)) for i, v, _ in data if i != q and len(v) == len(own)]
+            want = sorted((-(v @ own) if measure == "product" else ((v - own) ** 2).sum(), i) for i, v in rest)[:5]
+            assert [(r, i) for r, i, _ in sorted(found)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+            assert np.allclose([s for _, _, s in sorted(found)], [-w for w, _ in want])

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Words, mix, slices, text_column
 
@@ -31,28 +32,33 @@ TRAIN_LINES = 1000
 MIN_WORDS, MOST_REPEATED_PERCENT, CONTENT_SHARE = 50, 50, 0.5
 FEATURES = ("bias", "log_words", "upper", "symbols", "bangs", "same_as_before", "in_repeated", "duplicate", "digits", "ends_sentence")
 N = len(FEATURES)
-SYMBOL = np.zeros(256, np.int32)
-SYMBOL[list(b"#*$%&|<>")] = 1
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+IS_SYMBOL = np.zeros(256, bool)
+IS_SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes of text that are measured at once (a longer text is measured whole).
+AT_ONCE = 512 << 10
 _SPACES = " \t\x0b\x0c\r"
 #: Scores of boilerplate over content by feature, and of a change of label, where there are no labels to learn from.
 PRIOR = np.array([-3.0, 0.0, 6.0, 6.0, 6.0, 8.0, 6.0, 3.0, 0.0, 0.0, -1.0])
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x) + 1, np.int64)
-    np.cumsum(x, out=out[1:])
+    """Running sums from 0; of flags, so 32 bits do for a slice or a text of under 2 GiB."""
+    out = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=out[1:], dtype=np.int32)
     return out
 
 
-def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Base counts of each document; features of each line with a word, its number of words and its document."""
-    w = Words(texts)
-    h, doc, body = w.hashes(), w.doc, w.buf[: w.size]
-    n_words = np.diff(w.first)
-    chars = _prefix(w.inside & ((body & 0xC0) != 0x80))
-    symbols = _prefix(SYMBOL[body])
+def _inside(flags: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set in each stretch."""
+    sums = _prefix(flags)
+    return sums[end] - sums[begin]
+
+
+def _repeated(w: Words, h: np.ndarray) -> np.ndarray:
+    """Whether each word lies in a window of three words that its document has twice or more."""
     at, win = w.windows(h, 3, 0x2545F4914F6CDD1D)
-    key = mix(win ^ (doc[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+    key = mix(win ^ (w.doc[at].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
     order = np.argsort(key)
     key = key[order]
     equal = key[1:] == key[:-1]
@@ -63,42 +69,55 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     hit = at[order[twice]]
     for j in range(3):
         again[hit + j] = True
-    again = again[: len(h)]
-    dup_lines, dup_flags = np.zeros(w.n, np.int64), []
-    for i, text in enumerate(texts.to_pylist()):
+    return again[: len(h)]
+
+
+def _duplicate_lines(texts: pa.Array) -> np.ndarray:
+    """Of each line with a word: whether it equals an earlier one of its document."""
+    flags: list[bool] = []
+    for text in texts:
         seen: set[str] = set()
-        for line in text.split("\n"):
+        for line in text.as_py().split("\n"):
             if line.strip(_SPACES):
-                dup_flags.append(line in seen)
-                dup_lines[i] += dup_flags[-1]
+                flags.append(line in seen)
                 seen.add(line)
+    return np.array(flags, bool)
+
+
+def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts of each document; features of each line with a word, its number of words and its document. Only one
+    array over all bytes is laid out at a time."""
+    w = Words(texts)
+    h, body, s, e = w.hashes(), w.buf[: w.size], w.starts, w.ends
+    low, high = w.offsets[:-1], w.offsets[1:]
+    again = _repeated(w, h)
+    symbol = IS_SYMBOL[body]
     counts = {
-        "n_words": n_words, "word_chars": chars[w.offsets[1:]] - chars[w.offsets[:-1]], "n_symbols": symbols[w.offsets[1:]] - symbols[w.offsets[:-1]],
-        "n_dup_lines": dup_lines, "n_repeat_words": _prefix(again)[w.first[1:]] - _prefix(again)[w.first[:-1]],
+        "n_words": np.diff(w.first), "word_chars": _inside(w.inside & ((body & 0xC0) != 0x80), low, high).astype(np.int64), "n_symbols": _inside(symbol, low, high).astype(np.int64),
+        "n_dup_lines": np.zeros(w.n, np.int64), "n_repeat_words": _inside(again, w.first[:-1], w.first[1:]).astype(np.int64),
     }
     # lines with a word
-    begins = np.unique(np.concatenate([w.offsets[:-1], np.flatnonzero(body == 10) + 1]))
-    line = np.searchsorted(begins, w.starts, "right") - 1
+    begins = np.unique(np.concatenate([low, np.flatnonzero(body == 10) + 1]))
+    line = np.searchsorted(begins, s, "right") - 1
     new = np.ones(len(line), bool)
     new[1:] = line[1:] != line[:-1]
     head = np.flatnonzero(new)
     if not len(head):
         return counts, np.zeros((0, N)), np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(line)))
-    upper = _prefix((body >= 65) & (body <= 90))
-    lower = _prefix((body >= 97) & (body <= 122))
-    bang = _prefix(body == 33)
-    digit = _prefix((body >= 48) & (body <= 57))
-    s, e = w.starts, w.ends
-    of = lambda c: c[e] - c[s]
+    doc = np.searchsorted(w.first, head, "right") - 1
+    duplicate = _duplicate_lines(texts)
+    counts["n_dup_lines"] = np.bincount(doc[duplicate], minlength=w.n)
     share = lambda x: np.add.reduceat(np.minimum(x, 1).astype(np.float64), head) / size
+    shouts = (_inside((body >= 65) & (body <= 90), s, e) >= 2) & (_inside((body >= 97) & (body <= 122), s, e) == 0)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & ~new[1:]
-    final = w.buf[w.ends[np.append(head[1:], len(line)) - 1] - 1]
+    final = w.buf[e[np.append(head[1:], len(line)) - 1] - 1]
     x = np.stack([
-        np.ones(len(head)), np.log1p(size) / 4, share((of(upper) >= 2) & (of(lower) == 0)), share(of(symbols)), share(of(bang)), share(same), share(again), np.array(dup_flags, np.float64), share(of(digit)), np.isin(final, list(b".!?:;\"'")).astype(np.float64),
+        np.ones(len(head)), np.log1p(size) / 4, share(shouts), share(_inside(symbol, s, e)), share(_inside(body == 33, s, e)), share(same), share(again), duplicate.astype(np.float64),
+        share(_inside((body >= 48) & (body <= 57), s, e)), np.isin(final, list(b".!?:;\"'")).astype(np.float64),
     ], 1)
-    return counts, x, size, doc[head]
+    return counts, x, size, doc
 
 
 def _by_position(doc: np.ndarray) -> list[np.ndarray]:
@@ -191,7 +210,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, tra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=AT_ONCE):
                 _, x, _, doc = measure(text_column(part))
                 ids, quality = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "quality"))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
@@ -206,36 +225,44 @@ def fit_on(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, tra
 
 
 def judge(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", share: float = CONTENT_SHARE, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED_PERCENT, carry: bool = False) -> DataFrame:
-    """Counts and verdict of each document; ``carry`` keeps the documents' own columns instead of only the id.
-    Narrow: no shuffle."""
-    names = docs.columns if carry else [id_col]
-    rows = docs.select(*[docs[c] for c in names], docs[text_col].cast("string").alias("__text"))
+    """Counts and verdict of each document: its id and the columns ``COUNTS``, base_failed, kept, n_lines, content_share.
+    With ``carry`` instead the documents that pass, with their own columns and nothing else. Narrow: no shuffle; a text
+    goes to Python once, and the texts of documents that fail do not come back."""
+    names = docs.columns if carry else [id_col, text_col]
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])  # by place, so that no name can clash
+    text = f"c{names.index(text_col)}" if carry else "c1"
+    if not isinstance(rows.schema[text].dataType, (T.StringType, T.BinaryType)):
+        rows = rows.withColumn(text, F.col(text).cast("string"))
     theta = np.asarray(weights)
-    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                counts, x, size, doc = measure(text_column(part, "__text"))
+            for part in slices(batch, text, most=AT_ONCE):
+                counts, x, size, doc = measure(text_column(part, text))
                 noise = viterbi(x @ theta[:N], theta[N], doc)
                 content = np.bincount(doc, np.where(noise, 0, size), part.num_rows)
                 n = counts["n_words"]
-                lines = np.bincount(doc, minlength=part.num_rows)
                 failed = (n < min_words) | (100 * counts["n_repeat_words"] > most_repeated * n)
                 kept = ~failed & (content >= share * n)
-                arrays = [pa.array(counts[c], pa.int64()) for c in own] + [pa.array(failed), pa.array(kept), pa.array(lines, pa.int64()), pa.array(content / np.maximum(n, 1))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*names, *(f"__{c}" for c in (*own, "base_failed", "kept", "n_lines", "content_share"))])
+                if carry:
+                    yield part.filter(pa.array(kept))
+                    continue
+                lines = np.bincount(doc, minlength=part.num_rows)
+                arrays = [pa.array(counts[c], pa.int64()) for c in COUNTS] + [pa.array(failed), pa.array(kept), pa.array(lines, pa.int64()), pa.array(content / np.maximum(n, 1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["c0", *COUNTS, "base_failed", "kept", "n_lines", "content_share"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"__{c} long" for c in own] + ["__base_failed boolean", "__kept boolean", "__n_lines long", "__content_share double"]
-    return rows.mapInArrow(run, ", ".join(fields))
+    if carry:
+        out = rows.mapInArrow(run, rows.schema)
+        return out.select([F.col(f"c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(names)])
+    fields = [f"c0 {rows.schema['c0'].dataType.simpleString()}", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "n_lines long", "content_share double"]
+    return rows.mapInArrow(run, ", ".join(fields)).withColumnRenamed("c0", id_col)
 
 
 def rate(docs: DataFrame, weights: np.ndarray, **how) -> DataFrame:
-    """:func:`judge` with plain column names: doc_id, counts, base_failed, kept, n_lines, content_share."""
-    out = judge(docs, weights, **how)
-    return out.select([F.col(f"`{c}`").alias(c.removeprefix("__")) for c in out.columns])
+    """id, counts, base_failed, kept, n_lines, content_share of each document."""
+    return judge(docs, weights, **how)
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, **how) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judge(docs, weights, carry=True, **how).where("__kept").select([F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, weights, carry=True, **how)
