@@ -53,10 +53,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("tile", [7, 256])
-def test_components(spark, rows, tile):
+@pytest.mark.parametrize("share", [3000, 1 << 20])
+def test_components(spark, rows, share):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, same string, node int").repartition(3)
-    got = near_copies.components(docs, tile=tile).collect()
+    got = near_copies.components(docs, share=share).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == _expected(rows)
     assert len(got) == sum(r[0] is not None for r in rows)
 
