@@ -11,11 +11,14 @@ order, the longest prefix of documents whose tokens fit in the rest. The order i
 
 Scale: all windows over nodes see one row for each leaf or for each of a leaf's ``4096`` parts. Prefixes are sums over
 these parts (by the first three digits of the order key); only the one part of a leaf where the budget ends is sorted,
-so a source with a third of all rows is never in one task. Tokens are whole words, counted once and written.
+so a source with a third of all rows is never in one task. What documents learn of their leaf is broadcast if there are
+``FEW_LEAVES`` leaves at most, and else joined with a salt. Tokens are whole words, counted once and written, and so are
+the leaves' totals.
 
 Defined results: null and empty texts have no tokens; a null domain, language or source is the name ''; names without a
 weight have weight 1, weight 0 gives nothing; repeated rows are rows of their own; ties in the order (one doc_id twice)
-go by tokens; no documents or no budget: nothing is selected; extra columns are ignored or, in ``select``, kept.
+go by tokens; no documents or no budget: nothing is selected; extra columns of any name are ignored or, in ``select``,
+kept (a document's own columns are carried in one struct, by place).
 """
 
 from __future__ import annotations
@@ -31,11 +34,25 @@ LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Leaves (one row each: three names and two numbers) that are broadcast; with more, rows are salted and joined.
+FEW_LEAVES, SALTS = 20_000, 64
+
+
 def _weight(level: str, weights: Mapping[str, int]) -> Column:
-    out = F.lit(1).cast("long")
-    for name, w in sorted(weights.items()):
-        out = F.when(F.col(level) == name, F.lit(int(w)).cast("long")).otherwise(out)
-    return out
+    """The weight of a name of this level, 1 for names without one: a map that is folded into one constant."""
+    if not weights:
+        return F.lit(1).cast("long")
+    names = sorted(weights)
+    table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(int(weights[n])).cast("long") for n in names]))
+    return F.coalesce(F.try_element_at(table, F.col(level)), F.lit(1).cast("long"))
+
+
+def _of_leaf(rows: DataFrame, leaves: DataFrame, few: bool, how: str) -> DataFrame:
+    """``rows`` joined with what their leaf has."""
+    if few:
+        return rows.join(F.broadcast(leaves), list(LEVELS), how)
+    salted = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*LEVELS, "salt"], how).drop("salt")
 
 
 def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int) -> DataFrame:
@@ -55,45 +72,49 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], sh
     return nodes.select(*LEVELS, "tokens", F.greatest(F.floor("budget"), F.lit(0)).cast("long").alias("budget"))
 
 
-def copies(docs: DataFrame, *, domain: Column, lang: Column | None = None, source: Column | None = None, weights: Mapping[str, Mapping[str, int]], share: float = 0.5, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """How often each document is taken: id (with ``carry`` all columns, prefixed __own_), domain, lang, source, n_tokens,
-    copies (0: not taken)."""
-    own = docs.columns if carry else [id_col]
+def copies(docs: DataFrame, *, domain: Column, lang: Column | None = None, source: Column | None = None, weights: Mapping[str, Mapping[str, int]], share: float = 0.5, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, few_leaves: int = FEW_LEAVES) -> DataFrame:
+    """How often each document is taken: own (its id, or with ``carry`` all its columns, as c0, c1, ...), domain, lang,
+    source, n_tokens, copies (0: not taken)."""
+    spark, names = docs.sparkSession, docs.columns if carry else [id_col]
     keys = {"domain": domain, "lang": F.col("lang") if lang is None else lang, "source": F.col("source") if source is None else source}
-    tokens = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    counted = docs.select(*[F.col(f"`{c}`").alias(f"__own_{c}") for c in own], *[F.coalesce(v.cast("string"), F.lit("")).alias(k) for k, v in keys.items()], tokens.alias("n_tokens"))
-    spark = docs.sparkSession
+    tokens = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    counted = docs.select(own.alias("own"), *[F.coalesce(v.cast("string"), F.lit("")).alias(k) for k, v in keys.items()], tokens.alias("n_tokens"))
     counted = spark.read.parquet(written(counted, "mixing"))
-    leaves = leaf_budgets(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), weights, share, max_epochs)
+    totals = spark.read.parquet(written(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "totals"))  # one row for each leaf
+    leaves = leaf_budgets(totals, weights, share, max_epochs)
     leaves = leaves.select(*LEVELS, F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("long").alias("whole"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("left"))
-    leaves = spark.read.parquet(written(leaves, "leaves"))  # one row for each leaf
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col(f"__own_{id_col}").cast("string"), F.lit("null"))))
-    placed = counted.join(leaves, list(LEVELS)).withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
+    leaves = spark.read.parquet(written(leaves, "leaves"))
+    few = leaves.count() <= few_leaves
+    at = F.col(f"own.c{names.index(id_col)}")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(at.cast("string"), F.lit("null"))))
+    placed = _of_leaf(counted, leaves, few, "inner").withColumn("key", key).withColumn("part", F.substring("key", 1, 3))
     parts = placed.groupBy(*LEVELS, "left", "part").agg(F.sum("n_tokens").alias("t"))
     so_far = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = parts.withColumn("end", F.sum("t").over(so_far)).where(F.col("end") > F.col("left"))
     edge = ends.groupBy(*LEVELS).agg(F.min_by(F.struct("part", (F.col("end") - F.col("t")).alias("start")), "part").alias("edge"))
-    placed = placed.join(edge, list(LEVELS), "left")
+    placed = _of_leaf(placed, edge, few, "left")
     sure = F.col("edge").isNull() | (F.col("part") < F.col("edge.part"))
     at_edge = F.col("edge").isNotNull() & (F.col("part") == F.col("edge.part"))
-    inside = Window.partitionBy(*LEVELS).orderBy("key", f"__own_{id_col}", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*LEVELS).orderBy("key", at, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = placed.where(at_edge).withColumn("more", F.col("edge.start") + F.sum("n_tokens").over(inside) <= F.col("left"))
     rest = placed.where(~at_edge).withColumn("more", sure)
     # a leaf of no budget gives nothing, not even documents without tokens
     more = F.col("more") & (F.col("left") > 0)
     out = rest.unionByName(border).withColumn("copies", F.col("whole") + more.cast("long"))
-    return out.select(*[f"__own_{c}" for c in own], *LEVELS, "n_tokens", "copies")
+    return out.select("own", *LEVELS, "n_tokens", "copies")
 
 
 def select(docs: DataFrame, **how) -> DataFrame:
     """The mixture: each taken document as often as it is taken, with the columns of ``docs``."""
     taken = copies(docs, carry=True, **how).where("copies > 0")
-    return taken.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select([F.col(f"`__own_{c}`").alias(c) for c in docs.columns])
+    each = taken.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"))
+    return each.select([F.col(f"own.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def mixture(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """id, domain, lang, source, n_tokens, copies of the taken documents."""
-    return copies(docs, id_col=id_col, **how).where("copies > 0").withColumnRenamed(f"__own_{id_col}", id_col)
+    return copies(docs, id_col=id_col, **how).where("copies > 0").select(F.col("own.c0").alias(id_col), *LEVELS, "n_tokens", "copies")
 
 
 def oracle_sql(domain: str, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int, seed: int) -> str:

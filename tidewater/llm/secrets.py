@@ -2,19 +2,21 @@
 
 Candidates are the base patterns' matches and, beyond them, opaque words (``OPAQUE``) that no base match overlaps. The
 hash of each candidate's value is aggregated over the corpus by distinct repositories and owners. A value in more than
-``most_owners`` owners is a widely copied example; the others are owner-specific and look live. Opaque words become
-spans only if they look live, base spans always stay, with their verdict.
+``most_owners`` owners is a widely copied example; the others are owner-specific and look live, and of these the ones in
+more than one repository are shared (to be changed first). Opaque words become spans only if they look live, base spans
+always stay, with their verdict.
 
 Positions: the gaps between matches (``split``) and the matches (``regexp_extract_all``) give, by adding lengths, the
 code point at which each match starts. A span is the whole match, end exclusive; an assignment's value is its group 2.
 
 Scale: the scan is narrow and its small result (no text unless ``carry``) is written once; values are aggregated twice
-with partial sums, so a value in a third of all rows costs each map task one row for a repository; the join of the
-verdicts back leaves hot values to AQE's skew join. Texts without candidates take no part in any shuffle.
+with partial sums, so a value in a third of all rows costs each map task one row for a repository; only values with a
+verdict other than the usual one are joined back, and the spans of a value are salted (``SALTS``), so a hot value is not
+one task's work. Texts without candidates take no part in any shuffle.
 
 Defined results: a null text is empty (no spans, hash of the empty string); a null repository or owner counts as one
-of its own; repeated rows, of one id too, are rows of their own with equal results; extra columns are ignored or, with
-``redact``, kept.
+of its own; repeated rows, of one id too, are rows of their own with equal results; extra columns of any name are
+ignored or, with ``redact``, kept (a document's own columns are carried in one struct, by place).
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 OPAQUE = "[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
 MOST_OWNERS = 2
+#: Parts that the spans of one value are dealt into when verdicts are joined.
+SALTS = 32
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -58,51 +62,57 @@ def _join(spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *, repo: Column | None = None, owner: Column | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """One row for each document: __rid, its id (with ``carry`` all its columns), __repo, __owner, __base, __more. Written
-    once to the shared folder, so the row numbers stay."""
+    """One row for each document: rid, own (its id, or with ``carry`` all its columns, as c0, c1, ...), repo, owner, base,
+    more. Written once to the shared folder, so the row numbers stay."""
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     repo = source if repo is None else repo
     owner = F.split(repo, "/")[0] if owner is None else owner
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    own = docs.columns if carry else [id_col]
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)])
+    filled = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    scanned = docs.select(kept.alias("own"), filled(repo).alias("repo"), filled(owner).alias("owner"), filled(F.col(f"`{text_col}`")).alias("text"))
+    text = F.col("text")
     base = F.array_sort(F.concat(_spans(text, 0, ASSIGN, 2, 8), _spans(text, 1, ACCESS), _spans(text, 2, HEX)))
     mixed = F.lit(r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])")
-    own = docs.columns if carry else [id_col]
-    scanned = docs.select(*[docs[c] for c in own], F.coalesce(repo.cast("string"), F.lit("")).alias("__repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("__owner"), text.alias("__text"), base.alias("__base"))
-    words = F.filter(F.regexp_extract_all("__text", F.lit(OPAQUE), F.lit(0)), lambda w: F.regexp(w, mixed))
-    opaque = F.when(F.size(words) > 0, _spans(F.col("__text"), 3, OPAQUE)).otherwise(F.array().cast(SPAN))
+    words = F.filter(F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)), lambda w: F.regexp(w, mixed))
+    opaque = F.when(F.size(words) > 0, _spans(text, 3, OPAQUE)).otherwise(F.array().cast(SPAN))
     good = F.transform(words, lambda w: F.sha2(w, 256))
-    more = F.filter(opaque, lambda s: F.array_contains(good, s["value"]) & ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    scanned = scanned.select(*[F.col(f"`{c}`") for c in own], "__repo", "__owner", "__base", more.alias("__more"))
-    return docs.sparkSession.read.parquet(written(scanned.withColumn("__rid", F.monotonically_increasing_id()), "secrets"))
+    scanned = scanned.withColumn("base", base)
+    more = F.filter(opaque, lambda s: F.array_contains(good, s["value"]) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    scanned = scanned.select("own", "repo", "owner", "base", more.alias("more"), F.monotonically_increasing_id().alias("rid"))
+    return docs.sparkSession.read.parquet(written(scanned, "secrets"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners over the corpus, aggregated by distinct repositories and owners."""
-    spans = found.select("__repo", "__owner", F.explode(F.concat("__base", "__more")).alias("s"))
-    pairs = spans.groupBy(F.col("s.value").alias("value"), "__owner", "__repo").agg(F.count("*").alias("n"))
-    owners = pairs.groupBy("value", "__owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    """value, n_repos, n_owners, n_uses over the corpus, aggregated by distinct repositories and owners."""
+    spans = found.select("repo", "owner", F.explode(F.concat("base", "more")).alias("s"))
+    pairs = spans.groupBy(F.col("s.value").alias("value"), "owner", "repo").agg(F.count("*").alias("n"))
+    owners = pairs.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
 
 
-def judged(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """``found`` with __live (the spans that look live) and __example (the widely copied ones)."""
-    wide = ownership(found).where(F.col("n_owners") > most_owners).select("value", F.lit(True).alias("wide"))
-    some = F.size("__base") + F.size("__more") > 0
-    spans = found.where(some).select("__rid", F.explode(F.concat("__base", "__more")).alias("s")).select("__rid", "s", F.col("s.value").alias("value"))
-    marked = spans.join(wide, "value", "left")
-    lists = marked.groupBy("__rid").agg(F.collect_list(F.when(F.col("wide").isNull(), F.col("s"))).alias("__live"), F.collect_list(F.when(F.col("wide"), F.col("s"))).alias("__example"))  # the spans of one document
+def judged(found: DataFrame, most_owners: int = MOST_OWNERS, salts: int = SALTS) -> DataFrame:
+    """``found`` with live (the spans that look live), shared (those of them in several repositories) and example (the
+    widely copied ones)."""
+    told = ownership(found).where((F.col("n_owners") > most_owners) | (F.col("n_repos") > 1)).select("value", (F.col("n_owners") > most_owners).alias("wide"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    some = F.size("base") + F.size("more") > 0
+    spans = found.where(some).select("rid", F.explode(F.concat("base", "more")).alias("s")).select("rid", "s", F.col("s.value").alias("value"), F.pmod("rid", F.lit(salts)).cast("int").alias("salt"))
+    marked = spans.join(told, ["value", "salt"], "left")
+    wide = F.coalesce("wide", F.lit(False))
+    spans_of = lambda which: F.collect_list(F.when(which, F.col("s")))  # of one document
+    lists = marked.groupBy("rid").agg(spans_of(~wide).alias("live"), spans_of(~F.col("wide")).alias("shared"), spans_of(wide).alias("example"))
     none = F.array().cast(SPAN)
-    return found.where(some).join(lists, "__rid").unionByName(found.where(~some).withColumns({"__live": none, "__example": none}))
+    return found.where(some).join(lists, "rid").unionByName(found.where(~some).withColumns({"live": none, "shared": none, "example": none}))
 
 
 def scan(docs: DataFrame, *, most_owners: int = MOST_OWNERS, id_col: str = "doc_id", **how) -> DataFrame:
-    """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example (base spans that are widely copied)."""
+    """id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example (base spans that are widely copied)."""
     rows = judged(candidates(docs, id_col=id_col, **how), most_owners)
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    extra = F.filter("__live", lambda s: s["kind"] == 3)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    extra = F.filter("live", lambda s: s["kind"] == 3)
     return rows.select(
-        id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_join(F.col("__base")), 256).alias("base_sha256"),
-        _join(F.concat("__base", extra)).alias("spans"), F.size("__live").cast("long").alias("n_live"), F.size(F.filter("__example", lambda s: s["kind"] < 3)).cast("long").alias("n_example"),
+        F.col("own.c0").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_join(F.col("base")), 256).alias("base_sha256"), _join(F.concat("base", extra)).alias("spans"),
+        F.size("live").cast("long").alias("n_live"), F.size("shared").cast("long").alias("n_shared"), F.size(F.filter("example", lambda s: s["kind"] < 3)).cast("long").alias("n_example"),
     )
 
 
@@ -110,16 +120,16 @@ def redact(docs: DataFrame, *, most_owners: int = MOST_OWNERS, text_col: str = "
     """The documents with each span that looks live replaced by ``mask``; overlapping spans become one mask. All rows and
     columns stay; texts without such spans are unchanged."""
     rows = judged(candidates(docs, text_col=text_col, carry=True, **how), most_owners)
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"own.c{docs.columns.index(text_col)}")
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
         piece = F.when(new, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    walked = F.aggregate(F.array_sort("__live"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    walked = F.aggregate(F.array_sort("live"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.char_length(text)))
-    return rows.select([F.when(F.size("__live") > 0, masked).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select([(F.when(F.size("live") > 0, masked).otherwise(text) if c == text_col else F.col(f"own.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def _sql_spans(kind: int, name: str, pattern: str, group: int, least: int) -> str:
@@ -137,13 +147,13 @@ def _oracle() -> str:
     return f"""
     with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
     base as ({" union all ".join(parts)}),
-    owned as (select v, count(distinct coalesce(split_part(source, '/', 1), '')) as owners from base join d using (rid) group by v),
+    owned as (select v, count(distinct coalesce(split_part(source, '/', 1), '')) as owners, count(distinct coalesce(source, '')) as repos from base join d using (rid) group by v),
     agg as (select rid, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
       string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, k) as spans,
-      count(*) filter (owners <= {MOST_OWNERS}) as n_live, count(*) filter (owners > {MOST_OWNERS}) as n_example
+      count(*) filter (owners <= {MOST_OWNERS}) as n_live, count(*) filter (owners <= {MOST_OWNERS} and repos > 1) as n_shared, count(*) filter (owners > {MOST_OWNERS}) as n_example
       from base join owned using (v) group by rid)
     select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
-      sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example
+      sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live, coalesce(n_shared, 0)::bigint as n_shared, coalesce(n_example, 0)::bigint as n_example
     from d left join agg using (rid)"""
 
 
