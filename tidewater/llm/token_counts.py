@@ -4,9 +4,12 @@ Offline, on the driver, the library encodes every vocabulary string that can be
 those that come back as exactly one token are proven whole tokens (a set bounded by the vocabulary). In the
 tasks a pre-token of that set counts one, directly; only the other pre-tokens are merged, by the library.
 
-Texts are cut at ASCII white space first: the tokenizer's normaliser and pattern never join anything across
-it, so the counts of the parts add up. A part with characters beyond U+024F or a text that contains an added
-token is counted by the library as it is.
+The normaliser, the pattern and the suffix of words are read from the tokenizer file; a file that asks for something
+that is not handled here (:func:`rules_of`) is an error, not a wrong count.
+
+Texts are cut at ASCII white space first: these normalisers and patterns never join anything across it, so the counts
+of the parts add up. A part with characters outside ``KNOWN`` (Latin, Greek without the sigma whose small form depends
+on its place, Cyrillic, kana, Han, Hangul) or a text that contains an added token is counted by the library as it is.
 
 Defined results: a null text is empty (0 bytes, 0 tokens); texts are counted whole; rows are kept as they
 are; extra columns are ignored.
@@ -30,6 +33,8 @@ from .words import text_column
 #: Parts whose counts a Python worker remembers at once; then it starts anew. Bounds memory, not results.
 PARTS_KEPT = 300_000
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: Characters whose lower case, composition and kind are the same here and in the library.
+KNOWN = re.compile("[\\u0000-\\u024f\\u0391-\\u03a1\\u03a4-\\u03a9\\u03ac-\\u03c1\\u03c3-\\u03ce\\u0400-\\u045f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
 
 
 @lru_cache(maxsize=2)
@@ -55,14 +60,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def prove_whole_tokens(path: str, suffix: str = "</w>") -> frozenset[str]:
+def rules_of(path: str) -> tuple[bool, bool, str, str]:
+    """Whether the tokenizer composes (NFC), whether it lower-cases, its pattern of pre-tokens, its suffix of words.
+    Raises ValueError where the file asks for anything beyond these and the replacement of white space by a space."""
+    import json
+
+    t = json.loads(_library(path).to_str())
+    listed = lambda part, name: part[name] if part and part["type"] == "Sequence" else [part] if part else []
+    steps, before, model = listed(t["normalizer"], "normalizers"), listed(t["pre_tokenizer"], "pretokenizers"), t["model"]
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    fine = all(s == spaces or s in ({"type": "NFC"}, {"type": "Lowercase"}) for s in steps) and [s["type"] for s in steps if s != spaces] in ([], ["NFC"], ["Lowercase"], ["NFC", "Lowercase"])
+    fine &= len(before) == 2 and before[0]["type"] == "Split" and (before[0]["behavior"], before[0]["invert"]) == ("Removed", True) and "Regex" in before[0]["pattern"]
+    fine = fine and {k: before[1].get(k) for k in level} == level
+    fine &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not fine:
+        raise ValueError(f"{path}: this tokenizer's normaliser, pattern or model is not one that the whole-token shortcut handles")
+    kinds = {s["type"] for s in steps}
+    return "NFC" in kinds, "Lowercase" in kinds, before[0]["pattern"]["Regex"], model["end_of_word_suffix"] or ""
+
+
+def prove_whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that the library, given them alone, encodes as one token."""
-    t, of = _library(path), byte_alphabet()
+    t, of, suffix = _library(path), byte_alphabet(), rules_of(path)[3]
     words = []
     for entry in t.get_vocab(with_added_tokens=False):
         if entry.endswith(suffix) and len(entry) > len(suffix):
             try:
-                words.append(bytes(of[c] for c in entry[: -len(suffix)]).decode())
+                words.append(bytes(of[c] for c in entry[: len(entry) - len(suffix)]).decode())
             except (KeyError, UnicodeDecodeError):
                 continue
     return frozenset(w for w, n in zip(words, _count(t, words), strict=True) if n == 1)
@@ -71,27 +96,24 @@ def prove_whole_tokens(path: str, suffix: str = "</w>") -> frozenset[str]:
 class Counter(dict):
     """Part of a text (between white space) to its number of tokens."""
 
-    def __init__(self, path: str, pattern: str, whole: frozenset[str], added: tuple[str, ...]):
+    def __init__(self, path: str, whole: frozenset[str], added: tuple[str, ...]):
         import regex
 
         super().__init__()
         self.t, self.whole, self.added = _library(path), whole, added
+        self.composes, self.lowers, pattern, _ = rules_of(path)
         self.split = regex.compile(pattern)
         self.rest: dict[str, int] = {}
 
     def __missing__(self, part: str) -> int:
-        if part.isascii():
-            pre = self.split.findall(part.lower())
-        elif max(part) <= "ɏ":
-            pre = self.split.findall(unicodedata.normalize("NFC", part).lower())
-        else:
-            pre = None
-        if pre is None:
-            n = _count(self.t, [part])[0]
-        else:
+        plain = part.isascii()
+        if plain or KNOWN.fullmatch(part):
+            text = unicodedata.normalize("NFC", part) if self.composes and not plain else part
             n = 0
-            for p in pre:
+            for p in self.split.findall(text.lower() if self.lowers else text):
                 n += 1 if p in self.whole else self.merged(p)
+        else:
+            n = _count(self.t, [part])[0]
         if len(part) <= 64:
             self[part] = n
         return n
@@ -113,28 +135,18 @@ class Counter(dict):
 
 
 @lru_cache(maxsize=2)
-def _counter(path: str, pattern: str, whole: frozenset[str], added: tuple[str, ...]) -> Counter:
-    return Counter(path, pattern, whole, added)
-
-
-def pattern_of(path: str) -> str:
-    """The pre-tokenizer's pattern, as the tokenizer file gives it."""
-    import json
-
-    for p in json.loads(_library(path).to_str())["pre_tokenizer"]["pretokenizers"]:
-        if p["type"] == "Split":
-            return p["pattern"]["Regex"]
-    raise ValueError(f"{path} has no pattern that splits texts")
+def _counter(path: str, whole: frozenset[str], added: tuple[str, ...]) -> Counter:
+    return Counter(path, whole, added)
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit. Narrow: no shuffle; one row in, one row out."""
-    whole, pattern = prove_whole_tokens(path), pattern_of(path)
+    whole = prove_whole_tokens(path)
     added = tuple(sorted(x.content for x in _library(path).get_added_tokens_decoder().values()))
     shared = docs.sparkSession.sparkContext.broadcast(whole)  # bounded by the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path, pattern, shared.value, added)
+        counter = _counter(path, shared.value, added)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
