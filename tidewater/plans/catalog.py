@@ -1,4 +1,4 @@
 """All registered queries of the library, with their SQL equivalents."""
 
-from . import analysis, events, eye, labels_triggers, star, vectors  # noqa: F401
+from . import analysis, events, eye, labels_triggers, reports, star, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
