@@ -354,3 +354,13 @@ def test_global_ranks_and_quantiles(spark):
         aggregates.pivoted(spark.createDataFrame([(1, "a", 2), (1, "a", 3)], "r int, c string, v int"), "r", "c", "v", ["a"]).collect()
     with pytest.raises(ValueError):
         aggregates.dense_counts(spark.range(10_005).select("id", F.col("id").alias("l")), ["id", "l"])
+
+
+def test_clusters_of_a_matrix(spark):
+    from tidewater.operators import composed
+
+    points = {"a": 0.0, "b": 1.0, "c": 10.0, "d": 11.0, "e": 30.0}
+    m = spark.createDataFrame([(i, j, abs(points[i] - points[j])) for i in points for j in points if i < j], "i string, j string, d double")
+    assert rows(composed.agglomerate(m, 3), "condition", "cluster") == sorted([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3)], key=repr)
+    with pytest.raises(ValueError):
+        composed.samples_in_trials(m, m, ["i"], "d")

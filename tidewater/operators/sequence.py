@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def positions(events: DataFrame, by: list[str], order: list[str], name: str = "sequence", where: Column | None = None) -> DataFrame:
     """``name`` from 0 and ``name``_from_last up to 0 within ``by``; null on rows that ``where`` leaves out."""
-    chosen = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    part = Window.partitionBy(*by, chosen)
-    n = F.row_number().over(part.orderBy(*order)) - 1
-    last = n - F.count("*").over(part) + 1
-    return events.withColumns({name: F.when(chosen, n), f"{name}_from_last": F.when(chosen, last)})
+    chosen = (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).cast("long")
+    part = Window.partitionBy(*by)  # that of the other operators here, so that one shuffle serves all
+    n = F.sum(chosen).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    last = n - F.sum(chosen).over(part) + 1
+    return events.withColumns({name: F.when(chosen == 1, n), f"{name}_from_last": F.when(chosen == 1, last)})
 
 
 def neighbours(events: DataFrame, by: list[str], order: list[str], columns: list[str], before: str = "pre", after: str = "post", where: Column | None = None) -> DataFrame:
