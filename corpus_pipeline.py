@@ -1,4 +1,10 @@
-"""A training-data pipeline of five stages: quality rules, near-dedup, secret scan, mixing, byte-level BPE."""
+"""A training-data pipeline of five stages: quality rules, near-dedup, secret scan, mixing, byte-level BPE.
+
+Defined results of all stages: null and empty texts fail the quality rules and go there; documents with a null id link to
+no other and stay in the near-dedup; null languages and sources are the name '' in the mixing; repeated rows of one id stay or
+go together, and each is mixed as a row of its own; extra columns of any name are carried to the last stage, which has columns
+of its own; an empty table, or one of which nothing is left, gives no rows.
+"""
 
 from __future__ import annotations
 
