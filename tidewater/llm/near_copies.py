@@ -183,6 +183,7 @@ def buckets(reps: DataFrame) -> DataFrame:
     ``reps``: one row for each class. The covering's stars are a band of their own."""
     banded = reps.select("node", "same", "size", F.posexplode("keys").alias("band", "key"))
     firsts = reps.groupBy("fp").agg(F.min("node").alias("node"))
+    firsts = reps.sparkSession.read.schema(firsts.schema).parquet(written(firsts, "fingerprints"))
     drawn = links(firsts).distinct()  # from a fingerprint's first class to the smallest one that a task connects it with
     keys = drawn.select("a", "b").unionByName(firsts.select(F.col("node").alias("a"), F.col("node").alias("b")))
     covered = reps.join(firsts.withColumnRenamed("node", "a"), "fp").join(keys, "a").select("node", "same", "size", F.lit(BANDS).alias("band"), F.col("b").alias("key"))

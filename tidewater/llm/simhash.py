@@ -3,12 +3,14 @@
 Fingerprints: a bit is set if it is set in over half of the shingles' 64-bit hashes. Two fingerprints link at
 ``distance`` (4) or fewer differing bits.
 
-Search: the 64 bits are cut into 3 blocks, of which some block has 1 differing bit at most. In a block the anchors
-are the words of a covering code of radius 1: a [15, 11] Hamming code on 15 of its bits, all values on the others, so
-that every value has one anchor within 1. A fingerprint is at home at that anchor, and visits (is replicated to)
-every anchor within radius + 1 = 2 bits of it: if two blocks differ in one bit, the second's value is within 2 of the
-first's home. So comparing each anchor's home fingerprints with its visitors loses no link. Replication is constant
-(about 15 anchors a block); with ever more documents, more combined blocks make anchors finer (``BLOCKS``, ``TAKEN``).
+Search: the 64 bits are cut into blocks, of which some choice of a few has 1 differing bit at most (of 3 blocks, 1). In a
+choice the anchors are the words of a covering code of radius 1: a [15, 11] Hamming code on 15 of its bits, all values on
+the others, so that every value has one anchor within 1. A fingerprint is at home at that anchor, and visits (is
+replicated to) every anchor within radius + 1 = 2 bits of it: if two blocks differ in one bit, the second's value is
+within 2 of the first's home. So comparing each anchor's home fingerprints with its visitors loses no link. How often a
+fingerprint is replicated follows from the layout alone (45 times for 3 blocks). The layout follows from the number of
+different fingerprints (``LAYOUTS``): more combined blocks make anchors finer, so that spread fingerprints have ``AT_HOME``
+of them at an anchor at most, and the work grows with their number and not with its square.
 
 Skew: equal fingerprints are merged before (exact copies cost one row), an anchor's visitors are salted over tasks,
 and a task emits each fingerprint's link to the smallest one connected to it, not pairs. Links become components by
@@ -33,7 +35,9 @@ from .store import written
 from .words import Words, slices, text_column
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
-BLOCKS, TAKEN = 3, 1
+#: (blocks, taken at a time), from the coarsest anchors to the finest: 2 ** (64 * taken / blocks - 4) of them for a choice.
+LAYOUTS = ((3, 1), (5, 2), (6, 3))
+AT_HOME = 64
 #: Tasks that share the visitors of one anchor; an anchor's home fingerprints go to each of them.
 SALTS = 4
 #: Pairs compared at once in a task.
@@ -85,11 +89,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
+def layout_for(n: int) -> tuple[int, int]:
+    """The coarsest layout with ``AT_HOME`` of ``n`` spread fingerprints at an anchor at most (the finest, if none has)."""
+    return next((x for x in LAYOUTS if n <= AT_HOME * 2.0 ** (64 * x[1] / x[0] - 4)), LAYOUTS[-1])
+
+
 class Covering:
     """Anchors of 64-bit values, for links of ``distance`` bits: ``taken`` of ``blocks`` blocks at a time, of which some
     choice has ``slack`` differing bits at most."""
 
-    def __init__(self, blocks: int = BLOCKS, taken: int = TAKEN, distance: int = DISTANCE):
+    def __init__(self, blocks: int = LAYOUTS[0][0], taken: int = LAYOUTS[0][1], distance: int = DISTANCE):
         low, rest = divmod(distance, blocks)
         self.slack = sum(([low] * (blocks - rest) + [low + 1] * rest)[:taken])  # the most even spread is the worst
         edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -173,8 +182,9 @@ def _compare(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.ndarray
 
 
 def links(reps: DataFrame, covering: Covering | None = None, distance: int = DISTANCE, salts: int = SALTS) -> DataFrame:
-    """a, b: edges that connect the same fingerprints as all links do. ``reps``: fp, node, one row for each fingerprint."""
-    code = covering or Covering(distance=distance)
+    """a, b: edges that connect the same fingerprints as all links do. ``reps``: fp, node, one row for each fingerprint (a
+    written table: its rows are counted)."""
+    code = covering or Covering(*layout_for(reps.count()), distance=distance)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,6 +236,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     spark = docs.sparkSession
     prints = spark.read.parquet(written(fingerprints(docs, shingle, id_col, text_col), "fingerprints"))
     reps = prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("node"))
+    reps = spark.read.schema(reps.schema).parquet(written(reps, "distinct-fingerprints"))
     roots = connected_components(links(reps, covering, distance))
     classes = reps.join(roots, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "node").alias("component_id"))
     joined = prints.join(classes, prints["fp"] == classes["__fp"], "left")
