@@ -6,13 +6,15 @@ by value and sorted in each. A new batch is handled in three steps:
 1. every window of 13 words becomes a 64-bit fingerprint, sent to its bucket with the number of the document group
    that it starts in; a group is a stretch of ``GROUP_DOCS`` document ids, and a map task sends each fingerprint once
    for a group, so that a passage in a third of all documents costs a bucket one entry for a group, not for a document;
-2. each bucket merge-joins its sorted fingerprints with the runs and with the batch itself: sorted by the first 40 bits,
-   matches are verified by the other 24, which come from an independent hash. A group learns which of its windows
-   start in the history or in an earlier group. What is new becomes the next run;
+2. each bucket merge-joins its sorted fingerprints with the runs, which are sorted already, and with the batch itself:
+   sorted by the first 40 bits, matches are verified by the other 24, which come from an independent hash. A group learns
+   which of its windows start in the history or in an earlier group. What is new becomes the next run;
 3. each group decides about its own documents with that and with its own windows in document order, and cuts out
    the words that removed windows cover.
 
-Runs beyond ``FANOUT`` are compacted: merged bucket by bucket into one. Batches must come in ascending document ids.
+Runs beyond ``FANOUT`` are compacted: merged bucket by bucket into one. Batches must come in ascending document ids. Each
+run carries its window and number of buckets; opening runs of others is an error, as their fingerprints would not meet.
+Groups have fewer ids where texts are long, so that one has some ``GROUP_BYTES`` of text; rows of one id stay together.
 
 Defined results: null and empty texts have no words; documents of fewer than 13 words lose nothing; repeated rows of
 one doc_id do not remove each other's words; documents with a null doc_id lose nothing and take nothing; texts are
@@ -34,9 +36,10 @@ from .words import Words, mix, slices, text_column
 
 WINDOW = 13
 GROUP_DOCS = 2048
+GROUP_BYTES = 16 << 20
 #: Windows of a bucket, for which an index is laid out.
 BUCKET_WINDOWS = 2_000_000
-FANOUT = 4
+FANOUT = 2
 HISTORY = -1
 _Q1, _Q2 = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F
 
@@ -61,6 +64,12 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _unpacked(table: pa.Table) -> np.ndarray:
+    """All fingerprints of the rows (n, keys), row by row."""
+    sets = [unpack(raw, n) for raw, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+
 def window_fingerprints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and fingerprint of each window: 40 bits to sort and find, 24 bits of a second hash to verify."""
     h = w.hashes()
@@ -87,6 +96,15 @@ class FingerprintIndex:
         self.spark, self.path = spark, path or shared_dir(spark)
         self.window, self.buckets, self.group_docs, self.fanout = window, buckets, group_docs, fanout
         self.runs = list(runs or [])
+        for run in self.runs:
+            found = self.spark.read.parquet(run)
+            made = found.select("window", "buckets").distinct().limit(2).collect() if {"window", "buckets"} <= set(found.columns) else None
+            if made is None or any((r["window"], r["buckets"]) != (window, buckets) for r in made):
+                raise ValueError(f"{run} has windows and buckets {[tuple(r) for r in made or []]}, this index {(window, buckets)}")
+
+    def _stamped(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with what an index must agree with."""
+        return rows.withColumns({"window": F.lit(self.window), "buckets": F.lit(self.buckets)})
 
     # -- step 1
     def _windows(self, docs: DataFrame) -> DataFrame:
@@ -115,27 +133,32 @@ class FingerprintIndex:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
         return rows.mapInArrow(run, "bucket int, grp long, n int, keys binary")
 
-    def _history(self) -> DataFrame | None:
-        runs = [self.spark.read.parquet(r).select("bucket", F.lit(HISTORY).cast("long").alias("grp"), "n", "keys") for r in self.runs]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
+    def _history(self) -> DataFrame:
+        out = self.spark.createDataFrame([], "bucket int, n int, keys binary")
+        for run in self.runs:
+            out = out.unionByName(self.spark.read.parquet(run).select("bucket", "n", "keys"))
         return out
 
     # -- step 2
     def _merge_join(self, fresh: DataFrame, keep: bool) -> DataFrame:
-        """kind 0: windows that a group finds in earlier ones; kind 1: the next run."""
-
-        def run(table: pa.Table) -> pa.Table:
-            bucket, n = table.column("bucket")[0].as_py(), table.column("n").to_pylist()
-            groups = np.repeat(table.column("grp").to_numpy(), n)
-            keys = np.concatenate([unpack(raw, size) for raw, size in zip(table.column("keys").to_pylist(), n, strict=True)])
+        """kind 0: windows that a group finds in the runs or in earlier groups; kind 1: the next run."""
+        schema = "kind int, bucket int, grp long, n int, keys binary"
+
+        def run(fresh: pa.Table, history: pa.Table) -> pa.Table:
+            if not fresh.num_rows:
+                return pa.Table.from_batches([_rows([], [], ["kind", "bucket", "grp", "n", "keys"])])
+            bucket, n = fresh.column("bucket")[0].as_py(), fresh.column("n").to_pylist()
+            groups = np.repeat(fresh.column("grp").to_numpy(), n)
+            keys = _unpacked(fresh)
             order = np.lexsort((groups, keys))
             keys, groups = keys[order], groups[order]
+            past = np.sort(_unpacked(history), kind="stable")  # merges runs that are sorted
             new = np.ones(len(keys), bool)
             new[1:] = keys[1:] != keys[:-1]  # both parts of the fingerprint: found, and verified
-            owner = groups[new][np.cumsum(new) - 1]
-            again = groups != owner
+            known = np.zeros(len(keys), bool)
+            if len(past):
+                known = past[np.minimum(np.searchsorted(past, keys), len(past) - 1)] == keys
+            again = known | (groups != groups[new][np.cumsum(new) - 1])
             again[1:] &= new[1:] | (groups[1:] != groups[:-1])
             back_k, back_g = keys[again], groups[again]
             order = np.argsort(back_g, kind="stable")
@@ -143,35 +166,38 @@ class FingerprintIndex:
             cut = np.flatnonzero(np.concatenate([[True], back_g[1:] != back_g[:-1]])) if len(back_g) else np.zeros(0, int)
             lead, out = [(0, bucket, int(back_g[i])) for i in cut], np.split(back_k, cut[1:]) if len(cut) else []
             if keep:
-                run_keys = keys[new & (groups != HISTORY)]
+                run_keys = keys[new & ~known]
                 chunks = np.array_split(run_keys, max(1, len(run_keys) // 200_000)) if len(run_keys) else []
                 lead, out = lead + [(1, bucket, HISTORY)] * len(chunks), [*out, *chunks]
             return pa.Table.from_batches([_rows(lead, out, ["kind", "bucket", "grp", "n", "keys"])])
 
-        history = self._history()
-        rows = fresh if history is None else fresh.unionByName(history)
-        return rows.groupBy("bucket").applyInArrow(run, "kind int, bucket int, grp long, n int, keys binary")
+        def alone(fresh: pa.Table) -> pa.Table:
+            return run(fresh, fresh.slice(0, 0))
+
+        if not self.runs:
+            return fresh.groupBy("bucket").applyInArrow(alone, schema)
+        return fresh.groupBy("bucket").cogroup(self._history().groupBy("bucket")).applyInArrow(run, schema)
 
     def compact(self) -> None:
         """Merge all runs into one, bucket by bucket. The old runs' files stay for readers that have them open."""
 
         def run(table: pa.Table) -> pa.Table:
             bucket = table.column("bucket")[0].as_py()
-            keys = np.unique(np.concatenate([unpack(raw, n) for raw, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]))
+            keys = np.sort(_unpacked(table), kind="stable")  # merges runs that are sorted
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
             chunks = np.array_split(keys, max(1, len(keys) // 200_000))
             return pa.Table.from_batches([_rows([(bucket,)] * len(chunks), chunks, ["bucket", "n", "keys"])])
 
         if len(self.runs) > 1:
-            merged = self._history().drop("grp").groupBy("bucket").applyInArrow(run, "bucket int, n int, keys binary")
-            self.runs = [written(merged, "run")]
+            merged = self._history().groupBy("bucket").applyInArrow(run, "bucket int, n int, keys binary")
+            self.runs = [written(self._stamped(merged), "run", folder=self.path)]
 
     # -- step 3
     def _cut_out(self, docs: DataFrame, found: DataFrame, text: bool) -> DataFrame:
         window, group_docs = self.window, self.group_docs
 
         def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-            sets = [unpack(raw, n) for raw, n in zip(found.column("keys").to_pylist(), found.column("n").to_pylist(), strict=True)]
-            foreign = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+            foreign = np.sort(_unpacked(found))
             docs = docs.sort_by("doc_id").combine_chunks()
             batch = docs.to_batches()[0] if docs.num_rows else pa.RecordBatch.from_pylist([], schema=docs.schema)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -217,8 +243,8 @@ class FingerprintIndex:
     def dedup(self, docs: DataFrame, *, keep: bool = True, text: bool = False) -> DataFrame:
         """The batch's documents without the words that earlier documents have: doc_id, n_words, n_removed, kept_sha256,
         and with ``text`` the kept words themselves. ``keep``: the batch's windows become a run of the index."""
-        path = written(self._merge_join(self._windows(docs), keep), "merged", by="kind")
-        merged = self.spark.read.schema("bucket int, grp long, n int, keys binary, kind int").parquet(path)  # without rows there is no file to infer it from
+        path = written(self._stamped(self._merge_join(self._windows(docs), keep)), "merged", by="kind", folder=self.path)
+        merged = self.spark.read.schema("bucket int, grp long, n int, keys binary, window int, buckets int, kind int").parquet(path)  # without rows there is no file to infer it from
         if keep and not merged.where("kind = 1").isEmpty():
             self.runs.append(f"{merged.inputFiles()[0].rpartition('/kind=')[0]}/kind=1")
         out = self._cut_out(docs, merged.where("kind = 0"), text)
@@ -245,16 +271,19 @@ def _kept(part: pa.RecordBatch, w: Words, gone: np.ndarray, window: int, text: b
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def layout(docs: DataFrame, bucket_windows: int = BUCKET_WINDOWS) -> int:
-    """Buckets for an index that is to hold windows of as many bytes as ``docs`` has."""
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(16, -(-size // (6 * bucket_windows)))
+def layout(docs: DataFrame, bucket_windows: int = BUCKET_WINDOWS) -> tuple[int, int]:
+    """Buckets for an index that is to hold windows of as many bytes as ``docs`` has, and ids for a group."""
+    size, first, last = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.min("doc_id"), F.max("doc_id")).first()
+    each = (size or 0) / max(1, (last or 0) - (first or 0) + 1)  # bytes for an id
+    return max(16, -(-(size or 0) // (6 * bucket_windows))), int(max(1, min(GROUP_DOCS, GROUP_BYTES // max(1, each))))
 
 
-def remove_repeats(docs: DataFrame, *, shares: tuple[float, ...] = (0.2,), window: int = WINDOW, text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, shares: tuple[float, ...] = (0.05, 0.1, 0.2), window: int = WINDOW, text: bool = False) -> DataFrame:
     """Dedup a whole table as batches in ascending doc_id through a new index. ``shares``: the shares of documents at
-    which a batch ends (about: by approximate quantiles of doc_id); every batch but the last becomes a run."""
-    index = FingerprintIndex(docs.sparkSession, window=window, buckets=layout(docs))
+    which a batch ends (about: by approximate quantiles of doc_id); every batch but the last becomes a run, and a third run
+    brings the first compaction."""
+    buckets, group_docs = layout(docs)
+    index = FingerprintIndex(docs.sparkSession, window=window, buckets=buckets, group_docs=group_docs)
     cuts = docs.agg(F.percentile_approx("doc_id", F.lit(list(shares)), 10_000)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     out = None
