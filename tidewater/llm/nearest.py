@@ -3,21 +3,29 @@
 A vector is approximated by a sum of full-dimensional codewords, one of each residual codebook. Codebooks are trained
 by k-means on the residuals of a bounded sample (``SAMPLE`` vectors of smallest hash). Encoding is a beam search: the
 ``BEAM`` best partial sums go on to the next codebook. With each code the norm of the sum is stored. A query's products
-with all codewords are a lookup table, an approximate score is a sum of its entries (with the stored norm also for
-distances, see :func:`approximate`), and the best ``RERANK`` of a block are scored exactly, in double precision.
+with all codewords are a lookup table, an approximate score is a sum of its entries; with the stored norm it also orders
+by distance (``measure``). The best ``RERANK`` of all rows are scored exactly, in double precision.
 
 Every row is indexed. Queries are searched against all rows in blocks: rows are dealt into blocks of about
-``BLOCK_ROWS`` by id, queries into blocks of about ``BLOCK_QUERIES``, and each task meets one pair of blocks. A task
-returns its ``k`` best for a query, and a window takes the best of these. More than ``k + 1`` equal vectors of a block
-can't all be neighbours: repeated rows of one id are removed, then those of the smallest ids stay, which loses nothing.
-
-Defined results: vectors null, of another length than most, with null or non-finite components or zero take no part,
-nor do rows without id; a query's own id is never its neighbour; ties go to the smaller id; equal rows of one id count
-once; fewer candidates than ``k`` give fewer rows; no rows give none; extra columns are ignored.
+``BLOCK_ROWS`` by id, queries into blocks of about ``BLOCK_QUERIES``, and each task meets one pair of blocks. Only ids,
+codes and norms go to these tasks (some 40 bytes a row), and each query's ``RERANK`` best of a block come back; the best
+of all blocks are then reranked by block of queries, for which each wanted vector is fetched once. What is fetched grows
+with queries x ``RERANK``, not with queries x rows. More than ``k + 1`` equal vectors of a block can't all be neighbours:
+repeated rows of one id are removed, then those of the smallest ids stay, which loses nothing.
+
+``RERANK`` holds over all blocks, so recall falls slowly as the table grows; the tests measure it on one full block of
+vectors without structure, the hardest case.
+
+Defined results: vectors null, with null or non-finite components or zero take no part, nor do rows without id; vectors
+of each length are searched among their own (no product joins two lengths; more than ``LENGTHS`` lengths are an error);
+a query's own id is never its neighbour; ties go to the smaller id; equal rows of one id count once; of an id with
+several vectors each is a candidate and the smallest is its query; fewer candidates than ``k`` give fewer rows; no rows
+give none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-SAMPLE, BOOKS, WORDS, BEAM, RERANK = 16_384, 8, 256, 4, 200
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
+SAMPLE, BOOKS, WORDS, BEAM, RERANK = 16_384, 16, 256, 4, 200
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 1_024
+#: Lengths of vectors that one table may have.
+LENGTHS = 64
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -69,86 +79,128 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 
 def approximate(table: np.ndarray, codes: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
-    """Approximate inner products of one query (``table``: its products with the codewords) with coded rows; with
-    ``norms`` instead 2 q.x - |x|^2, which orders by distance."""
-    s = table[0][codes[:, 0]]
+    """Approximate inner products of one query (``table``: its products with the codewords) with coded rows (codes by
+    book, a row each); with ``norms`` instead 2 q.x - |x|^2, which orders by distance."""
+    s = table[0][codes[0]]
     for m in range(1, len(table)):
-        s = s + table[m][codes[:, m]]
+        s += table[m][codes[m]]
     return s if norms is None else 2 * s - norms * norms
 
 
-def _search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query: its id, neighbours of the block and their scores."""
-    x = np.ascontiguousarray(x) + 0.0  # one zero, not two
-    _, same = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_inverse=True)
-    by = np.lexsort((ids, same))
-    fresh = np.concatenate([[True], np.diff(same[by]) > 0])
-    by = by[fresh | np.concatenate([[True], np.diff(ids[by]) != 0])]  # equal rows of one id count once, before ranks
-    first = np.flatnonzero(np.concatenate([[True], np.diff(same[by]) > 0]))
+def _candidates(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, same: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its id, the ``rerank`` best rows of the block and their approximate scores. ``same``: a digest of
+    each row's vector."""
+    _, group = np.unique(same, axis=0, return_inverse=True)
+    group = group.ravel()
+    by = np.lexsort((ids, group))
+    by = by[np.concatenate([[True], (np.diff(group[by]) != 0) | (np.diff(ids[by]) != 0)])]  # equal rows of one id count once, before ranks
+    first = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) > 0]))
     rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
     keep = by[rank <= k]
-    keep = keep[np.lexsort((same[keep], ids[keep]))]
-    ids, x, codes = ids[keep], x[keep].astype(np.float64), codes[keep]
-    tables = np.einsum("qd,mwd->qmw", q.astype(np.float64), books).astype(np.float32)
+    keep = keep[np.argsort(ids[keep], kind="stable")]
+    ids, codes, norms = ids[keep], np.ascontiguousarray(codes[keep].T), norms[keep].astype(np.float32)
     most = min(rerank + 1, len(ids))
-    for i in range(len(qid)):
-        s = approximate(tables[i], codes)
-        bar = np.partition(s, len(s) - most)[len(s) - most]
-        over = np.flatnonzero(s > bar)
-        cand = np.concatenate([over, np.flatnonzero(s == bar)[: most - len(over)]])  # ids ascend: ties to the smaller
-        cand = cand[ids[cand] != qid[i]]
-        exact = (x[cand] * q[i].astype(np.float64)).sum(1)
-        top = np.lexsort((ids[cand], -exact))[:k]
-        yield np.full(len(top), qid[i]), ids[cand][top], exact[top]
+    for at in range(0, len(qid), 64):
+        tables = np.einsum("qd,mwd->qmw", q[at : at + 64], books).astype(np.float32)
+        for i, table in zip(qid[at : at + 64], tables, strict=True):
+            s = approximate(table, codes, norms if measure == "distance" else None)
+            bar = np.partition(s, len(s) - most)[len(s) - most]
+            over = np.flatnonzero(s > bar)
+            cand = np.concatenate([over, np.flatnonzero(s == bar)[: most - len(over)]])  # ids ascend: ties to the smaller
+            cand = cand[ids[cand] != i]
+            yield np.full(len(cand), i), ids[cand], s[cand]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, x (array of double) of the rows that take part."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x"))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 20, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best found for each row that fulfils ``queries`` (over vec_id)."""
-    spark = vectors.sparkSession
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def search(vectors: DataFrame, queries: Column, *, k: int = 20, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, rerank: int = RERANK, measure: str = "product", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k best found for each row that fulfils ``queries`` (over vec_id). ``measure``:
+    product (greatest inner product; score is it) or distance (smallest Euclidean; score is its negative square)."""
     rows = usable(vectors, id_col, vector_col)
-    size = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not size:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n, n_queries = size[0]
-    rows = rows.where(F.size("x") == d)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()  # ``sample`` rows at most
-    learned = spark.sparkContext.broadcast(train(np.array([r["x"] for r in some]), books, words))  # books x words x d
+    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).orderBy("d").limit(LENGTHS + 1).collect()
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of over {LENGTHS} lengths")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search(rows.where(F.size("x") == d), queries, d, n, q, k, sample, books, words, max(rerank, k), measure) for d, n, q in sizes if q]
+    for f in found:
+        out = f if len(found) == 1 else out.unionByName(f)
+    return out
+
+
+def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k: int, sample: int, books: int, words: int, rerank: int, measure: str) -> DataFrame:
+    spark = rows.sparkSession
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(words, min(sample, (32 << 20) // (8 * d)))).toArrow()  # ``sample`` vectors and 32 MB at most
+    learned = spark.sparkContext.broadcast(train(_matrix(some.column("x").combine_chunks(), d), books, words))  # books x words x d
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                codes, norms = encode(_matrix(part.column(1), d), learned.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "x", "codes", "norm"])
+                x = _matrix(part.column(1), d)
+                codes, norms = encode(x, learned.value)
+                same = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x + 0.0]  # one zero, not two
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(same, pa.binary())], names=["vec_id", "x", "codes", "norm", "same"])
 
-    index = spark.read.parquet(written(rows.mapInArrow(code, "vec_id long, x array<double>, codes binary, norm double"), "codes"))
+    index = spark.read.parquet(written(rows.mapInArrow(code, "vec_id long, x array<double>, codes binary, norm double, same binary"), "codes"))
     row_blocks, query_blocks = -(-n // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
+    salt = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = index.where(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         get = lambda t, c: t.column(c).combine_chunks()
-        codes = np.frombuffer(b"".join(get(right, "codes").to_pylist()), np.uint8).reshape(-1, books)
-        got = list(_search(left.column("vec_id").to_numpy(), _matrix(get(left, "x"), d), right.column("vec_id").to_numpy(), _matrix(get(right, "x"), d), codes, learned.value, k, rerank))
+        got = list(_candidates(get(left, "vec_id").to_numpy(), _matrix(get(left, "x"), d), get(right, "vec_id").to_numpy(), _bytes(get(right, "same"), 16), _bytes(get(right, "codes"), books), get(right, "norm").to_numpy(), learned.value, k, rerank, measure))
         return pa.table([np.concatenate(c) for c in zip(*got, strict=True)], schema=out)
 
-    salt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ask = index.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "x", salt(query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
-    give = index.select("vec_id", "x", "codes", salt(row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
-    near = ask.groupBy("qb", "rb").cogroup(give.groupBy("qb", "rb")).applyInArrow(meet, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ask = asked.select("vec_id", "x", salt("vec_id", query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
+    give = index.select("vec_id", "codes", "norm", "same", salt("vec_id", row_blocks).alias("rb")).withColumn("qb", every(query_blocks))
+    near = ask.groupBy("qb", "rb").cogroup(give.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, vec_id long, near float")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))
+    pairs = near.withColumn("place", place).where(F.col("place") <= rerank).select("query_id", "vec_id").distinct()
+    at = written(pairs, "candidates")
+    pairs, again = (spark.read.schema("query_id long, vec_id long").parquet(at).withColumn("qb", salt("query_id", query_blocks)) for _ in range(2))
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        get = lambda t, c: t.column(c).combine_chunks()
+        x, ids, asks = _matrix(get(right, "x"), d), get(right, "vec_id").to_numpy(), get(right, "asks").to_numpy(zero_copy_only=False).astype(bool)
+        query, cand = get(left, "query_id").to_numpy(), get(left, "vec_id").to_numpy()
+        own, rest = np.flatnonzero(asks)[np.argsort(ids[asks])], np.flatnonzero(~asks)
+        rest = rest[np.argsort(ids[rest], kind="stable")]
+        low, high = np.searchsorted(ids[rest], cand), np.searchsorted(ids[rest], cand, "right")  # an id can have several vectors
+        times = high - low
+        at = rest[np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        query = np.repeat(query, times)
+        me = own[np.searchsorted(ids[own], query)]
+        score = np.empty(len(at))
+        for i in range(0, len(at), 1 << 16):
+            a, b = x[at[i : i + (1 << 16)]], x[me[i : i + (1 << 16)]]
+            score[i : i + (1 << 16)] = (a * b).sum(1) if measure == "product" else -((a - b) ** 2).sum(1)
+        order = np.lexsort((ids[at], -score, query))
+        q, v, s = query[order], ids[at][order], score[order]
+        new = np.concatenate([[True], q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(q) else np.zeros(0, int)
+        top = place < k
+        return pa.table([q[top], (place[top] + 1).astype(np.int32), v[top], s[top]], schema=out)
+
+    wanted = again.select("qb", "vec_id").distinct().join(index.select("vec_id", "x", "same").dropDuplicates(["vec_id", "same"]).drop("same"), "vec_id").select("qb", "vec_id", "x", F.lit(False).alias("asks"))
+    wanted = wanted.unionByName(asked.select(salt("vec_id", query_blocks).alias("qb"), "vec_id", "x", F.lit(True).alias("asks")))
+    return pairs.groupBy("qb").cogroup(wanted.groupBy("qb")).applyInArrow(rank, "query_id long, rank int, vec_id long, score double")
