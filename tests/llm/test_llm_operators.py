@@ -78,6 +78,18 @@ def test_substring(docs, rows, empty):
     assert not substring.remove_repeats(empty).collect()
 
 
+def test_substring_index_is_opened_again(spark, tmp_path):
+    """Runs that were left in a folder are found again by an index of the same layout and refused by any other."""
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = lambda i: spark.createDataFrame([(i, text)], "doc_id long, text string")
+    first = substring.FingerprintIndex(spark, str(tmp_path), buckets=8)
+    assert first.dedup(docs(1)).first()["n_removed"] == 0 and len(first.runs) == 1 and str(tmp_path) in first.runs[0]
+    assert substring.FingerprintIndex(spark, str(tmp_path), buckets=8, runs=first.runs).dedup(docs(2)).first()["n_removed"] == 20
+    for other in ({"buckets": 16}, {"buckets": 8, "window": 12}):
+        with pytest.raises(ValueError):
+            substring.FingerprintIndex(spark, str(tmp_path), runs=first.runs, **other)
+
+
 def _base(text):
     found = []
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -141,13 +153,19 @@ def test_simhash(docs, rows, empty):
     assert not simhash.near_duplicates(empty).collect()
 
 
-def test_covering_loses_no_link():
+@pytest.mark.parametrize("n, layout", [(0, (3, 1)), (10**6, (3, 1)), (10**8, (5, 2)), (10**11, (6, 3))])
+def test_covering_is_chosen_by_count(n, layout):
+    assert simhash.layout_for(n) == layout
+
+
+@pytest.mark.parametrize("layout", simhash.LAYOUTS)
+def test_covering_loses_no_link(layout):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     flips = [rng.choice(64, rng.integers(0, 5), replace=False) for _ in a]
     b = np.array([x ^ np.uint64(sum(1 << int(f) for f in fs)) for x, fs in zip(a, flips, strict=True)])
     met = np.zeros(len(a), bool)
-    code = simhash.Covering()
+    code = simhash.Covering(*layout)
     visits = {(k, r, v) for k, _, row, anchor in code.anchors(b) for r, v in zip(row.tolist(), anchor.tolist(), strict=True)}
     for k, home, _, _ in code.anchors(a):
         met |= np.array([(k, i, h) in visits for i, h in enumerate(home.tolist())])
