@@ -364,3 +364,24 @@ def test_clusters_of_a_matrix(spark):
     assert rows(composed.agglomerate(m, 3), "condition", "cluster") == sorted([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 3)], key=repr)
     with pytest.raises(ValueError):
         composed.samples_in_trials(m, m, ["i"], "d")
+
+
+@pytest.mark.parametrize("width", [0.3, 2.0, 1000.0])
+def test_spread_keys_give_equal_results(spark, width):
+    """Inside time buckets or inside the key: the same positions, neighbours, carried values and sessions."""
+    import random
+
+    rng = random.Random(9)
+    data = [(rng.randrange(3), i, round(rng.uniform(0, 9), 2), rng.choice("abc"), rng.choice([None, 1.0, 2.0])) for i in range(120)]
+    df = spark.createDataFrame(data, "u int, i int, t double, k string, v double")
+    by, order, is_a, spread = ["u"], ["t", "i"], F.col("k") == "a", ("t", width)
+    for f in (
+        lambda **s: sequence.positions(df, by, order, "n", is_a, **s),
+        lambda **s: sequence.neighbours(df, by, order, ["v", "k"], where=is_a, **s),
+        lambda **s: sequence.neighbours(df, by, order, ["v"], **s),
+        lambda **s: sequence.carry_forward(df, by, order, "v", is_a, "c", 7.0, **s),
+        lambda **s: sequence.sessions(df, by, order, is_a, **s),
+    ):
+        one, other = f(), f(spread=spread)
+        assert sorted(one.columns) == sorted(other.columns)
+        assert rows(one, *one.columns) == rows(other, *one.columns)

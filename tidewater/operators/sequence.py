@@ -1,4 +1,9 @@
-"""Order-dependent features of event streams. ``order`` must be total: rows that tie make results undefined."""
+"""Order-dependent features of event streams. ``order`` must be total: rows that tie make results undefined.
+
+With ``spread`` = (time, width), a time that never falls along the order and a width in its unit, positions, neighbours,
+carry_forward and sessions work inside (key, time bucket) and hand on one row for each bucket, so that a key with a third of
+all rows is not one task's work. Without it they work inside the key, in one shuffle.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(events: DataFrame, by: list[str], order: list[str], name: str = "sequence", where: Column | None = None) -> DataFrame:
+def _cut(events: DataFrame, spread: tuple[str, float]) -> DataFrame:
+    time, width = spread
+    seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6 if "timestamp" in events.schema[time].dataType.typeName() else F.col(time)
+    return events.withColumn("__b", F.floor(seconds / width))
+
+
+def positions(events: DataFrame, by: list[str], order: list[str], name: str = "sequence", where: Column | None = None, spread: tuple[str, float] | None = None) -> DataFrame:
     """``name`` from 0 and ``name``_from_last up to 0 within ``by``; null on rows that ``where`` leaves out."""
     chosen = (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).cast("long")
+    if spread:
+        rows = _cut(events, spread).withColumn("__chosen", chosen)
+        inside = F.sum("__chosen").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        sums = rows.groupBy(*by, "__b").agg(F.sum("__chosen").alias("__s"))
+        whole = Window.partitionBy(*by)
+        before = sums.select(*by, "__b", (F.sum("__s").over(whole.orderBy("__b")) - F.col("__s")).alias("__before"), F.sum("__s").over(whole).alias("__all"))
+        n = F.col("__inside") + F.col("__before") - 1
+        out = rows.withColumn("__inside", inside).join(before, [*by, "__b"])
+        out = out.withColumns({name: F.when(F.col("__chosen") == 1, n), f"{name}_from_last": F.when(F.col("__chosen") == 1, n - F.col("__all") + 1)})
+        return out.drop("__b", "__chosen", "__inside", "__before", "__all")
     part = Window.partitionBy(*by)  # that of the other operators here, so that one shuffle serves all
     n = F.sum(chosen).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
     last = n - F.sum(chosen).over(part) + 1
     return events.withColumns({name: F.when(chosen == 1, n), f"{name}_from_last": F.when(chosen == 1, last)})
 
 
-def neighbours(events: DataFrame, by: list[str], order: list[str], columns: list[str], before: str = "pre", after: str = "post", where: Column | None = None) -> DataFrame:
+def neighbours(events: DataFrame, by: list[str], order: list[str], columns: list[str], before: str = "pre", after: str = "post", where: Column | None = None, spread: tuple[str, float] | None = None) -> DataFrame:
     """Each column's value on the row before and after; with ``where`` only if that row fulfils it."""
-    w = Window.partitionBy(*by).orderBy(*order)
     value = lambda c: F.col(c) if where is None else F.when(where, F.col(c))
+    if spread:
+        rows = _cut(events, spread).withColumn("__v", F.struct(*[value(c).alias(c) for c in columns]))
+        w = Window.partitionBy(*by, "__b").orderBy(*order)
+        at = F.struct(*order, "__v")
+        ends = rows.groupBy(*by, "__b").agg(F.min(at)["__v"].alias("__first"), F.max(at)["__v"].alias("__last"))
+        over = Window.partitionBy(*by).orderBy("__b")
+        sides = ends.select(*by, "__b", F.lag("__last").over(over).alias("__left"), F.lead("__first").over(over).alias("__right"))
+        joined = rows.withColumns({"__lag": F.lag("__v").over(w), "__lead": F.lead("__v").over(w)}).join(sides, [*by, "__b"])
+        pre, post = F.coalesce("__lag", "__left"), F.coalesce("__lead", "__right")
+        return joined.withColumns({f"{c}_{before}": pre[c] for c in columns} | {f"{c}_{after}": post[c] for c in columns}).drop("__b", "__v", "__lag", "__lead", "__left", "__right")
+    w = Window.partitionBy(*by).orderBy(*order)
     return events.withColumns({f"{c}_{before}": F.lag(value(c)).over(w) for c in columns} | {f"{c}_{after}": F.lead(value(c)).over(w) for c in columns})
 
 
@@ -32,10 +63,18 @@ def merge_runs(events: DataFrame, by: list[str], order: list[str], kind: str, me
     return sized.withColumn("span", F.lead(time).over(w) - F.col(time)).drop("__new", "__run")
 
 
-def carry_forward(events: DataFrame, by: list[str], order: list[str], value: str, where: Column, name: str, default: float) -> DataFrame:
-    """The value of the last row before this one that fulfils ``where``, or the default."""
+def carry_forward(events: DataFrame, by: list[str], order: list[str], value: str, where: Column, name: str, default: float, spread: tuple[str, float] | None = None) -> DataFrame:
+    """The value of the last row before this one that fulfils ``where`` and has one, or the default."""
+    held = F.when(where, F.col(value))
+    if spread:
+        rows = _cut(events, spread).withColumn("__v", held)
+        inside = F.last("__v", ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        ends = rows.groupBy(*by, "__b").agg(F.max(F.when(F.col("__v").isNotNull(), F.struct(*order, "__v")))["__v"].alias("__last"))
+        past = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        handed = ends.select(*by, "__b", F.last("__last", ignorenulls=True).over(past).alias("__before"))
+        return rows.withColumn("__inside", inside).join(handed, [*by, "__b"]).withColumn(name, F.coalesce("__inside", "__before", F.lit(default))).drop("__b", "__v", "__inside", "__before")
     past = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn(name, F.coalesce(F.last(F.when(where, F.col(value)), ignorenulls=True).over(past), F.lit(default)))
+    return events.withColumn(name, F.coalesce(F.last(held, ignorenulls=True).over(past), F.lit(default)))
 
 
 def drop_close(events: DataFrame, by: list[str], order: list[str], time: str, least: float, size: str) -> DataFrame:
@@ -48,8 +87,14 @@ def drop_close(events: DataFrame, by: list[str], order: list[str], time: str, le
     return events.withColumn("__goes", F.coalesce(goes, F.lit(False))).where("not __goes").drop("__goes")
 
 
-def sessions(events: DataFrame, by: list[str], order: list[str], anchor: Column) -> DataFrame:
+def sessions(events: DataFrame, by: list[str], order: list[str], anchor: Column, spread: tuple[str, float] | None = None) -> DataFrame:
     """session: how many anchor rows there are up to this one (0 before the first)."""
+    if spread:
+        rows = _cut(events, spread).withColumn("__a", F.coalesce(anchor, F.lit(False)).cast("long"))
+        inside = F.sum("__a").over(Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        sums = rows.groupBy(*by, "__b").agg(F.sum("__a").alias("__s"))
+        before = sums.select(*by, "__b", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__b")) - F.col("__s")).alias("__before"))
+        return rows.withColumn("__inside", inside).join(before, [*by, "__b"]).withColumn("session", F.col("__inside") + F.col("__before")).drop("__b", "__a", "__inside", "__before")
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("session", F.sum(F.coalesce(anchor, F.lit(False)).cast("long")).over(w))
 

@@ -9,6 +9,8 @@ from ..operators import aggregates, intervals, sampling, sequence, stats, trigge
 from .registry import query, table
 
 ORDER = ["ts", "event_id"]
+#: A key's rows are dealt by weeks, so that a user of very many events is not one task's work.
+WEEK = ("ts", 604800.0)
 R = lambda c, name: F.round(c, 6).alias(name)
 
 
@@ -46,14 +48,14 @@ def event_sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_id, case when event_type in ('view', 'click') then row_number() over w - 1 end::bigint as fix, case when event_type in ('view', 'click') then row_number() over w - count(*) over (partition by user_id, event_type in ('view', 'click')) end::bigint as fix_from_last
 from events window w as (partition by user_id, event_type in ('view', 'click') order by ts, event_id)""")
 def sequence_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sequence.positions(events(spark, sf_dir), ["user_id"], ORDER, "fix", F.col("event_type").isin("view", "click"))
+    out = sequence.positions(events(spark, sf_dir), ["user_id"], ORDER, "fix", F.col("event_type").isin("view", "click"), WEEK)
     return out.select("event_id", F.col("fix").cast("long").alias("fix"), F.col("fix_from_last").cast("long").alias("fix_from_last"))
 
 
 @query("""
 select event_id, lag(case when event_type = 'click' then value end) over w as value_pre, lead(case when event_type = 'click' then value end) over w as value_post from events window w as (partition by user_id order by ts, event_id)""")
 def neighbour_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.neighbours(events(spark, sf_dir), ["user_id"], ORDER, ["value"], where=F.col("event_type") == "click").select("event_id", "value_pre", "value_post")
+    return sequence.neighbours(events(spark, sf_dir), ["user_id"], ORDER, ["value"], where=F.col("event_type") == "click", spread=WEEK).select("event_id", "value_pre", "value_post")
 
 
 @query(f"""
@@ -70,7 +72,7 @@ def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select event_id, coalesce(last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 4.0) as carried from events""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.carry_forward(events(spark, sf_dir), ["user_id"], ORDER, "value", F.col("event_type") == "purchase", "carried", 4.0).select("event_id", "carried")
+    return sequence.carry_forward(events(spark, sf_dir), ["user_id"], ORDER, "value", F.col("event_type") == "purchase", "carried", 4.0, WEEK).select("event_id", "carried")
 
 
 @query(f"""
@@ -208,7 +210,7 @@ def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 with s as (select *, count(*) filter (event_type = 'signup') over (partition by user_id order by ts, event_id rows unbounded preceding) as session from events)
 select user_id, session::bigint as session, count(*)::bigint as n from s group by all""")
 def anchored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.sessions(events(spark, sf_dir), ["user_id"], ORDER, F.col("event_type") == "signup").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    return sequence.sessions(events(spark, sf_dir), ["user_id"], ORDER, F.col("event_type") == "signup", WEEK).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
 @query("""
