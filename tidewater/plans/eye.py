@@ -133,10 +133,10 @@ def adjacent_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.adjacent(left, right, ["user_id"], "t", "s", {"value": "duration", "e": "other"}).select("event_id", "duration")
 
 
-@query(f"with {EYE} select event_id, round(mean_gx - 512, 9) as x, round(384 - mean_gy, 9) as y, round((mean_gx - 512) / 512, 9) as sx, round((384 - mean_gy) / 384, 9) as sy from eye")
+@query(f"with {EYE} select event_id, mean_gx - 512 as x, 384 - mean_gy as y, (mean_gx - 512) / 512 as sx, (384 - mean_gy) / 384 as sy from eye")
 def screen_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = enrich.on_screen(eye(spark, sf_dir), "mean_gx", "mean_gy", 1024, 768)
-    return out.select("event_id", *[F.round(a, 9).alias(b) for a, b in (("mean_gx_centred", "x"), ("mean_gy_centred", "y"), ("mean_gx_scaled", "sx"), ("mean_gy_scaled", "sy"))])
+    return out.select("event_id", *[F.col(a).alias(b) for a, b in (("mean_gx_centred", "x"), ("mean_gy_centred", "y"), ("mean_gx_scaled", "sx"), ("mean_gy_scaled", "sy"))])
 
 
 @query("with v as (select event_id, event_type, case when event_type in ('view', 'click') then value / 1000 else value end as v from events), m as (select event_type, median(v) as m from v group by 1) select event_id, round(case when m < 1 then v * 1000 else v end, 6) as v from v join m using (event_type)")
