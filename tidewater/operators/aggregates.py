@@ -220,7 +220,8 @@ def exact_quantiles(df: DataFrame, value: str, ps: list[float]) -> DataFrame:
     rank = lambda p: F.lit(p) * (F.col("__all") - 1)
     picks = [F.min(F.when(has(f(rank(p))), F.col("__v"))).alias(f"__{k}{n}") for k, p in enumerate(ps) for n, f in (("a", F.floor), ("b", F.ceil))]
     got = placed.agg(F.first("__all").alias("__all"), *picks)
-    lines = [F.col(f"__{k}a") + (F.col(f"__{k}b") - F.col(f"__{k}a")) * (rank(p) - F.floor(rank(p))) for k, p in enumerate(ps)]
+    between = lambda k, r: (F.ceil(r) - r) * F.col(f"__{k}a") + (r - F.floor(r)) * F.col(f"__{k}b")
+    lines = [F.when(F.floor(rank(p)) == rank(p), F.col(f"__{k}a")).otherwise(between(k, rank(p))) for k, p in enumerate(ps)]
     return got.select(F.array(*lines).alias("__q"))
 
 
