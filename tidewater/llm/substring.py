@@ -38,7 +38,9 @@ WINDOW = 13
 GROUP_DOCS = 2048
 GROUP_BYTES = 16 << 20
 #: Windows of a bucket, for which an index is laid out.
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 1_000_000
+#: Windows that a map task sorts and sends at once.
+SENT_AT_ONCE = 1_000_000
 FANOUT = 2
 HISTORY = -1
 _Q1, _Q2 = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F
@@ -110,25 +112,31 @@ class FingerprintIndex:
     def _windows(self, docs: DataFrame) -> DataFrame:
         window, buckets, group_docs = self.window, self.buckets, self.group_docs
 
+        def sent(k: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+            """Each fingerprint of a group once, by bucket and group, sorted."""
+            order = np.lexsort((k, g)) if (g != g[0]).any() else np.argsort(k)
+            k, g = k[order], g[order]
+            once = np.ones(len(k), bool)
+            once[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+            k, g = k[once], g[once]
+            b = _bucket(k, buckets)
+            cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (g[1:] != g[:-1])]))
+            return _rows([(int(b[i]), int(g[i])) for i in cut], np.split(k, cut[1:]), ["bucket", "grp", "n", "keys"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, groups = [], []
+                keys, groups, held = [], [], 0
                 for part in slices(batch):
                     w = Words(text_column(part))
                     at, k = window_fingerprints(w, window)
                     keys.append(k)
                     groups.append(np.floor_divide(part.column(0).to_numpy(zero_copy_only=False), group_docs)[w.doc[at]])
-                if not keys or not sum(map(len, keys)):
-                    continue
-                k, g = np.concatenate(keys), np.concatenate(groups)
-                order = np.lexsort((k, g)) if g[0] != g[-1] or (g != g[0]).any() else np.argsort(k)
-                k, g = k[order], g[order]
-                once = np.ones(len(k), bool)
-                once[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
-                k, g = k[once], g[once]
-                b = _bucket(k, buckets)
-                cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (g[1:] != g[:-1])]))
-                yield _rows([(int(b[i]), int(g[i])) for i in cut], np.split(k, cut[1:]), ["bucket", "grp", "n", "keys"])
+                    held += len(k)
+                    if held > SENT_AT_ONCE:
+                        yield sent(np.concatenate(keys), np.concatenate(groups))
+                        keys, groups, held = [], [], 0
+                if held:
+                    yield sent(np.concatenate(keys), np.concatenate(groups))
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
         return rows.mapInArrow(run, "bucket int, grp long, n int, keys binary")
