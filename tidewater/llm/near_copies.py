@@ -76,12 +76,12 @@ def _prints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFr
     return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, PRINTS)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Sorted rows in batches of whole groups (equal in their first ``keys`` columns) of about ``most`` bytes of text, one
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int = 2 << 20, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows in batches of whole groups (equal in their first ``keys`` columns) of about ``most`` bytes in column ``text``, one
     group at least; and the number of each row's group in its batch."""
 
     def cut(rows: pa.RecordBatch, begin: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        size = np.concatenate([[0], np.cumsum(pc.binary_length(text_column(rows)).to_numpy(zero_copy_only=False) + 8)])
+        size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(rows.column(rows.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False) + 8)])
         edges, at = np.append(begin, rows.num_rows), 0
         while at < len(begin):
             end = max(at + 1, int(np.searchsorted(size[edges], size[edges[at]] + most, "right")) - 1)
@@ -193,7 +193,8 @@ def buckets(reps: DataFrame) -> DataFrame:
     return members.join(hubs, ["band", "key"])
 
 
-def _compared_with_hubs(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, share: int) -> DataFrame:
+def verified(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, share: int) -> DataFrame:
+    """a, b: the links of members (node, same, size: bytes of text, hub: struct of same and node) with their hubs."""
     pairs = members.where("same <> hub.same").select("node", "same", "size", F.col("hub.same").alias("hub"), F.col("hub.node").alias("hub_node")).distinct()
     parts = pairs.groupBy("hub", "hub_node").agg(F.ceil((F.sum("size") + 1) / share).cast("int").alias("parts"))
     asked = pairs.join(parts.drop("hub_node"), "hub").select("hub", F.expr("cast(pmod(xxhash64(same), parts) as int)").alias("part"), F.lit(1).alias("side"), "node", "same")
@@ -248,7 +249,7 @@ def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = S
     reps = kept(prints.groupBy("same").agg(first).select("same", F.col("r.id").alias("node"), "r.size", "r.fp", "r.keys"), "classes")
     members = kept(buckets(reps), "buckets")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    linked = kept(_compared_with_hubs(members, texts, shingle, similarity, share), "links")
+    linked = kept(verified(members, texts, shingle, similarity, share), "links")
     rest = _compared_with_the_rest(members, linked, texts, shingle, similarity, share)
     # rows of one id but different texts are one document
     several = prints.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("id")

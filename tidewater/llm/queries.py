@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, middle, mixing, nearest, quality_fm, quality_rules, secrets, simhash, spelling, substring, token_counts
+from . import bpe, licenses, middle, mixing, nearest, ngram_join, quality_fm, quality_rules, secrets, simhash, spelling, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), domain=mix_domain(), weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_simhash_neardup, op5_nearest, op6_quality_fm, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_mixing, op12_spellings, op13_fill_in_middle)
+    for f in (op1_substring_dedup, op2_secret_scan, op3_token_counts, op4_simhash_neardup, op5_nearest, op6_quality_fm, op7_license_scan, op8_quality_rules, op9_byte_bpe, op10_mixing, op11_ngram_join, op12_spellings, op13_fill_in_middle)
 }
-ORACLES: dict[str, str] = {"op2_secret_scan": secrets.ORACLE_SQL, "op10_mixing": mixing.oracle_sql(DOMAIN.replace("cast(", "try_cast("), WEIGHTS, SHARE, MAX_EPOCHS, SEED), "op12_spellings": spelling.ORACLE_SQL, "op13_fill_in_middle": middle.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_secret_scan": secrets.ORACLE_SQL, "op10_mixing": mixing.oracle_sql(DOMAIN.replace("cast(", "try_cast("), WEIGHTS, SHARE, MAX_EPOCHS, SEED), "op11_ngram_join": ngram_join.ORACLE_SQL, "op12_spellings": spelling.ORACLE_SQL, "op13_fill_in_middle": middle.ORACLE_SQL}
