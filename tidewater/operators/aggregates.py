@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, with_quantiles
+
 
 #: Values that a label may have to be laid out in a grid.
 MOST_LABELS = 10_000
@@ -132,7 +134,7 @@ def elementwise_median(df: DataFrame, by: list[str], array: str, least: int = 1,
     """Median of the arrays of each group, element by element; groups of fewer than ``least`` arrays are left out, or with a
     ``domain`` (the keys that are to be there) have a null."""
     parts = df.select(*by, F.posexplode(array).alias("pos", "x"))
-    med = parts.groupBy(*by, "pos").agg(F.median("x").alias("m"), F.count("x").alias("n")).where(F.col("n") >= least)
+    med = exact_quantiles(parts, "x", [0.5], [*by, "pos"], count="n").select(*by, "pos", F.col("__q")[0].alias("m"), "n").where(F.col("n") >= least)
     out = med.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(array), F.max("n").alias("n"))
     return out if domain is None else domain.select(*by).join(out, by, "left")
 
@@ -140,8 +142,9 @@ def elementwise_median(df: DataFrame, by: list[str], array: str, least: int = 1,
 def quantile_bin_arrays(df: DataFrame, value: str, array: str, n: int) -> DataFrame:
     """bin, the elementwise median of its arrays, its number of rows and its median value."""
     binned = quantile_bins(df, value, n)
-    scalars = binned.groupBy("bin").agg(F.count("*").alias("rows"), F.median(value).alias("median"))
-    return elementwise_median(binned, ["bin"], array).drop("n").join(scalars, "bin")
+    rows = binned.groupBy("bin").agg(F.count("*").alias("rows"))
+    medians = exact_quantiles(binned, value, [0.5], ["bin"]).select("bin", F.col("__q")[0].alias("median"))
+    return elementwise_median(binned, ["bin"], array).drop("n").join(rows, "bin").join(medians, "bin", "left")
 
 
 def elementwise_mean(df: DataFrame, by: list[str], array: str) -> DataFrame:
@@ -194,35 +197,8 @@ def quality_report(df: DataFrame, required: list[str], enums: dict[str, list[str
 
 
 def percentile_filter(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """Rows up to their group's percentile (without ``by``: the table's, exact by ranks); nulls go."""
-    if not by:
-        q = exact_quantiles(df, value, [p]).select(F.col("__q")[0].alias("__q"))
-        return df.crossJoin(F.broadcast(q)).where(F.col(value) <= F.col("__q")).drop("__q")  # one row
-    q = df.groupBy(*by).agg(F.percentile(value, p).alias("__q"))
-    return df.join(q, by).where(F.col(value) <= F.col("__q")).drop("__q")
-
-
-def exact_quantiles(df: DataFrame, value: str, ps: list[float]) -> DataFrame:
-    """One row, __q: the exact quantiles (straight lines between ranks) of a whole column, null without rows. No task holds
-    the column: values are counted, ranked inside ranges (:func:`tidewater.operators.vectors.global_rank` does the same)
-    and only the values at the wanted ranks are picked."""
-    parts = 200
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    cuts = counts.agg(F.percentile_approx("__v", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000)).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("__v"))) if cuts else F.lit(0)
-    ranged = counts.withColumn("__part", at)
-    sizes = ranged.groupBy("__part").agg(F.sum("__n").alias("__t"))
-    everything = Window.partitionBy(F.lit(0))
-    before = sizes.select("__part", (F.sum("__t").over(everything.orderBy("__part")) - F.col("__t")).alias("__before"), F.sum("__t").over(everything).alias("__all"))  # ``parts`` rows
-    end = F.col("__before") + F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.join(F.broadcast(before), "__part").withColumn("__end", end)  # ranks (from 0) end - n to end - 1
-    has = lambda r: (r >= F.col("__end") - F.col("__n")) & (r < F.col("__end"))
-    rank = lambda p: F.lit(p) * (F.col("__all") - 1)
-    picks = [F.min(F.when(has(f(rank(p))), F.col("__v"))).alias(f"__{k}{n}") for k, p in enumerate(ps) for n, f in (("a", F.floor), ("b", F.ceil))]
-    got = placed.agg(F.first("__all").alias("__all"), *picks)
-    between = lambda k, r: (F.ceil(r) - r) * F.col(f"__{k}a") + (r - F.floor(r)) * F.col(f"__{k}b")
-    lines = [F.when(F.floor(rank(p)) == rank(p), F.col(f"__{k}a")).otherwise(between(k, rank(p))) for k, p in enumerate(ps)]
-    return got.select(F.array(*lines).alias("__q"))
+    """Rows up to their group's exact percentile (without ``by``: the table's); nulls go."""
+    return with_quantiles(df, value, [p], by).where(F.col(value) <= F.col("__q")[0]).drop("__q")
 
 
 def last_winner(df: DataFrame, by: list[str], label: str, value: str, ties: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
+from .quantiles import exact_quantiles
 
 
 def window(x: Column, low: int, high: int) -> Column:
@@ -137,7 +138,7 @@ def sampling_rate(samples: DataFrame, by: list[str], time: str) -> DataFrame:
     """Whole samples a second: one over the median step."""
     w = Window.partitionBy(*by).orderBy(time)
     steps = samples.select(*by, (F.col(time) - F.lag(time).over(w)).alias("__d"))
-    return steps.groupBy(*by).agg(F.round(1 / F.median("__d")).cast("long").alias("rate"))
+    return exact_quantiles(steps, "__d", [0.5], by).select(*by, F.round(1 / F.col("__q")[0]).cast("long").alias("rate"))
 
 
 def spectra(df: DataFrame, key: list[str], x: str, rate: float, length: int, overlap: int, average: str = "mean") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays, intervals, reports, sampling, sequence, vectors
+from .quantiles import exact_quantiles, with_quantiles
 
 
 def samples_in_trials(samples: DataFrame, trials: DataFrame, by: list[str], time: str, bucket: float = 60.0) -> tuple[DataFrame, DataFrame]:
@@ -34,9 +35,9 @@ def pupil_traces(df: DataFrame, by: list[str], x: str, end: str, step: float, ta
     """Traces without what follows their event's end; those whose least or greatest value is beyond the group's tails go; the
     rest is scaled by the group's median and interquartile range over all elements."""
     cut = arrays.masked_after(df, x, end, step).withColumns({"__lo": F.array_min(x), "__hi": F.array_max(x)})
-    bars = cut.groupBy(*by).agg(F.percentile("__lo", tails[0]).alias("__a"), F.percentile("__hi", tails[1]).alias("__b"))
-    kept = cut.join(bars, by).where((F.col("__lo") >= F.col("__a")) & (F.col("__hi") <= F.col("__b"))).drop("__lo", "__hi", "__a", "__b")
-    q = kept.select(*by, F.explode(x).alias("__v")).groupBy(*by).agg(F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    low, high = (exact_quantiles(cut, c, [p], by).withColumnRenamed("__q", f"{c}_bar") for c, p in (("__lo", tails[0]), ("__hi", tails[1])))
+    kept = cut.join(low, by).join(high, by).where((F.col("__lo") >= F.col("__lo_bar")[0]) & (F.col("__hi") <= F.col("__hi_bar")[0])).drop("__lo", "__hi", "__lo_bar", "__hi_bar")
+    q = exact_quantiles(kept.select(*by, F.explode(x).alias("__v")), "__v", [0.25, 0.5, 0.75], by)
     iqr = F.col("__q")[2] - F.col("__q")[0]
     return kept.join(q, by).withColumn(x, F.transform(x, lambda v: (v - F.col("__q")[1]) / F.when(iqr > 0, iqr).otherwise(1.0))).drop("__q")
 
@@ -45,10 +46,11 @@ def scaled(df: DataFrame, by: list[str], value: str, how: str = "robust", name:
     """robust ((x - median) / IQR), standard ((x - mean) / sd, population) or median (x - median), by group."""
     if how == "robust":
         return sequence.robust_scale(df, by, value, name)
-    stats_ = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"), F.median(value).alias("__q"))
-    joined, v = df.join(stats_, by), F.col(value)
-    out = (v - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0) if how == "standard" else v - F.col("__q")
-    return joined.withColumn(name, out).drop("__m", "__s", "__q")
+    v = F.col(value)
+    if how == "median":
+        return with_quantiles(df, value, [0.5], by).withColumn(name, v - F.col("__q")[0]).drop("__q")
+    joined = df.join(df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s")), by)
+    return joined.withColumn(name, (v - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0)).drop("__m", "__s")
 
 
 def complete(df: DataFrame, required: list[str]) -> DataFrame:

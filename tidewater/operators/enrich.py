@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals, sequence
+from .quantiles import exact_quantiles
 
 #: Seconds between a trigger and what is on the screen.
 DELAY = 0.02
@@ -139,6 +140,6 @@ def degrees_per_pixel(pixels: float, size_cm: float, distance_cm: float) -> floa
 
 def in_milliseconds(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Groups whose median is below 1 are in seconds: these become milliseconds."""
-    medians = df.groupBy(*by).agg(F.median(value).alias("__median")) if by else df.agg(F.median(value).alias("__median"))
-    joined = df.join(medians, by) if by else df.crossJoin(F.broadcast(medians))  # one row
-    return joined.withColumn(value, F.when(F.col("__median") < 1, F.col(value) * 1000).otherwise(F.col(value))).drop("__median")
+    medians = exact_quantiles(df, value, [0.5], by)
+    joined = df.join(medians, by, "left") if by else df.crossJoin(F.broadcast(medians))  # one row
+    return joined.withColumn(value, F.when(F.col("__q")[0] < 1, F.col(value) * 1000).otherwise(F.col(value))).drop("__q")

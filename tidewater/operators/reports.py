@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import messages
 from . import aggregates, arrays, intervals, labels, models, sequence, stats, triggers, vectors
+from .quantiles import exact_quantiles
 
 
 def audit_session(raw: DataFrame, session: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +86,7 @@ def similarity_course(df: DataFrame, by: list[str], label: str, x: str, model: D
     """by, t, rho, n: medians of each label's traces, their dissimilarities in stretches of ``width`` elements, and the rank
     correlation of each stretch's matrix with the model's."""
     parts = df.select(*by, label, F.posexplode(x).alias("__pos", "__v"))
-    medians = parts.groupBy(*by, label, "__pos").agg(F.median("__v").alias("__v"), F.count("*").alias("__n")).where(F.col("__n") >= least)
+    medians = exact_quantiles(parts, "__v", [0.5], [*by, label, "__pos"], count="__n").withColumn("__v", F.col("__q")[0]).where(F.col("__n") >= least)
     cut = medians.groupBy(*by, F.floor(F.col("__pos") / width).alias("t"), label).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__v"))), lambda s: s["__v"]).alias("__x"))
     return vectors.matrix_correlation(vectors.dissimilarity(cut, label, "__x", [*by, "t"]), model, [*by, "t"])
 

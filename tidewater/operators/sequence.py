@@ -1,8 +1,8 @@
 """Order-dependent features of event streams. ``order`` must be total: rows that tie make results undefined.
 
-With ``spread`` = (time, width), a time that never falls along the order and a width in its unit, positions, neighbours,
-carry_forward and sessions work inside (key, time bucket) and hand on one row for each bucket, so that a key with a third of
-all rows is not one task's work. Without it they work inside the key, in one shuffle.
+With ``spread`` = (time, width), a time that never falls along the order and a width in its unit, the operators work inside
+(key, time bucket) and hand on one row for each bucket (:mod:`tidewater.operators.scans`), so that a key with a third of all
+rows is not one task's work. Without it they work inside the key, in one shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, with_quantiles
+from .scans import scan
+
 
 def _cut(events: DataFrame, spread: tuple[str, float]) -> DataFrame:
     time, width = spread
@@ -53,14 +56,14 @@ def neighbours(events: DataFrame, by: list[str], order: list[str], columns: list
     return events.withColumns({f"{c}_{before}": F.lag(value(c)).over(w) for c in columns} | {f"{c}_{after}": F.lead(value(c)).over(w) for c in columns})
 
 
-def merge_runs(events: DataFrame, by: list[str], order: list[str], kind: str, merged: str, time: str) -> DataFrame:
+def merge_runs(events: DataFrame, by: list[str], order: list[str], kind: str, merged: str, time: str, spread: tuple[str, float] | None = None) -> DataFrame:
     """Keeps the first row of each run of consecutive rows whose ``kind`` is ``merged``: run_length is the run's size and
     span the time from it to the next row that is kept (null at the end). Other rows are runs of their own."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    same = F.coalesce((F.col(kind) == merged) & (F.lag(kind).over(w) == merged), F.lit(False))
-    marked = events.withColumn("__new", (~same).cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = marked.withColumn("run_length", F.count("*").over(Window.partitionBy(*by, "__run"))).where("__new = 1")
-    return sized.withColumn("span", F.lead(time).over(w) - F.col(time)).drop("__new", "__run")
+    numbered = scan(events, by, order, spread, sums={"__row": F.lit(1)}, totals={"__rows": F.lit(1)}, before={"__kind": F.col(kind)})
+    first = numbered.where(~F.coalesce((F.col(kind) == merged) & (F.col("__kind") == merged), F.lit(False)))
+    found = scan(first, by, order, spread, after={"__next": F.struct("__row", F.col(time).alias("t"))})
+    length = F.coalesce(F.col("__next.__row"), F.col("__rows") + 1) - F.col("__row")
+    return found.withColumns({"run_length": length, "span": F.col("__next.t") - F.col(time)}).drop("__row", "__rows", "__kind", "__next")
 
 
 def carry_forward(events: DataFrame, by: list[str], order: list[str], value: str, where: Column, name: str, default: float, spread: tuple[str, float] | None = None) -> DataFrame:
@@ -77,14 +80,14 @@ def carry_forward(events: DataFrame, by: list[str], order: list[str], value: str
     return events.withColumn(name, F.coalesce(F.last(held, ignorenulls=True).over(past), F.lit(default)))
 
 
-def drop_close(events: DataFrame, by: list[str], order: list[str], time: str, least: float, size: str) -> DataFrame:
+def drop_close(events: DataFrame, by: list[str], order: list[str], time: str, least: float, size: str, spread: tuple[str, float] | None = None) -> DataFrame:
     """Of two consecutive rows closer than ``least`` the one of smaller ``size`` goes (ties: the later). Pairs are judged
     on the input, so a drop does not bring other rows together."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    close_before = F.col(time) - F.lag(time).over(w) < least
-    close_after = F.lead(time).over(w) - F.col(time) < least
-    goes = (close_before & (F.col(size) <= F.lag(size).over(w))) | (close_after & (F.col(size) < F.lead(size).over(w)))
-    return events.withColumn("__goes", F.coalesce(goes, F.lit(False))).where("not __goes").drop("__goes")
+    both = F.struct(F.col(time).alias("t"), F.col(size).alias("s"))
+    rows = scan(events, by, order, spread, before={"__pre": both}, after={"__post": both})
+    close_before, close_after = F.col(time) - F.col("__pre.t") < least, F.col("__post.t") - F.col(time) < least
+    goes = (close_before & (F.col(size) <= F.col("__pre.s"))) | (close_after & (F.col(size) < F.col("__post.s")))
+    return rows.where(~F.coalesce(goes, F.lit(False))).drop("__pre", "__post")
 
 
 def sessions(events: DataFrame, by: list[str], order: list[str], anchor: Column, spread: tuple[str, float] | None = None) -> DataFrame:
@@ -99,14 +102,22 @@ def sessions(events: DataFrame, by: list[str], order: list[str], anchor: Column,
     return events.withColumn("session", F.sum(F.coalesce(anchor, F.lit(False)).cast("long")).over(w))
 
 
-def spans(events: DataFrame, by: list[str], order: list[str], time: str, anchor: Column) -> DataFrame:
+def spans(events: DataFrame, by: list[str], order: list[str], time: str, anchor: Column, spread: tuple[str, float] | None = None) -> DataFrame:
     """One row from each anchor row to the next: by, trial (from 1), onset, offset (null at the end)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return events.where(anchor).select(*by, F.row_number().over(w).cast("long").alias("trial"), F.col(time).alias("onset"), F.lead(time).over(w).alias("offset"))
+    found = scan(events.where(anchor), by, order, spread, sums={"__n": F.lit(1)}, after={"__to": F.col(time)})
+    return found.select(*by, F.col("__n").cast("long").alias("trial"), F.col(time).alias("onset"), F.col("__to").alias("offset"))
 
 
-def moving_average(events: DataFrame, by: list[str], order: list[str], value: str, reach: int = 2, name: str = "smooth") -> DataFrame:
-    return events.withColumn(name, F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-reach, reach)))
+def moving_average(events: DataFrame, by: list[str], order: list[str], value: str, reach: int = 2, name: str = "smooth", spread: tuple[str, float] | None = None) -> DataFrame:
+    """Mean of the values of the ``reach`` rows before, the row, and those after; rows that are not there and nulls don't count."""
+    if not spread:
+        return events.withColumn(name, F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-reach, reach)))
+    rows = events
+    for k in range(1, reach + 1):  # each step takes the neighbours' neighbours
+        rows = scan(rows, by, order, spread, before={f"__b{k}": F.col(f"__b{k - 1}" if k > 1 else value)}, after={f"__a{k}": F.col(f"__a{k - 1}" if k > 1 else value)})
+    seen = F.array_compact(F.array(*[F.col(f"__b{k}") for k in range(reach, 0, -1)], F.col(value), *[F.col(f"__a{k}") for k in range(1, reach + 1)]))
+    mean = F.aggregate(seen, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(seen), F.lit(0))
+    return rows.withColumn(name, mean).select(*[c for c in events.columns if c != name], name)
 
 
 def ranks(events: DataFrame, by: list[str], value: str, ties: list[str], reject: float = 0.02) -> DataFrame:
@@ -125,9 +136,8 @@ def days_from_first(events: DataFrame, by: list[str], time: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, by: list[str], value: str, name: str = "scaled") -> DataFrame:
     """(x - median) / IQR by group; an IQR of 0 counts as 1."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
     iqr = F.col("__q")[2] - F.col("__q")[0]
-    return df.join(q, by).withColumn(name, (F.col(value) - F.col("__q")[1]) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("__q")
+    return with_quantiles(df, value, [0.25, 0.5, 0.75], by).withColumn(name, (F.col(value) - F.col("__q")[1]) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("__q")
 
 
 def displacement(df: DataFrame, by: list[str], order: list[str], axes: list[str], name: str = "displacement") -> DataFrame:
@@ -149,7 +159,7 @@ def repositioning(df: DataFrame, by: list[str], run: list[str], order: list[str]
     """By group the standard deviation, over runs, of where each run begins: the medians of its first ``first`` rows."""
     w = Window.partitionBy(*by, *run).orderBy(*order)
     head = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= first)
-    begins = head.groupBy(*by, *run).agg(*[F.median(a).alias(a) for a in axes])
+    begins = head.groupBy(*by, *run).agg(*[F.median(a).alias(a) for a in axes])  # of ``first`` rows
     return begins.groupBy(*by).agg(F.count("*").alias("runs"), *[F.stddev_pop(a).alias(f"{a}_sd") for a in axes])
 
 
@@ -163,12 +173,11 @@ def timeline(df: DataFrame, by: list[str], time: str) -> DataFrame:
     day = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(86_400_000_000))
     w = Window.partitionBy(*by).orderBy("__day")
     gaps = df.select(*by, day.alias("__day")).withColumn("__gap", F.col("__day") - F.lag("__day").over(w))
-    q = F.percentile("__gap", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = gaps.groupBy(*by).agg(F.count("*").alias("n"), (F.max("__day") - F.min("__day")).alias("span"), q.alias("__q"), F.min("__gap").alias("least"), F.max("__gap").alias("most"))
-    return out.select(*by, "n", "span", F.col("__q")[1].alias("median"), F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), "least", "most")
+    out = gaps.groupBy(*by).agg(F.count("*").alias("n"), (F.max("__day") - F.min("__day")).alias("span"), F.min("__gap").alias("least"), F.max("__gap").alias("most"))
+    return out.join(exact_quantiles(gaps, "__gap", [0.25, 0.5, 0.75], by), by, "left").select(*by, "n", "span", F.col("__q")[1].alias("median"), F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), "least", "most")
 
 
-def edges(samples: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def edges(samples: DataFrame, by: list[str], order: list[str], value: str, spread: tuple[str, float] | None = None) -> DataFrame:
     """Rows at which the value changes to another one than 0, with the value before: events of a stimulus channel."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return samples.withColumn("previous", F.coalesce(F.lag(value).over(w), F.lit(0))).where((F.col(value) != F.col("previous")) & (F.col(value) != 0))
+    rows = scan(samples, by, order, spread, before={"previous": F.col(value)}).withColumn("previous", F.coalesce("previous", F.lit(0)))
+    return rows.where((F.col(value) != F.col("previous")) & (F.col(value) != 0))

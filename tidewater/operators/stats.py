@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, with_quantiles
+
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
     """chi2 and degrees of freedom of independence; the table of counts is small by definition."""
@@ -158,10 +160,8 @@ def typical(df: DataFrame, key: str, array: str, amplitude: float = 0.99, likene
     from . import vectors
 
     sized = df.withColumn("__amp", F.array_max(F.transform(array, F.abs)).cast("double"))
-    bar = sized.agg(F.percentile("__amp", amplitude).alias("__bar"))
-    kept = sized.crossJoin(F.broadcast(bar)).where("__amp < __bar").drop("__amp", "__bar")  # one row
-    parts = kept.select(F.posexplode(array).alias("__pos", "__v")).groupBy("__pos").agg(F.median("__v").alias("__v"))
+    kept = with_quantiles(sized, "__amp", [amplitude]).where(F.col("__amp") < F.col("__q")[0]).drop("__amp", "__q")
+    parts = exact_quantiles(kept.select(F.posexplode(array).alias("__pos", "__v")), "__v", [0.5], ["__pos"]).select("__pos", F.col("__q")[0].alias("__v"))
     middle = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__v"))), lambda s: s["__v"]).alias("__middle"))  # one pattern
     like = kept.crossJoin(F.broadcast(middle)).withColumn("__r", vectors.correlation(F.col(array), F.col("__middle")))
-    low = like.agg(F.percentile("__r", likeness).alias("__low"))
-    return like.crossJoin(F.broadcast(low)).where("__r > __low").select(df.columns)
+    return with_quantiles(like, "__r", [likeness]).where(F.col("__r") > F.col("__q")[0]).select(df.columns)

@@ -1,7 +1,8 @@
 """Trigger streams: repair of block codes, the trial of each trigger, onsets, segments and checks of expected sequences.
 
 A stream has a session (``by``), a total order (``order``), a time (``sample``) and a code; the code before it is part of
-the stream (``previous``) or follows from the order.
+the stream (``previous``) or follows from the order. ``spread`` = (time, width) deals a session over time buckets, as in
+:mod:`tidewater.operators.sequence`.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Spread, scan
+
 # The codes of the experiment's events.
 CODES = {
     "scene_on": 100, "scene_off": 101, "fixcross_on": 90, "fixcross_off": 91, "mic_on": 112, "mic_off": 113, "caption_on": 110, "caption_off": 111,
@@ -42,7 +45,7 @@ def block_of_raw(code: Column, session: Column) -> Column:
     return F.when(inside(plain) & (code < WRAP), plain).when(inside(wrapped) & (wrapped + RAW_OFFSET >= WRAP), wrapped)
 
 
-def repair(events: DataFrame, session: str, order: list[str], code: str = "code", previous: str = "previous") -> DataFrame:
+def repair(events: DataFrame, session: str, order: list[str], code: str = "code", previous: str = "previous", spread: Spread = None) -> DataFrame:
     """Block codes become 1000 + block. A code that can be a block's is one unless something else has that code too: a trial
     number (up to 30) and caption_on are blocks only right after scene_on, the other event codes only if not after 0.
     ``previous`` of the row after a repaired one follows it. Adds repaired."""
@@ -52,8 +55,8 @@ def repair(events: DataFrame, session: str, order: list[str], code: str = "code"
     is_block = F.when((c <= LAST_TRIAL) | (c == CODES["caption_on"]), after_scene).when(c.isin(others), p != 0).otherwise(True)
     block = block_of_raw(c, F.col(session))
     marked = events.withColumn("repaired", block.isNotNull() & F.coalesce(is_block, F.lit(False))).withColumn(code, F.when(F.col("repaired"), block + BLOCK_OFFSET).otherwise(c))
-    w = Window.partitionBy(session).orderBy(*order)
-    return marked.withColumn(previous, F.when(F.lag("repaired").over(w), F.lag(code).over(w)).otherwise(p))
+    rows = scan(marked, [session], order, spread, before={"__pre": F.struct("repaired", F.col(code).alias("c"))})
+    return rows.withColumn(previous, F.when(F.col("__pre.repaired"), F.col("__pre.c")).otherwise(p)).drop("__pre")
 
 
 def code_counts(raw: DataFrame, repaired: DataFrame, code: str, by: list[str] | None = None) -> DataFrame:
@@ -73,39 +76,37 @@ def audit(counts: DataFrame, session: str, code: str = "code") -> DataFrame:
     return counts.withColumns({"label": label, "is_event": label != "", "is_block_alias": alias, "is_repaired_block": c >= BLOCK_OFFSET, "collision": (label != "") & alias})
 
 
-def relabel(events: DataFrame, by: list[str], order: list[str], code: str, rule: Column, new: Column) -> DataFrame:
+def relabel(events: DataFrame, by: list[str], order: list[str], code: str, rule: Column, new: Column, spread: Spread = None) -> DataFrame:
     """Codes replaced where ``rule`` holds (it may use the column previous, the code before); previous follows them."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = events.withColumn("previous", F.lag(code).over(w)).withColumn("repaired", F.coalesce(rule, F.lit(False)))
+    out = scan(events, by, order, spread, before={"previous": F.col(code)}).withColumn("repaired", F.coalesce(rule, F.lit(False)))
     out = out.withColumn(code, F.when(F.col("repaired"), new).otherwise(F.col(code)))
-    return out.withColumn("previous", F.lag(code).over(w))
+    return scan(out, by, order, spread, before={"previous": F.col(code)})
 
 
-def trial_of(events: DataFrame, session: str, order: list[str], target: int, code: str = "code", previous: str = "previous", reach: int = 199) -> DataFrame:
+def trial_of(events: DataFrame, session: str, order: list[str], target: int, code: str = "code", previous: str = "previous", reach: int = 199, spread: Spread = None) -> DataFrame:
     """For each row of code ``target`` block and trial: of the nearest of the ``reach`` rows before it that has a trial's
     number right after a block's code of this session. Rows without one are left out."""
     c, p = F.col(code), F.col(previous) - BLOCK_OFFSET
     valid = c.between(1, LAST_TRIAL) & p.between(first_block(F.col(session)), last_block(F.col(session)))
-    near = F.last(F.when(valid, F.struct(p.cast("long").alias("block"), c.cast("long").alias("trial"))), ignorenulls=True)
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(-reach, -1)
-    found = events.withColumn("__at", near.over(w)).where((F.col(code) == target) & F.col("__at").isNotNull())
+    numbered = scan(events, [session], order, spread, sums={"__row": F.lit(1)})
+    named = F.struct(F.col("__row").alias("r"), p.cast("long").alias("block"), c.cast("long").alias("trial"))
+    found = scan(numbered, [session], order, spread, lasts={"__at": F.when(valid, named)}).where((F.col(code) == target) & (F.col("__row") - F.col("__at.r") <= reach))
     return found.select(*events.columns, F.col("__at.block").alias("block"), F.col("__at.trial").alias("trial"))
 
 
-def onsets(events: DataFrame, session: str, order: list[str], sample: str = "sample", code: str = "code", previous: str = "previous", timing: str = "between") -> DataFrame:
+def onsets(events: DataFrame, session: str, order: list[str], sample: str = "sample", code: str = "code", previous: str = "previous", timing: str = "between", spread: Spread = None) -> DataFrame:
     """session, block, trial, onset of each trial number that follows its block's code, the first of each (block, trial).
     ``timing``: between (half-way from the row before), block (that row) or trial (the number's own row). Blocks 50 and 78
     have no code of their own: where a trial's number occurs 14 times in all, they take the twelfth (of ``session``)."""
-    w = Window.partitionBy(session).orderBy(*order)
-    before, own = F.lag(sample).over(w), F.col(sample)
+    before, own = F.col("__before"), F.col(sample)
     at = {"between": (before + own) / 2, "block": before.cast("double"), "trial": own.cast("double")}[timing]
-    numbers = events.withColumn("onset", at).where(F.col(code).between(1, LAST_TRIAL))
-    same = Window.partitionBy(session, code)
-    numbers = numbers.withColumns({"__n": F.row_number().over(same.orderBy(*order)), "__of": F.count("*").over(same)})
+    numbers = scan(events, [session], order, spread, before={"__before": own}).withColumn("onset", at).where(F.col(code).between(1, LAST_TRIAL))
     block = F.col(previous) - BLOCK_OFFSET
     told = numbers.where(block.between(1, 999)).groupBy(session, block.cast("long").alias("block"), F.col(code).cast("long").alias("trial")).agg(F.min_by("onset", F.struct(*order)).alias("onset"))
     s = F.col(session)
-    lone = numbers.where("__n = 12 and __of = 14").select(session, F.explode(F.array(F.lit(50).cast("long"), F.lit(78).cast("long"))).alias("block"), F.col(code).cast("long").alias("trial"), "onset")
+    often = numbers.groupBy(session, code).agg(F.count("*").alias("__of")).where("__of = 14")  # few rows are left, so the twelfth is found among 14
+    some = numbers.join(often, [session, code]).withColumn("__n", F.row_number().over(Window.partitionBy(session, code).orderBy(*order)))
+    lone = some.where("__n = 12").select(session, F.explode(F.array(F.lit(50).cast("long"), F.lit(78).cast("long"))).alias("block"), F.col(code).cast("long").alias("trial"), "onset")
     lone = lone.where(F.col("block").between(first_block(s), last_block(s))).join(told, [session, "block", "trial"], "left_anti")
     return told.unionByName(lone)
 
@@ -138,25 +139,25 @@ def anchored(events: DataFrame, triggers: DataFrame, session: str, order: list[s
     return out.where((F.col("event_at") + int(low * rate) >= 0) & (F.col("event_at") + int(high * rate) < n_samples)).drop("__default", "scene_at")
 
 
-def segments(events: DataFrame, session: str, order: list[str], code: str = "code", reach: int = 19) -> DataFrame:
+def segments(events: DataFrame, session: str, order: list[str], code: str = "code", reach: int = 19, spread: Spread = None) -> DataFrame:
     """The rows of each trial: session, block, trial, segment (number of its anchor) and the stream's columns.
 
     An anchor is a block's code of this session right before a trial's number. Its segment begins at the nearest
     fixcross_on of the ``reach`` rows before it (else at the anchor) and ends before the next fixcross_on or block code
-    after the number. A row can belong to two segments, as their beginnings reach back.
+    after the number. A row can belong to two segments, as their beginnings reach back. All frames are linear: the next
+    stop is looked for from the end, and what stops a row after the next one is what stops that.
     """
     s, c = F.col(session), F.col(code)
-    w = Window.partitionBy(session).orderBy(*order)
     is_block = (c - BLOCK_OFFSET).between(first_block(s), last_block(s))
-    rows = events.withColumn("__row", F.row_number().over(w))
-    cross = F.last(F.when(c == CODES["fixcross_on"], F.col("__row")), ignorenulls=True).over(w.rowsBetween(-reach, -1))
-    stop = F.first(F.when((c == CODES["fixcross_on"]) | (c >= BLOCK_OFFSET), F.col("__row")), ignorenulls=True).over(w.rowsBetween(2, Window.unboundedFollowing))
-    following, last = F.lead(code).over(w), F.max("__row").over(Window.partitionBy(session))
-    marked = rows.withColumns({"__next": following, "__begin": F.coalesce(cross, F.col("__row")), "__end": F.coalesce(stop - 1, last)})
+    rows = scan(events, [session], order, spread, sums={"__row": F.lit(1)}, totals={"__all": F.lit(1)})
+    cross, stop = c == CODES["fixcross_on"], (c == CODES["fixcross_on"]) | (c >= BLOCK_OFFSET)
+    near = scan(rows, [session], order, spread, lasts={"__cross": F.when(cross, F.col("__row"))}, nexts={"__stop": F.when(stop, F.col("__row"))}, after={"__next": c})
+    marked = scan(near, [session], order, spread, after={"__stop": F.col("__stop")})
+    begin = F.when(F.col("__row") - F.col("__cross") <= reach, F.col("__cross")).otherwise(F.col("__row"))
     anchors = marked.where(is_block & F.col("__next").between(1, LAST_TRIAL)).select(
-        session, F.col("__row").cast("long").alias("segment"), (c - BLOCK_OFFSET).cast("long").alias("block"), F.col("__next").cast("long").alias("trial"), F.explode(F.sequence("__begin", "__end")).alias("__row")
+        session, F.col("__row").cast("long").alias("segment"), (c - BLOCK_OFFSET).cast("long").alias("block"), F.col("__next").cast("long").alias("trial"), F.explode(F.sequence(begin, F.coalesce(F.col("__stop") - 1, F.col("__all")))).alias("__row")
     )
-    return anchors.join(rows, [session, "__row"]).drop("__row")
+    return anchors.join(rows.drop("__all"), [session, "__row"]).drop("__row")
 
 
 def check_trials(segments: DataFrame, session: str, order: list[str], sample: str = "sample", code: str = "code") -> DataFrame:

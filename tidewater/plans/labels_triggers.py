@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as fixed
 from ..operators import labels, triggers
+from ..operators.scans import scan
 from .registry import query, table
 
 #: (class_id, name, kind, grp, place) as SQL.
@@ -58,15 +59,16 @@ fixed as (select *, case when lag(repaired) over w then lag(code) over w else ol
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("tidewater_events")
-    df = spark.sql(STREAM_SPARK.replace("from events", "from tidewater_events"))
-    from pyspark.sql import Window
+    df = spark.sql(STREAM_SPARK.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    return scan(df, ["session"], ["sample"], SPREAD, before={"previous": F.col("code")}).withColumn("previous", F.coalesce("previous", F.lit(0)))
 
-    return df.withColumn("previous", F.coalesce(F.lag("code").over(Window.partitionBy("session").orderBy("sample")), F.lit(0)))
+
+#: Sessions are dealt over stretches of so many samples.
+SPREAD = ("sample", 1_000_000.0)
 
 
 def mended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triggers.repair(stream(spark, sf_dir), "session", ["sample"])
+    return triggers.repair(stream(spark, sf_dir), "session", ["sample"], spread=SPREAD)
 
 
 @query(f"with {FIXED} select event_id, session::bigint as session, code::bigint as code, previous::bigint as previous, repaired from fixed")
@@ -88,7 +90,7 @@ def trigger_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 select t.event_id, (v.previous - 1000)::bigint as block, v.code::bigint as trial from t asof join v on t.session = v.session and t.r > v.r where t.r - v.r <= 199""")
 def trigger_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block and trial of each mic_on: as-of backwards with a condition on what is matched and on how far."""
-    return triggers.trial_of(mended(spark, sf_dir), "session", ["sample"], triggers.CODES["mic_on"]).select("event_id", "block", "trial")
+    return triggers.trial_of(mended(spark, sf_dir), "session", ["sample"], triggers.CODES["mic_on"], spread=SPREAD).select("event_id", "block", "trial")
 
 
 ONSETS = f"""{FIXED}, n as (select *, (lag(sample) over (partition by session order by sample) + sample) / 2.0 as onset from fixed), m as (select *, row_number() over (partition by session, code order by sample) as k, count(*) over (partition by session, code) as of from n where code between 1 and 30),
@@ -99,7 +101,7 @@ lone as (select session, b as block, code as trial, onset from m, (values (50),
 @query(f"with {ONSETS} select session::bigint as session, block::bigint as block, trial::bigint as trial, onset::double as onset from onsets")
 def trigger_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The onset of each trial: half-way between its block's code and its number."""
-    return triggers.onsets(mended(spark, sf_dir), "session", ["sample"]).withColumn("session", F.col("session").cast("long"))
+    return triggers.onsets(mended(spark, sf_dir), "session", ["sample"], spread=SPREAD).withColumn("session", F.col("session").cast("long"))
 
 
 SHOWN = "select distinct user_id % 9 + 1 as session, 1 + event_id % 120 as block, 1 + event_id % 30 as trial, event_id % 50 as scene from events where event_type = 'view'"
@@ -107,9 +109,9 @@ INSIDE = "select user_id % 9 + 1 as session, event_id % 50 as scene, event_type
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    onset = triggers.onsets(mended(spark, sf_dir), "session", ["sample"])
-    trials = spark.sql(SHOWN.replace("from events", "from tidewater_events")).groupBy("session", "block", "trial").agg(F.min("scene").alias("scene"))
-    events = spark.sql(INSIDE.replace("from events", "from tidewater_events")).withColumn("duration", F.col("duration").cast("double"))
+    onset = triggers.onsets(mended(spark, sf_dir), "session", ["sample"], spread=SPREAD)
+    trials = spark.sql(SHOWN.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")).groupBy("session", "block", "trial").agg(F.min("scene").alias("scene"))
+    events = spark.sql(INSIDE.replace("from events", "from {events}"), events=table(spark, sf_dir, "events")).withColumn("duration", F.col("duration").cast("double"))
     return triggers.placed_events(onset, trials, events, "session", "scene", 1000.0)
 
 
@@ -148,7 +150,7 @@ rows as (select a.*, n.code, n.sample, n.event_id from a join n on a.session = n
 @query(f"with {SEGMENTS} select session::bigint as session, segment::bigint as segment, block::bigint as block, trial::bigint as trial, event_id from rows")
 def trigger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each trial, from the fixation cross before it to the next one."""
-    return triggers.segments(mended(spark, sf_dir), "session", ["sample"]).select(F.col("session").cast("long").alias("session"), "segment", "block", "trial", "event_id")
+    return triggers.segments(mended(spark, sf_dir), "session", ["sample"], spread=SPREAD).select(F.col("session").cast("long").alias("session"), "segment", "block", "trial", "event_id")
 
 
 @query(f"""with {SEGMENTS}, l as (select session, segment, block, trial, list(code order by sample) as seq, min(sample) as start_sample, list_has_any(list(code), [112, 113, 110, 111]) as has_caption from rows group by all),
@@ -158,5 +160,5 @@ z as (select *, case when seq = want then '' else concat_ws('; ', case when len(
 select session::bigint as session, segment::bigint as segment, block::bigint as block, trial::bigint as trial, start_sample, len(seq)::int as n_events, has_caption, issues, issues = '' as ok from z""")
 def trigger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trial's codes against the expected ones, with what is wrong in words."""
-    out = triggers.check_trials(triggers.segments(mended(spark, sf_dir), "session", ["sample"]), "session", ["sample"])
+    out = triggers.check_trials(triggers.segments(mended(spark, sf_dir), "session", ["sample"], spread=SPREAD), "session", ["sample"])
     return out.withColumn("session", F.col("session").cast("long"))
