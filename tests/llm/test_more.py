@@ -93,3 +93,41 @@ def test_hot_values_are_salted(spark, n):
     found = secrets.candidates(spark.createDataFrame(data, "doc_id long, text string, source string"))
     got = secrets.judged(found, salts=n).select(F.size("example").alias("e"), F.size("live").alias("l")).collect()
     assert len(got) == 300 and all((r["e"], r["l"]) == (1, 0) for r in got)
+
+
+def poured(leaves, weights, share, epochs):
+    """Budgets of leaves by pouring what is left until nothing overflows, level by level."""
+    total = int(sum(leaves.values()) * share)
+    w = lambda path: weights.get(("domain", "lang", "source")[len(path) - 1], {}).get(path[-1], 1)
+    live = {p: n * epochs for p, n in leaves.items() if all(w(p[: k + 1]) for k in range(3))}
+    budget = {(): total}
+    for depth in range(3):
+        for up in {p[:depth] for p in live}:
+            caps = {}
+            for p, c in live.items():
+                if p[:depth] == up:
+                    caps[p[: depth + 1]] = caps.get(p[: depth + 1], 0) + c
+            got, left = {}, dict(caps)
+            while left:
+                rest = (budget[up] - sum(got.values())) / sum(map(w, left))
+                full = [p for p, c in left.items() if w(p) * rest >= c]
+                got |= {p: caps[p] if full else w(p) * rest for p in full or left}
+                left = {p: c for p, c in left.items() if p not in got}
+            budget |= got
+    return {p: int(budget[p] + 1e-6) for p in live}
+
+
+def test_a_shut_out_leaf_gives_its_share_to_the_others(spark):
+    schema = "domain string, lang string, source string, tokens long"
+    leaves = {("a", "x", "1"): 100, ("a", "y", "1"): 900, ("b", "x", "1"): 1000}
+    got = {r["domain"]: r["budget"] for r in mixing.leaf_budgets(spark.createDataFrame([(*k, v) for k, v in leaves.items()], schema), {"lang": {"y": 0}}, 0.5, 1).collect()}
+    assert got == {"a": 100, "b": 900}
+    rng = random.Random(6)
+    for _ in range(6):
+        leaves = {(rng.choice("abc"), rng.choice("xyz"), rng.choice("1234")): rng.randint(0, 1000) for _ in range(25)}
+        weights = {"domain": {"a": rng.randint(0, 3), "b": 2}, "lang": {"x": 0, "y": rng.randint(0, 4)}, "source": {"1": 0, "2": 5}}
+        share, epochs = rng.choice([0.1, 0.5, 0.9]), rng.randint(1, 3)
+        rows = mixing.leaf_budgets(spark.createDataFrame([(*k, v) for k, v in leaves.items()], schema), weights, share, epochs).collect()
+        want = poured(leaves, weights, share, epochs)
+        assert {(r["domain"], r["lang"], r["source"]) for r in rows} == want.keys()
+        assert all(abs(r["budget"] - want[r["domain"], r["lang"], r["source"]]) <= 1 for r in rows)

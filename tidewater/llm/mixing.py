@@ -4,7 +4,8 @@ The tree is domain, language, source. A token budget goes down it: a node's chil
 gets more than its subtree can give (its tokens times ``max_epochs``), and what a child can't use goes to its siblings;
 only what a whole subtree can't use goes to the siblings of its root, and so on up. With children in the order of
 capacity over weight, the water level is the greatest (budget - capacities before) / (weights from here on), so a level
-of the tree is two windows over its nodes.
+of the tree is two windows over its nodes. What a weight of 0 shuts out at any level can give nothing, so it counts in no
+node's capacity (it does count in the total that the budget is a share of).
 
 A leaf of T tokens and budget b gives every document floor(b / T) times (whole epochs) and, of the next epoch's seeded
 order, the longest prefix of documents whose tokens fit in the rest. The order is that of md5(seed:epoch:doc_id).
@@ -56,17 +57,20 @@ def _of_leaf(rows: DataFrame, leaves: DataFrame, few: bool, how: str) -> DataFra
 
 
 def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int) -> DataFrame:
-    """``leaves``: domain, lang, source, tokens. Adds budget (whole tokens)."""
+    """``leaves``: domain, lang, source, tokens. Adds budget (whole tokens); leaves that a weight of 0 shuts out have no row."""
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("double").alias("budget"))
-    nodes = leaves.withColumn("cap", F.col("tokens") * max_epochs).crossJoin(total)  # one row on the right
+    shut = F.lit(False)
+    for level in LEVELS:
+        shut = shut | (_weight(level, weights.get(level, {})) <= 0)
+    nodes = leaves.where(~shut).withColumn("cap", F.col("tokens") * max_epochs).crossJoin(total)  # one row on the right
     for depth, level in enumerate(LEVELS):
         path, up = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
-        level_nodes = nodes.groupBy(*path).agg(F.sum("cap").alias("c"), F.first("budget").alias("b")).withColumn("w", _weight(level, weights.get(level, {}))).where("w > 0")
+        level_nodes = nodes.groupBy(*path).agg(F.sum("cap").alias("c"), F.first("budget").alias("b")).withColumn("w", _weight(level, weights.get(level, {})))
         by = [F.col("c") / F.col("w"), F.col(level)]
         inside = Window.partitionBy(*up, F.lit(0)) if up else Window.partitionBy(F.lit(0))
         before = inside.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        rest = inside.orderBy(*by).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        stepped = level_nodes.withColumn("level_at", (F.col("b") - F.coalesce(F.sum("c").over(before), F.lit(0)).cast("double")) / F.sum("w").over(rest).cast("double"))
+        rest = F.sum("w").over(inside) - F.coalesce(F.sum("w").over(before), F.lit(0))
+        stepped = level_nodes.withColumn("level_at", (F.col("b") - F.coalesce(F.sum("c").over(before), F.lit(0)).cast("double")) / rest.cast("double"))
         got = stepped.withColumn("top", F.max("level_at").over(inside)).select(*path, F.least(F.col("c").cast("double"), F.col("w").cast("double") * F.col("top")).alias("budget"))
         nodes = nodes.drop("budget").join(got, path)
     return nodes.select(*LEVELS, "tokens", F.greatest(F.floor("budget"), F.lit(0)).cast("long").alias("budget"))
@@ -118,19 +122,24 @@ def mixture(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def oracle_sql(domain: str, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int, seed: int) -> str:
-    """DuckDB SQL for :func:`mixture` over the table documents."""
+    """DuckDB SQL for :func:`mixture` over the table documents. Budgets by the definition: at each level what is left is
+    poured by weight over the children that still take some, those that would overflow are filled, and again until none does."""
     weight = lambda level: " ".join(["case", *(f"when {level} = '{n}' then {w}" for n, w in sorted(weights.get(level, {}).items())), "else 1 end"]) if weights.get(level) else "1"
-    ctes, up, budget = [], "", "(select floor(sum(tokens) * %r::double)::double from leaves)" % share
+    open_ = " and ".join(f"{weight(level)} > 0" for level in LEVELS)
+    ctes, up, budget = [f"open as (select * from leaves where {open_})"], "", f"(select floor(sum(tokens) * {share!r}::double)::double from leaves)"
     for depth, level in enumerate(LEVELS):
         path = ", ".join(LEVELS[: depth + 1])
-        source = f"select {path}, sum(tokens * {max_epochs}) as c, {weight(level)} as w, {budget if not depth else 'any_value(p.budget)'} as b from leaves" + (f" join level{depth - 1} p using ({up})" if depth else "") + f" group by {path}"
-        over = f"partition by {up} " if up else ""
-        stepped = f"select *, (b - coalesce(sum(c) over ({over}order by c / w, {level} rows between unbounded preceding and 1 preceding), 0)::double) / (sum(w) over ({over}order by c / w, {level} rows between current row and unbounded following))::double as l from ({source}) where w > 0"
-        ctes.append(f"level{depth} as (select {path}, least(c::double, w::double * max(l) over ({over.strip()})) as budget from ({stepped}))")
+        start = f"select {path}, sum(tokens * {max_epochs})::double as c, {weight(level)}::double as w, {budget if not depth else 'any_value(p.budget)'} as b, null::double as got, 0 as step from open" + (f" join level{depth - 1} p using ({up})" if depth else "") + f" group by {path}"
+        over = f"over (partition by {up})" if up else "over ()"
+        poured = f"select *, w * ((b - coalesce(sum(got) {over}, 0)) / sum(w) filter (got is null) {over}) as part from pour{depth}"
+        filled = f"select *, got is null and part >= c as brim, max((got is null and part >= c)::int) {over} as moves from ({poured})"
+        ctes.append(f"pour{depth} as ({start} union all select {path}, c, w, b, case when brim then c else got end, step + 1 from ({filled}) where moves = 1)")
+        last = f"select * from (select *, max(step) {over} as last from pour{depth}) where step = last"
+        ctes.append(f"level{depth} as (select {path}, coalesce(got, w * ((b - coalesce(sum(got) {over}, 0)) / sum(w) filter (got is null) {over})) as budget from ({last}))")
         up = path
     names = ", ".join(LEVELS)
     return f"""
-    with docs as (select doc_id, coalesce({domain}, '') as domain, coalesce(lang, '') as lang, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from documents),
+    with recursive docs as (select doc_id, coalesce({domain}, '') as domain, coalesce(lang, '') as lang, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as n_tokens from documents),
     leaves as (select {names}, sum(n_tokens) as tokens from docs group by all), {", ".join(ctes)},
     cuts as (select {names}, (greatest(floor(budget), 0)::bigint // tokens)::bigint as whole, (greatest(floor(budget), 0)::bigint % tokens)::bigint as rest from leaves join level2 using ({names}) where tokens > 0),
     ordered as (select *, sum(n_tokens) over (partition by {names} order by md5(concat_ws(':', '{seed}', whole, coalesce(doc_id::varchar, 'null'))), doc_id, n_tokens rows unbounded preceding) as so_far from docs join cuts using ({names}))
