@@ -151,3 +151,28 @@ def test_pipeline_of_nothing(spark, tmp_path):
         spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() == 0
+
+
+def test_texts_that_are_all_secrets(spark):
+    """A megabyte of opaque words, and 50,000 assignments: every span at its place, in seconds."""
+    import re
+    import time
+
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["aB3" + "".join(rng.choice(alphabet) for _ in range(rng.randint(25, 45))) for _ in range(26_000)]
+    opaque, assigned = "é " + " ".join(words), "\n".join(f"token = {w[:12]}" for w in words + words[:24_000])
+    mixed = "password=" + words[0] + " " + words[1] + " AKIA" + "B2" * 8 + " x" * 3 + " " + words[2] + "/0123456789abcdef0123456789abcdef"
+    assert len(opaque) > 1_000_000
+    docs = spark.createDataFrame([(1, opaque), (2, assigned), (3, mixed)], "doc_id long, text string")
+    secrets.scan(docs.where("doc_id = 3")).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert time.time() - began < 60
+    places = lambda text, pattern, kind: [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text)]
+    assert got[1]["spans"].split(",") == places(opaque, secrets.OPAQUE, "opaque") and got[1]["n_assign"] == 0
+    assert got[2]["n_assign"] == 50_000 and got[2]["spans"].split(",") == places(assigned, r"token = \w{12}", "assign")
+    kinds = [x.split(":")[0] for x in got[3]["spans"].split(",")]
+    assert kinds == ["assign", "opaque", "access", "hex"]  # the last word overlaps a base span
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[1] == "é " + " ".join(["[SECRET]"] * len(words)) and masked[2] == "\n".join(["[SECRET]"] * 50_000)

@@ -6,8 +6,9 @@ hash of each candidate's value is aggregated over the corpus by distinct reposit
 more than one repository are shared (to be changed first). Opaque words become spans only if they look live, base spans
 always stay, with their verdict.
 
-Positions: the gaps between matches (``split``) and the matches (``regexp_extract_all``) give, by adding lengths, the
-code point at which each match starts. A span is the whole match, end exclusive; an assignment's value is its group 2.
+Positions: the gaps between matches (``split``) and the matches (``regexp_extract_all``) give, by adding lengths in chunks,
+the code point at which each match starts; overlaps are judged on sorted spans. So a text of a million characters that is
+all candidates takes seconds. A span is the whole match, end exclusive; an assignment's value is its group 2.
 
 Scale: the scan is narrow and its small result (no text unless ``carry``) is written once; values are aggregated twice
 with partial sums, so a value in a third of all rows costs each map task one row for a repository; only values with a
@@ -31,29 +32,62 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 OPAQUE = "[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "opaque")
+OPAQUE_KIND = KINDS.index("opaque")
 MOST_OWNERS = 2
 #: Parts that the spans of one value are dealt into when verdicts are joined.
 SALTS = 32
+#: Places of an array that are summed at once: running sums of n places take n * CHUNK / 2 additions.
+CHUNK = 128
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """start, kind, stop, value hash of the matches whose group has ``least`` characters or more."""
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, zero: Column, add) -> Column:
+    """For each place of an array what ``add`` makes of all values before it. In chunks, whose sums are added first: an array
+    that grows by one in ``aggregate`` would be copied at every step."""
+    of = lambda some, start: F.aggregate(some, start, add)
+
+    def laid(chunks: Column) -> Column:
+        heads = _let(F.transform(chunks, lambda c: of(c, zero)), lambda t: F.transform(t, lambda _, k: of(F.slice(t, F.lit(1), k), zero)))
+        return F.flatten(F.zip_with(chunks, heads, lambda c, head: F.transform(c, lambda _, i: of(F.slice(c, F.lit(1), i), head))))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+    return _let(F.transform(starts, lambda at: F.slice(values, at, F.lit(CHUNK))), laid)
+
+
+def _spans(text: Column, kind: int, pattern: str, group: int = 0, counts=lambda value: F.lit(True)) -> Column:
+    """start, kind, stop, value hash of the matches whose group ``counts``."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    empty = F.array().cast(SPAN)
+    value = (lambda pair: pair["value"]) if group else (lambda pair: pair["match"])
+    pairs = [F.split(text, pattern, -1).alias("gap"), found.alias("match"), *([F.regexp_extract_all(text, p, F.lit(group)).alias("value")] if group else [])]
+    sized = F.transform(F.filter(F.arrays_zip(*pairs), lambda x: x["match"].isNotNull()), lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["match"]).alias("n"), F.when(counts(value(x)), F.sha2(value(x), 256)).alias("value")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        stop = start + F.char_length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), F.sha2(pair["value"], 256).alias("value"))
-        return F.struct(stop.alias("at"), F.when(F.char_length(pair["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(m: Column) -> Column:
+        ends = _before(F.transform(m, lambda x: x["gap"] + x["n"]), F.lit(0), lambda s, n: s + n)
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("stop"), x["value"].alias("value"))
+        return F.filter(F.zip_with(m, ends, span), lambda s: s["value"].isNotNull())
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(sized, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that no base span overlaps: sorted together, the base spans that begin before end before, and those that
+    begin later begin after. Spans that begin together: the base first, by its smaller kind."""
+    least, most = F.lit(-1), F.lit(2**31 - 1)
+
+    def judged(all_: Column) -> Column:
+        ends = _before(F.transform(all_, lambda s: F.when(s["kind"] < OPAQUE_KIND, s["stop"]).otherwise(least)), least, lambda a, b: F.greatest(a, b))
+        begins = F.reverse(_before(F.transform(F.reverse(all_), lambda s: F.when(s["kind"] < OPAQUE_KIND, s["start"]).otherwise(most)), most, lambda a, b: F.least(a, b)))
+        seen = F.arrays_zip(all_.alias("s"), ends.alias("end"), begins.alias("begin"))
+        kept = F.filter(seen, lambda x: (x["s"]["kind"] == OPAQUE_KIND) & (x["end"] <= x["s"]["start"]) & (x["begin"] >= x["s"]["stop"]))
+        return F.transform(kept, lambda x: x["s"])
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), _let(F.array_sort(F.concat(base, spans)), judged)).otherwise(spans)
 
 
 def _join(spans: Column) -> Column:
@@ -72,14 +106,11 @@ def candidates(docs: DataFrame, *, repo: Column | None = None, owner: Column | N
     filled = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     scanned = docs.select(kept.alias("own"), filled(repo).alias("repo"), filled(owner).alias("owner"), filled(F.col(f"`{text_col}`")).alias("text"))
     text = F.col("text")
-    base = F.array_sort(F.concat(_spans(text, 0, ASSIGN, 2, 8), _spans(text, 1, ACCESS), _spans(text, 2, HEX)))
+    base = F.array_sort(F.concat(_spans(text, 0, ASSIGN, 2, lambda v: F.char_length(v) >= 8), _spans(text, 1, ACCESS), _spans(text, 2, HEX)))
     mixed = F.lit(r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])")
-    words = F.filter(F.regexp_extract_all(text, F.lit(OPAQUE), F.lit(0)), lambda w: F.regexp(w, mixed))
-    opaque = F.when(F.size(words) > 0, _spans(text, 3, OPAQUE)).otherwise(F.array().cast(SPAN))
-    good = F.transform(words, lambda w: F.sha2(w, 256))
-    scanned = scanned.withColumn("base", base)
-    more = F.filter(opaque, lambda s: F.array_contains(good, s["value"]) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    scanned = scanned.select("own", "repo", "owner", "base", more.alias("more"), F.monotonically_increasing_id().alias("rid"))
+    words = _spans(text, OPAQUE_KIND, OPAQUE, 0, lambda w: F.regexp(w, mixed))
+    scanned = scanned.withColumn("base", base).withColumn("words", words)
+    scanned = scanned.select("own", "repo", "owner", "base", _apart(F.col("words"), F.col("base")).alias("more"), F.monotonically_increasing_id().alias("rid"))
     return docs.sparkSession.read.parquet(written(scanned, "secrets"))
 
 
@@ -122,13 +153,22 @@ def redact(docs: DataFrame, *, most_owners: int = MOST_OWNERS, text_col: str = "
     rows = judged(candidates(docs, text_col=text_col, carry=True, **how), most_owners)
     text = F.col(f"own.c{docs.columns.index(text_col)}")
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        piece = F.when(new, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    walked = F.aggregate(F.array_sort("live"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    masked = F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.char_length(text)))
+    def gaps(live: Column) -> Column:
+        """(from, to) of what lies before each span that does not overlap those before it, and after the last."""
+        ends = _let(F.transform(live, lambda s: s["stop"]), lambda stops: F.array_append(_before(stops, F.lit(0), lambda a, b: F.greatest(a, b)), F.array_max(stops)))
+        begins = F.array_append(F.transform(live, lambda s: s["start"]), F.char_length(text))
+        both = F.zip_with(ends, begins, lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+        return F.filter(both, lambda g: g["to"] >= g["from"])
+
+    def cut(parts: Column) -> Column:
+        # some gaps at a time from a piece of the text: finding a place in a text takes time in proportion to it
+        some = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(CHUNK)), lambda at: F.slice(parts, at, F.lit(CHUNK)))
+        piece = lambda g: F.substring(text, g[0]["from"] + 1, F.element_at(g, -1)["to"] - g[0]["from"])
+        joined = F.transform(some, lambda g: _let(piece(g), lambda t: F.array_join(F.transform(g, lambda x: F.substring(t, x["from"] - g[0]["from"] + 1, x["to"] - x["from"])), mask)))
+        return F.array_join(joined, mask)
+
+    masked = _let(gaps(F.array_sort("live")), cut)
     return rows.select([(F.when(F.size("live") > 0, masked).otherwise(text) if c == text_col else F.col(f"own.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
