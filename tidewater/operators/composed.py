@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import arrays, intervals, reports, sampling, sequence, vectors
+from . import arrays, intervals, matrices, reports, sampling, sequence, vectors
 from .quantiles import exact_quantiles, with_quantiles
 
 
@@ -105,7 +105,7 @@ def searchlight_null(patterns: DataFrame, neighbours: DataFrame, model: DataFram
     """place, draw, rho: :func:`searchlight` with permuted models."""
     patch = neighbours.join(patterns.select(F.col(place).alias("other"), condition, F.col(value).alias("__v")), "other")
     rows = patch.groupBy(place, condition).agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "__v"))), lambda s: s["__v"]).alias("__x")).where(F.size("__x") > 1)
-    return vectors.permutation_null(vectors.dissimilarity(rows, condition, "__x", [place]), model, [place], draws, seed)
+    return matrices.permutation_null(vectors.dissimilarity(rows, condition, "__x", [place]), model, [place], draws, seed)
 
 
 def ordered_matrix(matrix: DataFrame, places: DataFrame, key: str, place: str) -> DataFrame:

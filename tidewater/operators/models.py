@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import vectors
+from . import matrices, vectors
+from .quantiles import exact_quantiles
 
 ALPHAS = (1e-2, 1e-1, 1.0, 1e1, 1e2, 1e3)
 
@@ -157,17 +158,15 @@ def learning_curve(df: DataFrame, x: str, label: str, fold: str, key: list[str],
     return out
 
 
-def _silhouettes(df: DataFrame, x: str, centres: list[np.ndarray]) -> Column:
-    """Of each row how much nearer its own centre is than the next one, as a share of the greater distance."""
-    point = F.col(x)
-    far = F.array_sort(F.transform(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]), lambda c: vectors.euclidean(point, c)))
-    a, b = F.get(far, F.lit(0)), F.get(far, F.lit(1))
-    return F.when(b > 0, (b - a) / b).otherwise(0.0)
+def nearest_centre(x: Column, centres: list[np.ndarray]) -> Column:
+    """Number of the centre that is nearest (ties: the first)."""
+    far = F.transform(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]), lambda c: vectors.euclidean(x, c))
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
 
 
 def select_clusters(df: DataFrame, x: str, split: str, key: list[str], ks: list[int], seed: int = 0) -> DataFrame:
-    """k, silhouette, best: k-means on the rows outside of each split, silhouettes (against centres) of those inside; mean
-    over a row's splits, median over rows; the greatest wins (ties: the smallest k)."""
+    """k, silhouette, best: k-means on the rows outside of each split, silhouettes of those inside among each other, each with
+    the clusters of its nearest centres; mean over a row's splits, median over rows; the greatest wins (ties: the smallest k)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -176,9 +175,10 @@ def select_clusters(df: DataFrame, x: str, split: str, key: list[str], ks: list[
     for s in sorted(r[0] for r in rows.select(split).distinct().collect()):  # splits: a few
         for k in ks:
             centres = KMeans(featuresCol="__x", k=k, seed=seed).fit(rows.where(F.col(split) != s)).clusterCenters()
-            inside = rows.where(F.col(split) == s)
-            got = inside.select(*key, F.lit(k).alias("k"), _silhouettes(inside, "__a", centres).alias("__s"))
-            out = got if out is None else out.unionByName(got)
-    each = out.groupBy(*key, "k").agg(F.avg("__s").alias("__s")).groupBy("k").agg(F.median("__s").alias("silhouette"))
+            inside = rows.where(F.col(split) == s).select(*key, split, "__a", F.lit(k).alias("k"), nearest_centre(F.col("__a"), centres).alias("__c"))
+            out = inside if out is None else out.unionByName(inside)
+    told = matrices.silhouettes(out, key, "__a", "__c", [split, "k"])
+    middle = exact_quantiles(told.groupBy(*key, "k").agg(F.avg("silhouette").alias("__s")), "__s", [0.5], ["k"])
+    each = middle.select("k", F.col("__q")[0].alias("silhouette"))
     best = each.agg(F.max(F.struct("silhouette", (-F.col("k")).alias("k"))).alias("__b")).select((-F.col("__b.k")).alias("__k"))
     return each.crossJoin(F.broadcast(best)).select("k", "silhouette", (F.col("k") == F.col("__k")).alias("best"))

@@ -131,15 +131,9 @@ def permuted(model: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     return out.select("draw", F.least("__i", "__j").alias("i"), F.greatest("__i", "__j").alias("j"), "d")
 
 
-def permutation_null(series: DataFrame, model: DataFrame, by: list[str], draws: int = 30, seed: int = 0) -> DataFrame:
-    """by, draw, rho: :func:`matrix_correlation` with permuted models."""
-    both = series.select(*by, "i", "j", F.col("d").alias("__x")).join(permuted(model, draws, seed).withColumnRenamed("d", "__y"), ["i", "j"])
-    return spearman(both, "__x", "__y", [*by, "draw"])
-
-
 def noise_ceiling(series: DataFrame, subject: str, by: list[str]) -> DataFrame:
-    """by, lower, upper: mean less and plus the standard deviation of the correlations of all pairs of subjects' matrices,
-    within 0 and 1; 0 and 1 where there is one subject."""
+    """by, lower, upper, from all pairs of (few) subjects: mean less and plus the standard deviation of the correlations of all pairs of subjects' matrices,
+    within 0 and 1; 0 and 1 where there is one subject. The rule to fall back to; :func:`tidewater.operators.matrices.noise_ceiling` is the other."""
     a = series.select(*by, F.col(subject).alias("__p"), "i", "j", F.coalesce("d", F.lit(0.0)).alias("__x"))
     b = series.select(*by, F.col(subject).alias("__q"), "i", "j", F.coalesce("d", F.lit(0.0)).alias("__y"))
     pairs = a.join(b, [*by, "i", "j"]).where("__p < __q").groupBy(*by, "__p", "__q").agg(F.corr("__x", "__y").alias("__r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, arrays, models, regions, sampling, sequence, stats, vectors
+from ..operators import aggregates, arrays, matrices, models, regions, sampling, sequence, stats, vectors
 from .registry import query, table
 
 R = lambda c, name: F.round(c, 6).alias(name)
@@ -192,7 +192,7 @@ p as (select a.draw, a.c, b.c as new from o a join o b on a.draw = b.draw and a.
 b as (select subject, t, draw, s.d as x, m.d as y from series s join m using (i, j)), r as (select subject, t, draw, {_rank('x', 'subject, t, draw')} as x, {_rank('y', 'subject, t, draw')} as y from b) select subject, t::bigint as t, draw::int as draw, round(corr(x, y), 6) as rho from r group by all""")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with models whose conditions are exchanged by seeded permutations."""
-    out = vectors.permutation_null(_series(spark, sf_dir), _model(spark, sf_dir), ["subject", "t"], 5, 3)
+    out = matrices.permutation_null(_series(spark, sf_dir), _model(spark, sf_dir), ["subject", "t"], 5, 3)
     return out.select("subject", "t", "draw", R(F.col("rho"), "rho"))
 
 
@@ -210,6 +210,47 @@ def similarity_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("g", "n", *[R(F.col(c), c) for c in ("mean", "most", "least", "sd")])
 
 
+_weights = f"({' + '.join(f'(z >= {c})::int' for c in stats.POISSON)})"
+
+
+@query(f"""with {SERIES}, own as (select subject, t, i, j, {_rank('d', 'subject, t')} as r from series), sums as (select t, i, j, sum(r) as s, count(*) as n from own group by all),
+m as (select o.*, (s - r) / (n - 1) as others, s / n as al from own o join sums using (t, i, j)), k as (select subject, t, r, {_rank('others', 'subject, t')} as others, {_rank('al', 'subject, t')} as al from m),
+e as (select subject, t, corr(r, others) as lo, corr(r, al) as up from k group by all), z as (select e.*, draw, ('0x' || substr(md5('1:' || draw || ':' || subject), 1, 8))::bigint / 4294967296.0::double as z from e, range(0, 40) d(draw)),
+b as (select t, draw, sum(lo * {_weights}) / sum({_weights}) as lo, sum(up * {_weights}) / sum({_weights}) as up from z group by all having sum({_weights}) > 0),
+q as (select t, quantile_cont(lo, 0.025) as a, quantile_cont(lo, 0.975) as b, quantile_cont(up, 0.025) as c, quantile_cont(up, 0.975) as d from b group by 1)
+select t::bigint as t, round(avg(lo), 6) as lower, round(avg(up), 6) as upper, round(any_value(a), 6) as lower_low, round(any_value(b), 6) as lower_high, round(any_value(c), 6) as upper_low, round(any_value(d), 6) as upper_high from e join q using (t) group by t""")
+def noise_ceiling_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds from each subject's matrix against the mean of the others and of all, with intervals over subjects."""
+    out = matrices.noise_ceiling(_series(spark, sf_dir), "subject", ["t"], 40, 1)
+    return out.select("t", *[R(F.col(c), c) for c in out.columns[1:]])
+
+
+@query(f"""with {X}, c as (select label, avg(x[1]) as a, avg(x[2]) as b from x group by 1), n as (select vec_id, vec_id % 8 as part, x, list([(x[1] - c.a) ** 2 + (x[2] - c.b) ** 2, c.rank] order by c.rank) as d from x, (select *, row_number() over (order by label) - 1 as rank from c) c group by all),
+k as (select vec_id, part, x, (list_min(d)[2])::int as cluster from n), p as (select a.vec_id, a.part, a.cluster, b.cluster as other, sum(list_distance(a.x, b.x)) as s, count(*) as n from k a join k b using (part) group by all),
+m as (select vec_id, part, cluster, max(case when other = cluster then n end) as n, max(case when other = cluster and n > 1 then s / (n - 1) end) as a, min(case when other <> cluster then s / n end) as b from p group by all)
+select vec_id, cluster, round(case when b is null then null when n = 1 then 0 when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0 end, 5) as silhouette from m""")
+def silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette of each vector among those of its part, in the clusters of given centres."""
+    rows = vec(spark, sf_dir)
+    centres = [[r["a"], r["b"]] for r in rows.groupBy("label").agg(F.avg(F.col("x")[0]).alias("a"), F.avg(F.col("x")[1]).alias("b")).orderBy("label").collect()]  # one for each label
+    told = rows.select("vec_id", (F.col("vec_id") % 8).alias("part"), "x", models.nearest_centre(F.slice("x", 1, 2), centres).alias("cluster"))
+    return matrices.silhouettes(told, ["vec_id"], "x", "cluster", ["part"]).select("vec_id", "cluster", F.round("silhouette", 5).alias("silhouette"))
+
+
+@query(f"""with {X}, c as (select vec_id % 20 as subject, vec_id % 3 as layer, avg(x[1] + 0.4 * x[2]) + vec_id % 20 * 0.05 + vec_id % 3 * 0.1 as y from x group by subject, layer, vec_id % 20, vec_id % 3),
+m as (select *, avg(y) over (partition by subject) as s, avg(y) over (partition by layer) as l, avg(y) over () as g from c), v as (select sum((y - s - l + g) ** 2) / (19 * 2) as e, greatest(0, (sum((s - g) ** 2) / 19 - sum((y - s - l + g) ** 2) / (19 * 2)) / 3) as u from m),
+r as (select e, u, case when u > 0 then e else (select sum((y - l) ** 2) / (60 - 3) from m) end as e1 from v), l as (select layer, avg(y) as l from c group by 1)
+select 'intercept' as term, round(l, 5) as coef, round(sqrt((e1 + u) / 20), 5) as se from l, r where layer = 0 union all select 'layer ' || layer, round(l - (select l from l where layer = 0), 5), round(sqrt(2 * e1 / 20), 5) from l, r where layer > 0
+union all select 'group variance', round(u, 5), null from r union all select 'residual variance', round(e1, 5), null from r""")
+def mixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of layers with a random intercept for each subject. For a full table the estimates have a closed form."""
+    subject, layer = F.col("vec_id") % 20, F.col("vec_id") % 3
+    cells = vec(spark, sf_dir).groupBy(subject.alias("subject"), layer.alias("layer")).agg(F.avg(F.col("x")[0] + 0.4 * F.col("x")[1]).alias("m"))
+    y = cells.withColumn("y", F.col("m") + F.col("subject") * 0.05 + F.col("layer") * 0.1)
+    out = matrices.mixed_model(y, "y", {f"layer {k}": F.col("layer") == k for k in (1, 2)}, "subject")
+    return out.select("term", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"))
+
+
 _draws = ", ".join(f"({c})" for c in stats.POISSON)
 BOOT = f"""u as (select user_id, event_type, avg(value) as v from events group by all), r as (select u.*, draw, ('0x' || substr(md5('0:' || draw || ':' || user_id), 1, 8))::bigint / 4294967296.0::double as z from u, range(0, 50) t(draw)),
 w as (select event_type, draw, v, {" + ".join(f"(z >= {c})::int" for c in stats.POISSON)} as w from r), m as (select event_type, draw, sum(v * w) / sum(w) as m from w group by all having sum(w) > 0)"""

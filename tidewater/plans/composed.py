@@ -89,10 +89,12 @@ def searchlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composed.searchlight(*_patches(spark, sf_dir), "place", "label", "v").withColumn("rho", F.round("rho", 4))
 
 
-@query()
+@query(f"""with {NEAR}, names as (select distinct i as c from model union select distinct j from model), o as (select draw, c, row_number() over (partition by draw order by c) as k, row_number() over (partition by draw order by md5('0:' || draw || ':' || c), c) as h from names, range(0, 2) t(draw)),
+p as (select a.draw, a.c, b.c as new from o a join o b on a.draw = b.draw and a.k = b.h), m as (select p.draw, least(p.new, q.new) as i, greatest(p.new, q.new) as j, d from model join p on i = p.c join p q on j = q.c and p.draw = q.draw),
+b as (select place, draw, s.d as x, m.d as y from sl s join m using (i, j)), r as (select place, draw, {_rank('round(x, 9)', 'place, draw')} as x, {_rank('y', 'place, draw')} as y from b) select place::int as place, draw::int as draw, round(corr(x, y), 4) as rho from r group by all""")
 def searchlight_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with permuted models; its parts have SQL (searchlight, permutation_null)."""
-    return composed.searchlight_null(*_patches(spark, sf_dir), "place", "label", "v", 2)
+    """The same with permuted models."""
+    return composed.searchlight_null(*_patches(spark, sf_dir), "place", "label", "v", 2).withColumn("rho", F.round("rho", 4))
 
 
 @query(f"with {LONG}, gm as (select label, pos, avg(v) as m from parts group by all), model as (select a.label as i, b.label as j, round(1 - corr(a.m, b.m), 9) as d from gm a join gm b using (pos) where a.label < b.label group by all), o as (select label, row_number() over (order by label * 7 % 5, label) - 1 as k from (select distinct label from x)), bo as (select * from model union all select j, i, d from model) select a.k::int as i_place, b.k::int as j_place, round(d, 6) as d from bo join o a on i = a.label join o b on j = b.label")
