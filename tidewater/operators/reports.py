@@ -60,7 +60,8 @@ def kind_coverage(df: DataFrame, by: list[str], class_id: str, area: str) -> Dat
 
 def caption_agreement(df: DataFrame, scene: str, own: Column, key: str, array: str) -> DataFrame:
     """scene, own_mean (cosines of a scene's own captions with all others of it) and rest_mean (of the others with each
-    other). Scenes have a few captions each."""
+    other). Scenes have a few captions each (``vectors.MOST_OF_GROUP``)."""
+    vectors.few_of_group(df, [scene], vectors.MOST_OF_GROUP)
     a = df.select(scene, F.col(key).alias("__i"), own.alias("__o"), F.col(array).alias("__a"))
     b = df.select(scene, F.col(key).alias("__j"), own.alias("__p"), F.col(array).alias("__b"))
     pairs = a.join(b, scene).where("__i < __j").withColumn("__c", vectors.cosine(F.col("__a"), F.col("__b")))

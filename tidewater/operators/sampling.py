@@ -53,9 +53,20 @@ def spread(df: DataFrame, by: str, key: list[str], n: int, seed: int = 0) -> Dat
 
 def water_fill(caps: DataFrame, key: str, cap: str, n: int) -> DataFrame:
     """take: n dealt evenly under caps; with r rounds dealt in full, the rest goes to the first keys with room."""
-    seats = caps.withColumn("__seat", F.explode_outer(F.when(F.col(cap) > 0, F.sequence(F.lit(1).cast("long"), F.least(F.col(cap).cast("long"), F.lit(n).cast("long"))))))
-    taken = seats.where("__seat is not null").orderBy("__seat", key).limit(n).groupBy(key).agg(F.count("*").alias("take"))
-    return caps.join(taken, key, "left").fillna({"take": 0})
+    room = F.greatest(F.coalesce(F.col(cap).cast("long"), F.lit(0)), F.lit(0))
+    sizes = caps.groupBy(F.least(room, F.lit(n).cast("long")).alias("__c")).agg(F.count("*").alias("__k")).where("__c > 0")
+    w = Window.partitionBy(F.lit(0))  # one row for each different cap
+    up_to = w.orderBy("__c").rowsBetween(Window.unboundedPreceding, 0)
+    # with caps up to c filled and c seats for each of the others, ``spent`` are gone
+    filled = sizes.withColumns({"__above": F.sum("__k").over(w) - F.sum("__k").over(up_to), "__full": F.sum(F.col("__c") * F.col("__k")).over(up_to)})
+    spent = filled.withColumn("__spent", F.col("__full") + F.col("__c") * F.col("__above")).where(F.col("__spent") <= n)
+    at = spent.agg(F.max("__c").alias("c"), F.max_by("__spent", "__c").alias("s"), F.max_by("__above", "__c").alias("a")).first()
+    c, s = at["c"] or 0, at["s"] or 0
+    above = at["a"] if at["c"] is not None else caps.where(room > 0).count()
+    rounds = c + ((n - s) // above if above else 0)
+    left = n - s - (rounds - c) * above if above else 0
+    more = caps.where(room > rounds).select(key).orderBy(key).limit(int(left)).withColumn("__more", F.lit(1))
+    return caps.join(more, key, "left").withColumn("take", F.least(room, F.lit(rounds).cast("long")) + F.coalesce("__more", F.lit(0))).drop("__more")
 
 
 def evenly_spaced(df: DataFrame, order: str, key: str, n: int) -> DataFrame:

@@ -32,16 +32,22 @@ def euclidean(a: Column, b: Column) -> Column:
 
 #: Conditions for which all pairs are laid out: a matrix of more is no result to look at.
 MOST_CONDITIONS = 20_000
+#: Vectors of a group whose pairs are summed up.
+MOST_OF_GROUP = 2_000
+
+
+def few_of_group(df: DataFrame, by: list[str], most: int) -> None:
+    """ValueError where a group has over ``most`` rows: all pairs of them are no result to ask for. Counted before pairs are made."""
+    if not df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most).isEmpty():
+        raise ValueError(f"over {most} rows of one {', '.join(by) or 'matrix'}: all pairs of them are no result to ask for")
 
 
 def dissimilarity(conditions: DataFrame, key: str, array: str, by: list[str] | None = None, metric: str = "correlation", domain: DataFrame | None = None) -> DataFrame:
     """by, i < j, d over a table of conditions (one row each, for each of ``by``: a matrix is asked for). ``metric``:
     correlation (1 - r) or euclidean. ``domain`` (i, j of all pairs that are to be there): pairs without vectors have d
-    null. More than ``MOST_CONDITIONS`` conditions are an error."""
+    null. More than ``MOST_CONDITIONS`` conditions of one matrix are an error."""
     by = by or []
-    n = conditions.select(key).distinct().limit(MOST_CONDITIONS + 1).count()
-    if n > MOST_CONDITIONS:
-        raise ValueError(f"over {MOST_CONDITIONS} conditions: all pairs of them are no matrix to ask for")
+    few_of_group(conditions, by, MOST_CONDITIONS)
     a = conditions.select(*by, F.col(key).alias("i"), F.col(array).alias("__a"))
     b = conditions.select(*by, F.col(key).alias("j"), F.col(array).alias("__b"))
     x, y = F.col("__a"), F.col("__b")
@@ -143,7 +149,9 @@ def noise_ceiling(series: DataFrame, subject: str, by: list[str]) -> DataFrame:
 
 
 def similarity_summary(df: DataFrame, by: list[str], key: str, array: str) -> DataFrame:
-    """By group over all pairs of its vectors (few, as captions of one scene): n, mean, most, least and sd of the cosines."""
+    """By group over all pairs of its vectors (few, as captions of one scene: ``MOST_OF_GROUP``): n, mean, most, least and sd
+    of the cosines."""
+    few_of_group(df, by, MOST_OF_GROUP)
     a = df.select(*by, F.col(key).alias("__i"), F.col(array).alias("__a"))
     b = df.select(*by, F.col(key).alias("__j"), F.col(array).alias("__b"))
     pairs = a.join(b, by).where("__i < __j").select(*by, cosine(F.col("__a"), F.col("__b")).alias("__c"))

@@ -11,13 +11,13 @@ from .registry import query, table
 R = lambda c, name: F.round(c, 6).alias(name)
 
 # Boxes of a scene, and points in it.
-BOXES = "boxes as (select p_partkey as region, p_partkey % 40 as scene, p_brand as label, (p_partkey * 37 % 200)::int as x, (p_partkey * 53 % 150)::int as y, (5 + p_size)::int as w, (3 + p_size % 20)::int as h from part where p_partkey % 3 = 0)"
+BOXES = "boxes as (select p_partkey as region, p_partkey % 40 as scene, p_brand as label, (p_partkey * 37 % 200)::int as x, (p_partkey * 53 % 150)::int as y, (5 + p_size)::int as w, (3 + p_size % 20)::int as h from part)"
 POINTS = "points as (select event_id, event_id % 45 as scene, case when event_id % 13 = 0 then null else event_id * 7 % 260 - 10 end as px, event_id * 11 % 180 - 5 as py from events)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf_dir, "part").where(k % 3 == 0).select(k.alias("region"), (k % 40).alias("scene"), F.col("p_brand").alias("label"), (k * 37 % 200).cast("int").alias("x"), (k * 53 % 150).cast("int").alias("y"), (5 + s).cast("int").alias("w"), (3 + s % 20).cast("int").alias("h"))
+    return table(spark, sf_dir, "part").select(k.alias("region"), (k % 40).alias("scene"), F.col("p_brand").alias("label"), (k * 37 % 200).cast("int").alias("x"), (k * 53 % 150).cast("int").alias("y"), (5 + s).cast("int").alias("w"), (3 + s % 20).cast("int").alias("h"))
 
 
 @query(f"""with {BOXES}, {POINTS}, near as (select event_id, region, label, w * h as area, sqrt(greatest(x - px, px - (x + w - 1), 0) ** 2 + greatest(y - py, py - (y + h - 1), 0) ** 2) as d from points join boxes using (scene) where px between 0 and 239 and py between 0 and 169),
@@ -80,11 +80,11 @@ def region_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["label", "pos"]).select("label", "pos", R(F.col("mean"), "mean"), R(F.col("strongest"), "strongest"))
 
 
-@query(f"with {LONG}, d as (select doc_id % 700 as g from documents), m as (select vec_id, pos, v from parts), a as (select g, pos, avg(v) as mean, max(v) as most from (select distinct g from d) join m on vec_id % 700 = g and vec_id < 400 group by all) select g, round(coalesce(min(mean) filter (pos = 3), 0), 6) as mean3, round(coalesce(min(most) filter (pos = 5), 0), 6) as most5, 64::int as size from (select distinct g from d) left join a using (g) group by 1")
+@query(f"with {LONG}, d as (select doc_id % 700 as g from documents), m as (select vec_id, pos, v from parts), a as (select g, pos, avg(v) as mean, max(v) as most from (select distinct g from d) join m on vec_id % 700 = g group by all) select g, round(coalesce(min(mean) filter (pos = 3), 0), 6) as mean3, round(coalesce(min(most) filter (pos = 5), 0), 6) as most5, 64::int as size from (select distinct g from d) left join a using (g) group by 1")
 def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a group as one; groups without any get zeros."""
     groups = table(spark, sf_dir, "documents").select((F.col("doc_id") % 700).alias("g")).distinct()
-    df = groups.join(vec(spark, sf_dir).where("vec_id < 400").select((F.col("vec_id") % 700).alias("g"), "x"), "g", "left")
+    df = groups.join(vec(spark, sf_dir).select((F.col("vec_id") % 700).alias("g"), "x"), "g", "left")
     a, b = arrays.pooled(df, ["g"], "x", 64), arrays.pooled(df, ["g"], "x", 64, "max").withColumnRenamed("x", "y")
     return a.join(b, "g").select("g", R(F.col("x")[3], "mean3"), R(F.col("y")[5], "most5"), F.size("x").alias("size"))
 
@@ -135,11 +135,11 @@ def sampling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {X}, seg as (select vec_id, b, x[b + 1 : b + 32] as s from x, (values (0), (16), (32)) t(b)), c as (select vec_id, b, [v - list_avg(s) for v in s] as s from seg),
-w as (select vec_id, b, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * cos(2 * pi() * k * i / 32)) as re, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * sin(2 * pi() * k * i / 32)) as im from (select vec_id, b, unnest(s) as v, unnest(range(32)) as i from c where vec_id % 5 = 0), range(0, 17) r(k) group by all)
+w as (select vec_id, b, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * cos(2 * pi() * k * i / 32)) as re, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / 32)) * sin(2 * pi() * k * i / 32)) as im from (select vec_id, b, unnest(s) as v, unnest(range(32)) as i from c), range(0, 17) r(k) group by all)
 select vec_id, (k * 100.0 / 32)::double as frequency, round(avg((re * re + im * im) / (100 * 12) * case when k in (0, 16) then 1 else 2 end), 9) as density from w group by vec_id, k""")
 def power_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Welch's estimate of the power of each trace (every fifth: the query asks for those)."""
-    return arrays.spectra(vec(spark, sf_dir).where("vec_id % 5 = 0"), ["vec_id"], "x", 100.0, 32, 16).withColumn("density", F.round("density", 9))
+    """Welch's estimate of the power of each trace."""
+    return arrays.spectra(vec(spark, sf_dir), ["vec_id"], "x", 100.0, 32, 16).withColumn("density", F.round("density", 9))
 
 
 @query(f"with {LONG}, c as (select label, pos, avg(v) as v from parts group by all), s as (select pos, avg(v) as gx, max(v) as gy from parts group by 1) select label, count(*)::bigint as n, round(corr(v, gx), 6) as r_gx, round(corr(v, gy), 6) as r_gy from c join s using (pos) group by 1")
@@ -202,10 +202,10 @@ def noise_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("t", R(F.col("lower"), "lower"), R(F.col("upper"), "upper"))
 
 
-@query(f"with {X}, c as (select a.vec_id % 50 as g, list_cosine_similarity(a.x, b.x) as c from x a join x b on a.vec_id % 50 = b.vec_id % 50 and a.vec_id < b.vec_id and a.vec_id < 300 and b.vec_id < 300) select g, count(*)::bigint as n, round(avg(c), 6) as mean, round(max(c), 6) as most, round(min(c), 6) as least, round(stddev_pop(c), 6) as sd from c group by 1")
+@query(f"with {X}, c as (select a.vec_id // 9 as g, list_cosine_similarity(a.x, b.x) as c from x a join x b on a.vec_id // 9 = b.vec_id // 9 and a.vec_id < b.vec_id) select g, count(*)::bigint as n, round(avg(c), 6) as mean, round(max(c), 6) as most, round(min(c), 6) as least, round(stddev_pop(c), 6) as sd from c group by 1")
 def similarity_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of all pairs inside small groups."""
-    df = vec(spark, sf_dir).where("vec_id < 300").withColumn("g", F.col("vec_id") % 50)
+    df = vec(spark, sf_dir).withColumn("g", F.expr("vec_id div 9"))
     out = vectors.similarity_summary(df, ["g"], "vec_id", "x")
     return out.select("g", "n", *[R(F.col(c), c) for c in ("mean", "most", "least", "sd")])
 

@@ -37,9 +37,12 @@ def label_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.sorted_by_group(df, ["label"], "name", ["vec_id"]).select("vec_id", "group", "position")
 
 
-@query(f"with {DIM} select count(*)::bigint as classes, count(*) filter (kind = 'thing')::bigint as things, count(*) filter (kind = 'stuff')::bigint as stuff, count(*) filter (kind = 'unknown')::bigint as missing, min(class_id) filter (kind = 'thing')::bigint as first_thing, max(class_id) filter (kind = 'thing')::bigint as last_thing, min(class_id) filter (kind = 'stuff')::bigint as first_stuff, max(class_id) filter (kind = 'stuff')::bigint as last_stuff from dim")
+@query(f"with {DIM} select count(*)::bigint as classes, count(*) filter (kind = 'thing')::bigint as things, count(*) filter (kind = 'stuff')::bigint as stuff, count(*) filter (kind = 'unknown')::bigint as missing, min(class_id) filter (kind = 'thing')::bigint as first_thing, max(class_id) filter (kind = 'thing')::bigint as last_thing, min(class_id) filter (kind = 'stuff')::bigint as first_stuff, max(class_id) filter (kind = 'stuff')::bigint as last_stuff, (select count(distinct class_id) from dim join events on event_id % 190 = class_id)::bigint as seen, (select count(*) from events anti join dim on event_id % 190 = class_id)::bigint as rows_without from dim")
 def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.summary(spark)
+    """The dimension's classes by kind; how many of them occur in the events, and events of no class."""
+    ids = table(spark, sf_dir, "events").select((F.col("event_id") % 190).alias("class_id"))
+    found = labels.with_names(ids, "class_id").agg(F.count_distinct(F.when(F.col("name") != "unknown", F.col("class_id"))).alias("seen"), F.count_if(F.col("class_id") > 182).alias("rows_without"))
+    return labels.summary(spark).crossJoin(F.broadcast(found))  # one row
 
 
 #: A stream of codes: of ten rows one is a fixation cross, a scene, a block and a trial each; some are left out or other.

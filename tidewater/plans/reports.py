@@ -60,9 +60,9 @@ def kind_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_brand", "kind", "n", R(F.col("percent"), "percent"), R(F.col("area_percent"), "area_percent"))
 
 
-@query("with x as (select vec_id, vec_id % 40 as scene, vec_id % 5 = 0 as own, [v::double for v in embedding] as x from embeddings where vec_id < 300), p as (select a.scene, a.own as o, b.own as q, list_cosine_similarity(a.x, b.x) as c from x a join x b on a.scene = b.scene and a.vec_id < b.vec_id) select scene, round(avg(c) filter (o <> q), 6) as own_mean, round(avg(c) filter (not o and not q), 6) as rest_mean from p group by 1")
+@query("with x as (select vec_id, vec_id // 8 as scene, vec_id % 5 = 0 as own, [v::double for v in embedding] as x from embeddings), p as (select a.scene, a.own as o, b.own as q, list_cosine_similarity(a.x, b.x) as c from x a join x b on a.scene = b.scene and a.vec_id < b.vec_id) select scene, round(avg(c) filter (o <> q), 6) as own_mean, round(avg(c) filter (not o and not q), 6) as rest_mean from p group by 1")
 def caption_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = vec(spark, sf_dir).where("vec_id < 300").withColumn("scene", F.col("vec_id") % 40)
+    df = vec(spark, sf_dir).withColumn("scene", F.expr("vec_id div 8"))
     out = reports.caption_agreement(df, "scene", F.col("vec_id") % 5 == 0, "vec_id", "x")
     return out.select("scene", R(F.col("own_mean"), "own_mean"), R(F.col("rest_mean"), "rest_mean"))
 
@@ -96,10 +96,10 @@ def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.strict_lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), dim, "o_custkey", "c_name").select("o_orderkey", "c_name")
 
 
-@query("select l_orderkey, l_linenumber, case when l_suppkey % 3 > 0 then s_name end as name from lineitem left join supplier on l_suppkey = s_suppkey where l_linenumber = 1")
+@query("select l_orderkey, l_linenumber, case when l_suppkey % 3 > 0 then s_name end as name from lineitem left join supplier on l_suppkey = s_suppkey")
 def enriched_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keys are looked up once; those without an answer stay."""
-    facts = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_suppkey")
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     known = table(spark, sf_dir, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"))
     return records.enriched_once(facts, "l_suppkey", lambda keys: keys.join(known, "l_suppkey")).select("l_orderkey", "l_linenumber", "name")
 
@@ -119,7 +119,7 @@ def encoding_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.encoding(reports.features(df, "x", 0, 24, 2).withColumn("y", F.slice("x", 33, 8)), "vec_id", "features", "y", "fold", 0)
 
 
-@query("with x as (select vec_id, [v::double for v in embedding] as x from embeddings) select a.vec_id, b.vec_id as other, round(sqrt(list_sum([(p[1] - p[2]) ** 2 for p in list_zip(a.x, b.x)])), 6) as d from x a join x b on a.vec_id < b.vec_id and b.vec_id < 40")
+@query("with x as (select vec_id, [v::double for v in embedding] as x from embeddings) select a.vec_id // 20 as scene, a.vec_id, b.vec_id as other, round(sqrt(list_sum([(p[1] - p[2]) ** 2 for p in list_zip(a.x, b.x)])), 6) as d from x a join x b on a.vec_id // 20 = b.vec_id // 20 and a.vec_id < b.vec_id")
 def euclidean_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vectors.dissimilarity(vec(spark, sf_dir).where("vec_id < 40"), "vec_id", "x", metric="euclidean")
-    return out.select(F.col("i").alias("vec_id"), F.col("j").alias("other"), F.round("d", 6).alias("d"))
+    out = vectors.dissimilarity(vec(spark, sf_dir).withColumn("scene", F.expr("vec_id div 20")), "vec_id", "x", ["scene"], "euclidean")
+    return out.select("scene", F.col("i").alias("vec_id"), F.col("j").alias("other"), F.round("d", 6).alias("d"))
