@@ -53,14 +53,15 @@ def moments(df: DataFrame, x: str, y: str, fold: str) -> list[dict]:
     return [{"fold": r["fold"], "xz": np.array(r["xz"]).reshape(1 + p, 1 + p + q), "yy": np.array(r["yy"]), "p": p} for r in got]
 
 
-def ridge(xz: np.ndarray, alpha: float) -> np.ndarray:
-    """Coefficients (1 + features, targets) on features that are scaled to unit variance; the intercept is not shrunk."""
+def ridge(xz: np.ndarray, alpha: float, standardise: bool = True) -> np.ndarray:
+    """Coefficients (1 + features, targets) on features that are scaled to unit variance (``standardise``) or as they are; the
+    intercept is not shrunk."""
     p = xz.shape[0] - 1
     n, mean_x, mean_y = xz[0, 0], xz[0, 1 : p + 1] / xz[0, 0], xz[0, p + 1 :] / xz[0, 0]
     cov = xz[1:, 1 : p + 1] - n * np.outer(mean_x, mean_x)
     cross = xz[1:, p + 1 :] - n * np.outer(mean_x, mean_y)
     scale = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-    scale[scale == 0] = 1
+    scale[(scale == 0) | (not standardise)] = 1
     w = np.linalg.solve(cov / np.outer(scale, scale) + alpha * np.eye(p), cross / scale[:, None]) / scale[:, None]
     return np.concatenate([(mean_y - mean_x @ w)[None], w])
 
@@ -78,18 +79,18 @@ def _fit_quality(w: np.ndarray, held: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.isfinite(r), r, 0.0), np.where(np.isfinite(r2), r2, 0.0)
 
 
-def encode(df: DataFrame, x: str, y: str, fold: str, test_fold: int, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+def encode(df: DataFrame, x: str, y: str, fold: str, test_fold: int, alphas: tuple[float, ...] = ALPHAS, standardise: bool = True) -> DataFrame:
     """target (place in y), alpha, r, r2 on the test fold. alpha is chosen for each target by the mean R squared over the
     other folds, each held out once."""
     sums = moments(df, x, y, fold)
     train, test = [m for m in sums if m["fold"] != test_fold], [m for m in sums if m["fold"] == test_fold]
     if len(train) < 2 or not test:
         raise ValueError("a test fold and two others at least are needed")
-    score = np.array([np.mean([_fit_quality(ridge(sum(m["xz"] for m in train if m is not held), a), held)[1] for held in train], 0) for a in alphas])
+    score = np.array([np.mean([_fit_quality(ridge(sum(m["xz"] for m in train if m is not held), a, standardise), held)[1] for held in train], 0) for a in alphas])
     best, everything = score.argmax(0), sum(m["xz"] for m in train)
     out = []
     for k, a in enumerate(alphas):
-        w = ridge(everything, a)
+        w = ridge(everything, a, standardise)
         r, r2 = _fit_quality(w, test[0])
         out += [(int(t), float(a), float(r[t]), float(r2[t])) for t in np.flatnonzero(best == k)]
     return df.sparkSession.createDataFrame(sorted(out), "target int, alpha double, r double, r2 double")
@@ -114,15 +115,18 @@ def projected(x: Column, mean: np.ndarray, axes: np.ndarray) -> Column:
     return F.transform(F.array(*[row(a) for a in axes]), lambda a: vectors.dot(a, centred))
 
 
-def decode(df: DataFrame, x: str, label: str, fold: str, key: list[str], steps: int = 50) -> DataFrame:
-    """key, label, predicted: each row by a logistic classifier (softmax) of the other folds. ``label``: whole numbers from 0."""
-    from pyspark.ml.classification import LogisticRegression
+def decode(df: DataFrame, x: str, label: str, fold: str, key: list[str], steps: int = 50, one_vs_rest: bool = False) -> DataFrame:
+    """key, label, predicted: each row by a logistic classifier of the other folds, softmax or a machine for each label
+    against the rest, of which the surest wins. ``label``: whole numbers from 0."""
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(*key, F.col(label).cast("double").alias("__y"), F.col(fold).alias("__f"), array_to_vector(F.col(x).cast("array<double>")).alias("__x"))
     out = None
     for f in sorted(r[0] for r in rows.select("__f").distinct().collect()):  # folds: a few
-        model = LogisticRegression(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=steps, regParam=1e-3).fit(rows.where(F.col("__f") != f))
+        machine = LogisticRegression(featuresCol="__x", labelCol="__y", predictionCol="__p", maxIter=steps, regParam=1e-3)
+        machine = OneVsRest(classifier=machine, featuresCol="__x", labelCol="__y", predictionCol="__p") if one_vs_rest else machine
+        model = machine.fit(rows.where(F.col("__f") != f))
         got = model.transform(rows.where(F.col("__f") == f)).select(*key, F.col("__y").cast("int").alias(label), F.col("__p").cast("int").alias("predicted"))
         out = got if out is None else out.unionByName(got)
     return out
