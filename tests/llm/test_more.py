@@ -131,3 +131,34 @@ def test_a_shut_out_leaf_gives_its_share_to_the_others(spark):
         want = poured(leaves, weights, share, epochs)
         assert {(r["domain"], r["lang"], r["source"]) for r in rows} == want.keys()
         assert all(abs(r["budget"] - want[r["domain"], r["lang"], r["source"]]) <= 1 for r in rows)
+
+
+def test_shortlists_grow_with_the_table(spark, monkeypatch):
+    """Vectors without structure in many blocks: recall stays where a fixed shortlist would lose it."""
+    from tidewater.llm import nearest
+
+    assert nearest.shortlist(1000) == nearest.shortlist(nearest.FULL) == 200 and nearest.shortlist(400_000) == 1398
+    assert nearest.share_of(200, 1) == 200 and nearest.share_of(1600, 16) == 180 and nearest.share_of(10, 40) == 10
+    x = np.random.default_rng(9).normal(size=(6000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 16)
+    recall = {}
+    for full in (500, 10**9):  # grown to 173 rows; and 50, as for a small table
+        monkeypatch.setattr(nearest, "FULL", full)
+        got = {}
+        for r in nearest.search(df, F.col("vec_id") % 150 == 0, sample=2048, books=8, words=64, rerank=50).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        want = {q: set(np.argsort(-np.where(np.arange(6000) == q, -np.inf, x @ x[q]))[:20].tolist()) for q in got}
+        recall[full] = np.mean([len(got[q] & want[q]) / 20 for q in got])
+        assert len(got) == 40
+    assert recall[500] > recall[10**9] + 0.05
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    from tidewater.llm import queries
+
+    spark.createDataFrame([(1, "some good text", 14), (None, "a text without id", 17)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in queries.op6_quality_fm(spark, str(tmp_path)).collect()}
+    assert got[None][0] is False and 0 <= got[None][1] <= 1

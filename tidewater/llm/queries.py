@@ -53,7 +53,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))  # a null id has no label, either
     machine = quality_fm.train(docs, labels.where(~held_out))
     return quality_fm.score(docs, machine, 0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
