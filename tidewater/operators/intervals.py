@@ -99,3 +99,13 @@ def bucketed_lookup(facts: DataFrame, dim: DataFrame, on: list[str], order: list
     """Left join with the first matching row of ``dim`` by ``order``."""
     first = dim.withColumn("__n", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where("__n = 1").drop("__n")
     return facts.join(first, on, "left")
+
+
+def asof_or_first(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], **how) -> DataFrame:
+    """:func:`asof` backwards, where rows before the first one of ``right`` get that one's values (a look-up clipped at its
+    begin). Groups without any row there have nulls."""
+    named = F.struct(*[F.col(v).alias(v) for v in values])
+    first = right.groupBy(*by).agg(F.min(F.struct(F.col(time).alias("__t"), named.alias("v"))).alias("__first"))
+    near = asof(left, right, by, time, values, **how).join(first, by, "left")
+    before = F.col(time) < F.col("__first.__t")
+    return near.withColumns({v: F.when(before, F.col(f"__first.v.{v}")).otherwise(F.col(v)) for v in values}).drop("__first")

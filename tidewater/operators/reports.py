@@ -102,3 +102,23 @@ def head_movement(df: DataFrame, by: list[str], run: list[str], order: list[str]
 def accuracy_by_frequency(accuracies: DataFrame, counts: DataFrame, label: str, accuracy: str, n: str) -> DataFrame:
     """One row: rank correlation of labels' accuracies with how frequent they are."""
     return vectors.spearman(accuracies.select(label, accuracy).join(counts.select(label, n), label), accuracy, n)
+
+
+def agreement_by_subject(df: DataFrame, subject: str, scene: str, own: Column, key: str, array: str) -> DataFrame:
+    """subject, scenes, own_mean and rest_mean (means over the subject's scenes), difference: how a subject's captions agree with
+    those of others, and others with each other."""
+    each = caption_agreement(df, scene, own, key, array)
+    of = df.where(own).select(subject, scene).distinct().join(each, scene)
+    return of.groupBy(subject).agg(F.count("*").alias("scenes"), F.avg("own_mean").alias("own_mean"), F.avg("rest_mean").alias("rest_mean"), F.avg(F.col("own_mean") - F.col("rest_mean")).alias("difference"))
+
+
+def recording_statistics(events: DataFrame, movement: DataFrame, by: list[str], kind: str, run: list[str], order: list[str], axes: list[str], first: int = 100) -> DataFrame:
+    """by: numbers of events of each kind (a map), runs and how far apart they begin on each axis; groups that lack one of the two have nulls."""
+    counts = events.groupBy(*by, kind).agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("events"))  # kinds are few
+    return counts.join(sequence.repositioning(movement, by, run, order, axes, first), by, "full_outer")
+
+
+def median_centred(df: DataFrame, by: list[str], array: str) -> DataFrame:
+    """Traces less the elementwise median of their group."""
+    middle = aggregates.elementwise_median(df, by, array).drop("n").withColumnRenamed(array, "__m")
+    return df.join(middle, by).withColumn(array, F.zip_with(F.col(array).cast("array<double>"), "__m", lambda a, b: a - b)).drop("__m")
