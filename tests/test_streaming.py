@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import sequence
 from tidewater.streaming import events as streams
 
 
@@ -37,10 +36,3 @@ def test_repeats_and_trials(spark, source):
     trials = spark.createDataFrame([(1, 5)], "user_id long, trial int").withColumns({"low": F.to_timestamp(F.lit("2024-01-01 00:05:00")), "high": F.to_timestamp(F.lit("2024-01-01 00:10:00"))})
     got = ran(spark, streams.in_trials(stream, trials, ["user_id"], "at", "low", "high"), "inside", at)
     assert sorted(r["event_id"] for r in got.collect()) == [10, 13, 16, 19]
-
-
-def test_sessions(spark, source):
-    table, stream, at = source
-    got = ran(spark, streams.sessions(stream, "user_id", "at", F.col("kind") == "signup", ["event_id"]), "states", at)
-    want = sequence.sessions(table, ["user_id"], ["at", "event_id"], F.col("kind") == "signup")
-    assert {r["event_id"]: r["session"] for r in got.collect()} == {r["event_id"]: r["session"] for r in want.collect()}

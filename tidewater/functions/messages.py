@@ -107,9 +107,14 @@ def point_errors(text: Column) -> Column:
     return F.when(F.size(last) > 0, F.map_from_entries(last))
 
 
+#: Fixed value: the form of a photo's address.
+PHOTO = r"(?i)/(\d+)_[a-f0-9]+(?:_[a-z])?\.jpg$"
+
+
 def photo_id(url: Column) -> Column:
-    """The number of a photo in its file's address (…/<number>_<secret>.jpg, in any case); null where there is none."""
-    return F.nullif(F.regexp_extract(url, r"(?i)/(\d+)_[0-9a-z]+(?:_[a-z])?\.(?:jpg|jpeg|png)", 1), F.lit("")).try_cast("long")
+    """The number of a photo in its file's address, which ends with <number>_<secret>.jpg or <number>_<secret>_<size>.jpg (the
+    secret in hex digits, the size one letter, in any case); null where there is none."""
+    return F.nullif(F.regexp_extract(url, PHOTO, 1), F.lit("")).try_cast("long")
 
 
 def name_parts(name: Column, names: list[str]) -> list[Column]:

@@ -1,16 +1,16 @@
-"""Event streams: windowed counts, containment in trials, and sessions with state, as Structured Streaming queries.
+"""Event streams: windowed counts, repeats and containment in trials, as Structured Streaming queries.
 
-Late rows are dropped beyond the watermark and nowhere else; state is kept per key and ends with its timeout.
+Late rows are dropped beyond the watermark and nowhere else. Sessions are numbered in batches only (a stream numbers rows in the
+order in which they arrive, so late rows would get other numbers).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import intervals
+
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str, late: str, slide: str | None = None) -> DataFrame:
     """by, begin, n: counts in windows of event time (sliding ones with ``slide``); rows later than ``late`` are left out."""
@@ -23,28 +23,9 @@ def once_each(events: DataFrame, time: str, key: list[str], late: str) -> DataFr
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def in_trials(events: DataFrame, trials: DataFrame, by: list[str], time: str, low: str, high: str) -> DataFrame:
-    """Events of a stream with the trials of a table that hold them (closed); a stateless join."""
-    return events.join(trials, by).where((F.col(time) >= F.col(low)) & (F.col(time) <= F.col(high)))
-
-
-def sessions(events: DataFrame, by: str, time: str, anchor: Column, columns: list[str], timeout_ms: int = 3_600_000) -> DataFrame:
-    """by, time, columns, session: how many anchor rows a key has had up to each row. A key's count is its state; rows of one
-    micro-batch are taken in the order of time, and a key that is silent for ``timeout_ms`` begins anew."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    chosen = events.select(by, time, *columns, F.coalesce(anchor, F.lit(False)).alias("__anchor"))
-    kinds = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in (by, time, *columns)]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([time, *columns], kind="stable")  # one key's rows of one micro-batch
-        before = state.get[0] if state.exists else 0
-        rows["session"] = before + rows.pop("__anchor").astype(int).cumsum()
-        state.update((int(rows["session"].iloc[-1]),))
-        state.setTimeoutDuration(timeout_ms)
-        yield rows
-
-    return chosen.groupBy(by).applyInPandasWithState(run, ", ".join([*kinds, "session long"]), "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def in_trials(events: DataFrame, trials: DataFrame, by: list[str], time: str, low: str, high: str, bucket: float = 3600.0) -> DataFrame:
+    """Events of a stream with the trials of a table that hold them (closed): a stateless join by key and time bucket, so a
+    key with many trials meets those of its hour only."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    told = trials.withColumns({"__from": seconds(low), "__to": seconds(high)})
+    return intervals.contained(events.withColumn("__at", seconds(time)), told, by, "__at", "__at", "__from", "__to", "closed", bucket).drop("__at", "__from", "__to")
