@@ -162,3 +162,44 @@ def test_a_null_id_is_not_held_out(spark, tmp_path):
     spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"]: (r["held_out"], r["score"]) for r in queries.op6_quality_fm(spark, str(tmp_path)).collect()}
     assert got[None][0] is False and 0 <= got[None][1] <= 1
+
+
+def test_rules_match_as_a_plain_restatement_says():
+    """Random sequences of sentences: identifiers by equality, all rules at every place, the longest first."""
+    rng = random.Random(21)
+    known = [f"sentence number {w} of the licence." for w in "alpha beta gamma delta epsilon".split()]
+    given = [(f"L{i}", tuple(rng.choice(known) for _ in range(rng.randint(1, 4)))) for i in range(14)]
+    rules = licenses.Rules(tuple(given))
+    ordered = sorted(given, key=lambda r: -len(r[1]))
+    for _ in range(400):
+        said = [rng.choice([*known, "something else.", "Sentence   NUMBER alpha, of the licence!"]) for _ in range(rng.randint(0, 12))]
+        plain = [licenses.normalise(s) for s in said]
+        want, at = [], 0
+        while at < len(said):
+            hit = next((r for r in ordered if plain[at : at + len(r[1])] == [licenses.normalise(s) for s in r[1]]), None)
+            if hit:
+                want.append((hit[0], at, at + len(hit[1])))
+            at += len(hit[1]) if hit else 1
+        joint = rng.choice(["\n", "\n\n", " ", "\n// "])
+        got = rules.scan(joint.join(said))
+        assert got[2] == want and got[1] == sum(p in {licenses.normalise(k) for k in known if any(k in r[1] for r in given)} for p in plain)
+
+
+def test_notices_of_many_licences():
+    rules = licenses.Rules()
+    said = {
+        "// SPDX-License-Identifier: AGPL-3.0-or-later\ncode()": "AGPL-3.0-or-later",
+        "/* SPDX-License-Identifier: MIT */": "MIT",
+        "# This library is free software; you can redistribute it and/or modify it under\n# the terms of the GNU Lesser General Public License as published by the Free\n# Software Foundation; either version 2.1 of the License, or (at your option)\n# any later version.": "LGPL-2.1-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+        " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This software is licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.": "Zlib",
+        "SPDX-License-Identifier: MIT OR GPL-9": None,
+        "the terms of the Boost Software License": None,
+    }
+    for text, name in said.items():
+        assert [m[0] for m in rules.scan(text)[2]] == ([name] if name else []), text
+    assert len({name for name, _ in (*licenses.full_texts(), *licenses.long_rules(), *licenses.RULES, *licenses.notice_rules())}) >= 36

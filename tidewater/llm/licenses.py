@@ -8,7 +8,8 @@ identifiers. Rules are ordered: each is a licence with a sequence of identifiers
 row, list numbers before them left out. Rules are tried in order at every place; a matched stretch is not matched again;
 rule order is longest first, so that the full text of a licence wins over a notice inside it. Full texts are MIT, BSD and
 those in ``license_texts`` (from their first section to the end of terms); a text with changed wording is not the full
-text, and of the CC BY licences only notices are known.
+text, and of the CC BY licences only notices are known. Beside them there are tag lines, the one-line notices of 15 licences, and
+the notices that files begin with (of equally long rules the one that is listed first wins).
 
 Defined results: a null or empty text has no sentence and no licence; texts are scanned whole; repeated rows get equal
 results; a document with several licences lists all, by place; extra columns are ignored.
@@ -71,6 +72,42 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("Released under CC0 1.0.",)),
     ("proprietary", ("All rights reserved.",)),
 )
+# Licences that tag lines name; titles of licences in one-line notices; notices of the GNU licences and of others.
+TAGS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+TITLES = (
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License 2.0"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"), ("EPL-2.0", "Eclipse Public License 2.0"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License"), ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"),
+    ("LGPL-2.1", "GNU Lesser General Public License v2.1"), ("LGPL-3.0", "GNU Lesser General Public License v3.0"), ("AGPL-3.0", "GNU Affero General Public License v3.0"),
+)
+GNU = (
+    ("GPL-2.0-or-later", "General", "2"), ("GPL-3.0-or-later", "General", "3"), ("LGPL-2.0-or-later", "Library General", "2"), ("LGPL-2.1-or-later", "Lesser General", "2.1"), ("LGPL-3.0-or-later", "Lesser General", "3"), ("AGPL-3.0-or-later", "Affero General", "3"),
+)
+NOTICES = (
+    ("MPL-2.0", (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    )),
+    ("ISC", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    )),
+    ("0BSD", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    )),
+    ("Unlicense", ("This is free and unencumbered software released into the public domain.",)),
+    ("Zlib", (
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "In no event will the authors be held liable for any damages arising from the use of this software.",
+    )),
+    ("BSL-1.0", ("Distributed under the Boost Software License, Version 1.0.",)),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",)),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)),
+    ("GPL-2.0-only", ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",)),
+)
 #: Full texts: licence, file in ``license_texts``, and the words at which its terms begin and end.
 TEXTS = (
     ("Apache-2.0", "Apache-2.0", "1. Definitions.", "END OF TERMS AND CONDITIONS"),
@@ -156,6 +193,15 @@ def long_rules() -> list[tuple[str, tuple[str, ...]]]:
     return out
 
 
+def notice_rules() -> list[tuple[str, tuple[str, ...]]]:
+    """Tag lines, one-line notices, and the notices of files, each licence in the forms in which it is printed."""
+    out = [(tag, (f"SPDX-License-Identifier: {tag}",)) for tag in TAGS] + list(NOTICES)
+    out += [(name, (f"{begin} the {title}.",)) for name, title in TITLES for begin in ("Licensed under", "Released under", "Distributed under", "This project is licensed under", "This software is licensed under")]
+    grant = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    out += [(name, (grant.format(what, title, version),)) for name, title, version in GNU for what in ("program", "library", "software")]
+    return out
+
+
 class Rules:
     """Sentence identifiers and ordered rules over them."""
 
@@ -164,7 +210,7 @@ class Rules:
         self.rules: dict[int, list[tuple[int, str, tuple[int, ...]]]] = {}
         #: Known sentences by their first two words (by one, if there is one only).
         self.begins: dict[tuple[str, ...], list[str]] = {}
-        ordered = [(name, tuple(x for part in parts for x in sentences(part))) for name, parts in (rules or (*full_texts(), *long_rules(), *RULES))]
+        ordered = [(name, tuple(x for part in parts for x in sentences(part))) for name, parts in (rules or (*full_texts(), *long_rules(), *RULES, *notice_rules()))]
         for order, (name, parts) in enumerate(sorted(ordered, key=lambda r: -len(r[1]))):
             seq = tuple(self.ids.setdefault(p, len(self.ids) + 1) for p in parts)
             self.rules.setdefault(seq[0], []).append((order, name, seq))
