@@ -206,6 +206,11 @@ def _searched(rows: DataFrame, keys: list[str], percent: int, stars_first: bool
     return ordered.mapInArrow(run, "a long, b long, dense boolean")
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read: without rows there is no file to infer its columns from."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
 def _with_hubs(pairs: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """The pairs (hub, node) that the bound leaves. A hub's many members are dealt over parts, and it is sent to each."""
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
@@ -223,7 +228,9 @@ def _among_the_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
     n = lambda far: F.count_if(F.col("far") == far)
     tiles = lambda far: F.ceil(n(far) / tile).cast("int")
     count = named.groupBy("key").agg(n(True).alias("n_far"), n(False).alias("n_near"), tiles(True).alias("far_tiles"), tiles(False).alias("near_tiles"))
-    dealt = named.join(count.where("n_far > 1 or n_far = 1 and n_near > 0"), "key").withColumn("t", F.expr("cast(pmod(xxhash64(node), if(far, far_tiles, near_tiles)) as int)"))
+    # written, so that the join is not bound to the aggregation's partitions and a large shard can be split
+    count = _kept(count.where("n_far > 1 or n_far = 1 and n_near > 0"), "open-shards")
+    dealt = named.join(count, "key").withColumn("t", F.expr("cast(pmod(xxhash64(node), if(far, far_tiles, near_tiles)) as int)"))
     meets = F.expr("""if(far,
         concat(if(n_near > 0, transform(sequence(0, near_tiles - 1), i -> named_struct('kind', 0, 'i', i, 'j', t, 'side', 0)), array()),
                if(n_far > 1, transform(sequence(0, far_tiles - 1), u -> named_struct('kind', 1, 'i', least(t, u), 'j', greatest(t, u), 'side', cast(t > u as int))), array())),
@@ -234,8 +241,7 @@ def _among_the_rest(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
 
 def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links) of every row."""
-    spark, classes = docs.sparkSession, Classes(percent)
-    kept = lambda df, name: spark.read.schema(df.schema).parquet(written(df, name))  # without rows there is no file to infer it from
+    classes = Classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,25 +249,25 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
                 yield pa.RecordBatch.from_arrays([part.column(0), *prints(text_column(part), classes, shingle)], names=[c.split()[0] for c in PRINTS.split(", ")])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = kept(texts.toDF("id", "text").mapInArrow(run, PRINTS), "ngrams")
+    found = _kept(texts.toDF("id", "text").mapInArrow(run, PRINTS), "ngrams")
     some = found.where("id is not null and size > 0")
     first = F.min(F.struct("id", "bytes", "size", "vector", "own", "above")).alias("r")
-    reps = kept(some.groupBy("same").agg(first).select("same", F.col("r.id").alias("node"), "r.bytes", "r.size", "r.vector", F.concat("r.own", "r.above").alias("keys")), "sets")
+    reps = _kept(some.groupBy("same").agg(first).select("same", F.col("r.id").alias("node"), "r.bytes", "r.size", "r.vector", F.concat("r.own", "r.above").alias("keys")), "sets")
     placed = reps.select(F.explode("keys").alias("key"), "node")
     hubs = placed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").drop("other")
-    members = kept(placed.join(hubs, "key"), "shards")
+    members = _kept(placed.join(_kept(hubs, "hubs"), "key"), "shards")
     sets = reps.select("node", "size", "vector")
     name = lambda pairs: pairs.join(reps.select(F.col("node").alias("a"), F.struct("same", F.col("node").alias("node")).alias("hub")), "a").join(reps.select(F.col("node").alias("b"), "same", F.col("bytes").alias("size")), "b").select(F.col("b").alias("node"), "same", "size", "hub")
     verify = lambda pairs: verified(name(pairs), texts, shingle, percent / 100, share)
 
-    asked = kept(members.where("node <> hub").select("hub", "node").distinct(), "pairs")
-    links = kept(verify(_with_hubs(asked, sets, percent, tile).select("a", "b")), "links")
+    asked = _kept(members.where("node <> hub").select("hub", "node").distinct(), "pairs")
+    links = _kept(verify(_with_hubs(asked, sets, percent, tile).select("a", "b")), "links")
     tried = asked.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     labels = connected_components(links)
     for stars_first in (True, False):
-        rest = kept(_among_the_rest(members, labels, sets, percent, tile, stars_first), "survivors")
+        rest = _kept(_among_the_rest(members, labels, sets, percent, tile, stars_first), "survivors")
         tried, pairs = tried.union(rest.select("a", "b")), rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        links = kept(links.union(verify(pairs)), "links")
+        links = _kept(links.union(verify(pairs)), "links")
         if not stars_first or rest.where("dense").isEmpty():
             break
         labels = connected_components(links)
