@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import aggregates, quantiles, scans, sequence, triggers
+from tidewater.operators import aggregates, enrich, quantiles, scans, sequence, triggers
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,9 @@ def test_spread_is_no_spread(stream, width):
         lambda s: sequence.moving_average(stream, *key, "v", 3, spread=s),
         lambda s: sequence.spans(stream, *key, "t", anchor, spread=s),
         lambda s: sequence.edges(stream, *key, "v", spread=s),
+        lambda s: enrich.neighbours_by_kind(enrich.sequences(stream.withColumn("kind", F.when(F.col("kind") == "a", "fixation").otherwise("saccade")), *key, "kind", s), *key, "kind", ["v"], ["size"], s),
+        lambda s: enrich.without_artifacts(stream.select("k", "t", "i", F.lit("saccade").alias("type"), F.col("t").cast("double").alias("start_time"), (F.col("t") + 0.9).alias("end_time"), F.lit(0.9).alias("duration"), F.col("size").alias("amplitude")), *key, least_gap=0.2, spread=s),
+        lambda s: sequence.ranks(stream, ["k"], "size", ["i"], 0.1, s and s[1] / 50),
         lambda s: triggers.relabel(stream, *key, "kind", F.col("previous") == "b", F.lit("c"), spread=s),
     ):
         plain = rows(f(None))

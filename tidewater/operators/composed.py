@@ -114,7 +114,7 @@ def ordered_matrix(matrix: DataFrame, places: DataFrame, key: str, place: str) -
     order = Window.partitionBy(F.lit(0)).orderBy(place, key)  # conditions of a matrix
     ranked = places.select(key, (F.row_number().over(order) - 1).alias("__k"))
     a, b = ranked.select(F.col(key).alias("i"), F.col("__k").alias("i_place")), ranked.select(F.col(key).alias("j"), F.col("__k").alias("j_place"))
-    return both.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("i_place", "j_place", "d")
+    return both.join(a, "i").join(b, "j").select("i_place", "j_place", "d")
 
 
 def agglomerate(matrix: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import intervals, sequence
 from .quantiles import exact_quantiles
+from .scans import Spread, scan
 
 #: Seconds between a trigger and what is on the screen.
 DELAY = 0.02
@@ -37,26 +38,27 @@ def trial_clock(rows: DataFrame, by: list[str], order: list[str], kind: str, tim
     return rows.withColumn(name, F.col(time) + F.when(F.col(kind) == "caption", scene + mic).when(F.col(kind) == "microphone", scene).otherwise(0.0))
 
 
-def merge_saccades(events: DataFrame, by: list[str], order: list[str], kind: str, time: str, duration: str, merged: str = "saccade") -> DataFrame:
+def merge_saccades(events: DataFrame, by: list[str], order: list[str], kind: str, time: str, duration: str, merged: str = "saccade", spread: Spread = None) -> DataFrame:
     """Runs of ``merged`` rows become their first (multi: first, else no), which lasts to the next row that is kept; at the
     end of a trial its duration stays."""
-    out = sequence.merge_runs(events, by, order, kind, merged, time)
+    out = sequence.merge_runs(events, by, order, kind, merged, time, spread)
     many = F.col("run_length") > 1
     return out.withColumn("multi", F.when(many, "first").otherwise("no")).withColumn(duration, F.when(many, F.coalesce("span", duration)).otherwise(F.col(duration))).drop("run_length", "span")
 
 
-def sequences(events: DataFrame, by: list[str], order: list[str], kind: str) -> DataFrame:
+def sequences(events: DataFrame, by: list[str], order: list[str], kind: str, spread: Spread = None) -> DataFrame:
     """fix_sequence, sac_sequence and both from the last (0, -1, ...) within ``by``; null on rows of other kinds."""
-    out = sequence.positions(events, by, order, "fix_sequence", F.col(kind) == "fixation")
-    return sequence.positions(out, by, order, "sac_sequence", F.col(kind) == "saccade")
+    out = sequence.positions(events, by, order, "fix_sequence", F.col(kind) == "fixation", spread)
+    return sequence.positions(out, by, order, "sac_sequence", F.col(kind) == "saccade", spread)
 
 
-def neighbours_by_kind(events: DataFrame, by: list[str], order: list[str], kind: str, values: list[str], labels: list[str]) -> DataFrame:
+def neighbours_by_kind(events: DataFrame, by: list[str], order: list[str], kind: str, values: list[str], labels: list[str], spread: Spread = None) -> DataFrame:
     """``values`` of the saccades right before and after a fixation, and ``labels`` of the fixations beside a saccade, as
     _pre and _post. The first fixation of a trial takes none from before it unless that saccade is not its trial's last,
     and so on for the last one; saccades look at their own position."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    k, of = F.col(kind), lambda c, step: (F.lag(c) if step < 0 else F.lead(c)).over(w)
+    seen = F.struct(*dict.fromkeys([kind, "sac_sequence", "sac_sequence_from_last", *values, *labels]))
+    rows = scan(events, by, order, spread, before={"__lag": seen}, after={"__lead": seen})
+    k, of = F.col(kind), lambda c, step: F.col(f"__lag.{c}" if step < 0 else f"__lead.{c}")
     from_sac = {
         "pre": (k == "fixation") & (of(kind, -1) == "saccade") & (F.coalesce(F.col("fix_sequence") > 0, F.lit(False)) | F.coalesce(of("sac_sequence_from_last", -1) < 0, F.lit(False))),
         "post": (k == "fixation") & (of(kind, 1) == "saccade") & (F.coalesce(F.col("fix_sequence_from_last") < 0, F.lit(False)) | F.coalesce(of("sac_sequence", 1) > 0, F.lit(False))),
@@ -65,7 +67,7 @@ def neighbours_by_kind(events: DataFrame, by: list[str], order: list[str], kind:
     step = {"pre": -1, "post": 1}
     out = {f"{c}_{side}": F.when(cond, of(c, step[side])) for side, cond in from_sac.items() for c in values}
     out |= {f"{c}_{side}": F.when(cond, of(c, step[side])) for side, cond in from_fix.items() for c in labels}
-    return events.withColumns(out)
+    return rows.withColumns(out).drop("__lag", "__lead")
 
 
 def enrich(events: DataFrame, trials: DataFrame, log: DataFrame, by: list[str], key: list[str], mode: str = "strict", bucket: float = 3600.0) -> DataFrame:
@@ -91,15 +93,15 @@ def clean(events: DataFrame, kind: str = "type", duration: str = "duration", dro
     return events.where(keep)
 
 
-def without_artifacts(events: DataFrame, by: list[str], order: list[str], kind: str = "type", most_fixation: float = 5.0, most_amplitude: float = 500.0, least_gap: float = 0.02) -> DataFrame:
+def without_artifacts(events: DataFrame, by: list[str], order: list[str], kind: str = "type", most_fixation: float = 5.0, most_amplitude: float = 500.0, least_gap: float = 0.02, spread: Spread = None) -> DataFrame:
     """Fixations that last too long and saccades that go too far are left out (null durations and amplitudes stay), then of
     two saccades too close to each other the smaller one."""
     is_long = F.coalesce((F.col(kind) == "fixation") & (F.col("duration") > most_fixation), F.lit(False))
     is_far = F.coalesce((F.col(kind) == "saccade") & (F.col("amplitude") > most_amplitude), F.lit(False))
     some = events.where(~is_long & ~is_far)
     saccade = F.coalesce(F.col(kind) == "saccade", F.lit(False))
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = some.where(saccade).withColumns({"__gap": F.col("start_time") - F.lag("end_time").over(w), "__next": F.lead("start_time").over(w) - F.col("end_time"), "__a0": F.lag("amplitude").over(w), "__a1": F.lead("amplitude").over(w)})
+    beside = scan(some.where(saccade), by, order, spread, before={"__pre": F.struct("end_time", "amplitude")}, after={"__post": F.struct("start_time", "amplitude")})
+    marked = beside.withColumns({"__gap": F.col("start_time") - F.col("__pre.end_time"), "__next": F.col("__post.start_time") - F.col("end_time"), "__a0": F.col("__pre.amplitude"), "__a1": F.col("__post.amplitude")})
     smaller = lambda a, b: F.coalesce(a < b, F.lit(False))
     goes = F.coalesce(F.col("__gap") < least_gap, F.lit(False)) & ~smaller(F.col("__a0"), F.col("amplitude")) | F.coalesce(F.col("__next") < least_gap, F.lit(False)) & smaller(F.col("amplitude"), F.col("__a1"))
     return marked.where(~goes).select(some.columns).unionByName(some.where(~saccade))
@@ -118,11 +120,16 @@ def at_offset(events: DataFrame, time: str = "time_in_trial", duration: str = "d
 def quality(events: DataFrame, by: list[str], seconds: float, kind: str = "type", duration: str = "duration") -> DataFrame:
     """By group: n, rate, mean, median and standard deviation of the duration for each kind of event, and the share of
     ``seconds`` that events cover."""
-    out = []
-    for k in ("fixation", "saccade", "blink"):
+    out, names = [], []
+    kinds = ("fixation", "saccade", "blink")
+    for k in kinds:
         d, n = F.when(F.col(kind) == k, F.col(duration)), F.count_if(F.col(kind) == k)
-        out += [n.alias(f"n_{k}"), (n / seconds).alias(f"{k}_rate"), F.avg(d).alias(f"{k}_mean"), F.median(d).alias(f"{k}_median"), F.stddev_samp(d).alias(f"{k}_sd")]
-    return events.groupBy(*by).agg(*out, (F.sum(duration) / seconds).alias("coverage"))
+        out += [n.alias(f"n_{k}"), (n / seconds).alias(f"{k}_rate"), F.avg(d).alias(f"{k}_mean"), F.stddev_samp(d).alias(f"{k}_sd")]
+        names += [f"n_{k}", f"{k}_rate", f"{k}_mean", f"{k}_median", f"{k}_sd"]
+    middle = exact_quantiles(events.where(F.col(kind).isin(*kinds)), duration, [0.5], [*by, kind])
+    medians = middle.groupBy(*by).agg(*[F.max(F.when(F.col(kind) == k, F.col("__q")[0])).alias(f"{k}_median") for k in kinds])
+    totals = events.groupBy(*by).agg(*out, (F.sum(duration) / seconds).alias("coverage"))
+    return totals.join(medians, by, "left").select(*by, *names, "coverage")
 
 
 def on_screen(df: DataFrame, x: str, y: str, width: float, height: float, flip: bool = True) -> DataFrame:

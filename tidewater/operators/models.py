@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import matrices, vectors
+from . import aggregates, matrices, vectors
 from .quantiles import exact_quantiles
 
 ALPHAS = (1e-2, 1e-1, 1.0, 1e1, 1e2, 1e3)
@@ -133,8 +133,10 @@ def decode(df: DataFrame, x: str, label: str, fold: str, key: list[str], steps:
 
 
 def balanced_accuracy(predictions: DataFrame, label: str, predicted: str = "predicted") -> DataFrame:
-    """By label, against all others: n, recall, specificity, their mean, and that less 1/2 in percent."""
+    """By label (``aggregates.MOST_LABELS`` at most), against all others: n, recall, specificity, their mean, and that less 1/2 in percent."""
     domain = predictions.select(F.col(label).alias("__c")).distinct()
+    if domain.limit(aggregates.MOST_LABELS + 1).count() > aggregates.MOST_LABELS:
+        raise ValueError(f"{label} has over {aggregates.MOST_LABELS} values")
     cells = predictions.groupBy(label, predicted).agg(F.count("*").alias("n"))  # labels squared
     of = cells.crossJoin(F.broadcast(domain))
     is_c, says_c = F.col(label) == F.col("__c"), F.col(predicted) == F.col("__c")

@@ -48,7 +48,7 @@ def hash_folds(df: DataFrame, group: str, n: int = 5, seed: int = 0) -> DataFram
 def spread(df: DataFrame, by: str, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """n rows dealt over the categories as evenly as their sizes allow (a category that is used up gives way)."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(seeded(seed, *key), *key))
-    return df.withColumn("place", place).orderBy("place", by).limit(n)
+    return df.withColumn("place", place).where(F.col("place") <= n).orderBy("place", by).limit(n)  # no category gives more than n: tasks cut theirs before the shuffle
 
 
 def water_fill(caps: DataFrame, key: str, cap: str, n: int) -> DataFrame:

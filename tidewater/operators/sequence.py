@@ -120,11 +120,11 @@ def moving_average(events: DataFrame, by: list[str], order: list[str], value: st
     return rows.withColumn(name, mean).select(*[c for c in events.columns if c != name], name)
 
 
-def ranks(events: DataFrame, by: list[str], value: str, ties: list[str], reject: float = 0.02) -> DataFrame:
-    """rank from 1 (ties by ``ties``), and rejected: beyond the share 1 - reject of its group."""
-    part = Window.partitionBy(*by)
-    ranked = events.withColumn("rank", F.row_number().over(part.orderBy(value, *ties)))
-    return ranked.withColumn("rejected", F.col("rank") > F.count("*").over(part) * (1 - reject))
+def ranks(events: DataFrame, by: list[str], value: str, ties: list[str], reject: float = 0.02, spread: float | None = None) -> DataFrame:
+    """rank from 1 (ties by ``ties``), and rejected: beyond the share 1 - reject of its group. ``spread``: a width of ``value``,
+    over whose stretches a group is dealt."""
+    ranked = scan(events, by, [value, *ties], (value, spread) if spread else None, sums={"rank": F.lit(1)}, totals={"__n": F.lit(1)})
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("rejected", F.col("rank") > F.col("__n") * (1 - reject)).drop("__n")
 
 
 def days_from_first(events: DataFrame, by: list[str], time: str) -> DataFrame:

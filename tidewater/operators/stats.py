@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import aggregates
 from .quantiles import exact_quantiles, with_quantiles
 
 
 def chi_square(df: DataFrame, row: str, col: str) -> DataFrame:
-    """chi2 and degrees of freedom of independence; the table of counts is small by definition."""
+    """chi2 and degrees of freedom of independence. The table of counts has all combinations of labels: more than
+    ``aggregates.MOST_LABELS`` of ``col`` are an error."""
     n = df.groupBy(row, col).agg(F.count("*").alias("n"))
-    grid = n.select(row).distinct().crossJoin(n.select(col).distinct()).join(n, [row, col], "left").fillna({"n": 0})
+    grid = aggregates.domain(n, [row, col]).join(n, [row, col], "left").fillna({"n": 0})
     everything = Window.partitionBy(F.lit(0))
     expected = F.sum("n").over(Window.partitionBy(row)) * F.sum("n").over(Window.partitionBy(col)) / F.sum("n").over(everything)
     return grid.withColumn("e", expected).agg(F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e")).alias("chi2"), ((F.count_distinct(row) - 1) * (F.count_distinct(col) - 1)).alias("df"))

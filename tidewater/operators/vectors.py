@@ -56,7 +56,7 @@ def dissimilarity(conditions: DataFrame, key: str, array: str, by: list[str] | N
     out = joined.select(*by, "i", "j", d.alias("d"))
     if domain is None:
         return out
-    full = domain.select("i", "j") if not by else conditions.select(*by).distinct().crossJoin(F.broadcast(domain.select("i", "j")))  # a matrix' pairs
+    full = domain.select("i", "j") if not by else conditions.select(*by).distinct().crossJoin(domain.select("i", "j"))  # a matrix' pairs, for each matrix
     return full.join(out, [*by, "i", "j"], "left")
 
 
