@@ -33,7 +33,7 @@ def test_silhouettes(spark):
     x = rng.normal(size=(300, 5)) + rng.integers(0, 4, 300)[:, None]
     c, g = rng.integers(0, 4, 300), rng.integers(0, 2, 300)
     c[:3], g[:3] = [9, 9, 8], [0, 1, 1]  # a cluster's only row
-    df = spark.createDataFrame([(i, int(g[i]), int(c[i]), x[i].tolist()) for i in range(300)], "k int, g int, c int, x array<double>")
+    df = spark.createDataFrame([(i, int(g[i]), int(c[i]), x[i].tolist()) for i in range(300)], "id int, g int, c int, x array<double>")
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     want = {}
     for i in range(300):
@@ -42,9 +42,9 @@ def test_silhouettes(spark):
         b = min(np.mean(v) for k, v in near.items() if k != c[i])
         want[i] = 0.0 if a is None else (b - a) / max(a, b)
     for tile in (16, 1024):
-        got = {r["k"]: r["silhouette"] for r in matrices.silhouettes(df, ["k"], "x", "c", ["g"], tile).collect()}
+        got = {r["id"]: r["silhouette"] for r in matrices.silhouettes(df, ["id"], "x", "c", ["g"], tile).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
-    assert {r["silhouette"] for r in matrices.silhouettes(df.withColumn("c", F.lit(1)), ["k"], "x", "c").collect()} == {None}
+    assert {r["silhouette"] for r in matrices.silhouettes(df.withColumn("c", F.lit(1)), ["id"], "x", "c").collect()} == {None}
 
 
 def test_mixed_model(spark):

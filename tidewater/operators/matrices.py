@@ -60,7 +60,8 @@ def permutation_null(series: DataFrame, model: DataFrame, by: list[str], draws:
     parts = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(product, "id long, xx double, xy array<double>, yy array<double>")
     spread = parts.select("id", "xx", F.posexplode(F.arrays_zip(F.col("xy").alias("xy"), F.col("yy").alias("yy"))).alias("draw", "s")).groupBy("id", "draw").agg(F.sum("xx").alias("xx"), F.sum("s.xy").alias("xy"), F.sum("s.yy").alias("yy"))
     size = F.sqrt(F.col("xx") * F.col("yy"))
-    found = ranked.select(*by, F.xxhash64(*of).alias("id")).distinct().join(spread, "id").select(*by, F.col("draw").cast("int").alias("draw"), F.when(size > 0, F.col("xy") / size).alias("rho"))
+    told = spread.select(F.col("id").alias("__id"), F.col("draw").cast("int").alias("draw"), F.when(size > 0, F.col("xy") / size).alias("rho"))
+    found = ranked.select(*by, F.xxhash64(*of).alias("__id")).distinct().join(told, "__id").select(*by, "draw", "rho")
     lacking = known.join(sizes.where(F.col("__n") < n), by).select(*by, "i", "j", F.col("__x").alias("d"))
     return found.unionByName(_ranked_each(lacking, model, by, draws, seed))
 
@@ -138,7 +139,7 @@ def silhouettes(df: DataFrame, key: list[str], x: str, cluster: str, by: list[st
     mean = F.col("s") / F.nullif(F.col("n") - is_own.cast("int"), F.lit(0))  # a row is no neighbour of its own
     both = each.join(own, "id").groupBy("id").agg(F.max(F.when(is_own, F.col("n"))).alias("n"), F.max(F.when(is_own, mean)).alias("a"), F.min(F.when(~is_own, mean)).alias("b"))
     value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return named.select(*by, *key, F.col("__c").alias(cluster), F.col("__id").alias("id")).join(both.select("id", value.alias("silhouette")), "id", "left").drop("id")
+    return named.select(*by, *key, F.col("__c").alias(cluster), "__id").join(both.select(F.col("id").alias("__id"), value.alias("silhouette")), "__id", "left").drop("__id")
 
 
 def mixed_model(df: DataFrame, y: str, terms: dict[str, object], group: str, most_sizes: int = 10_000) -> DataFrame:

@@ -110,24 +110,25 @@ def assembled(samples: DataFrame, by: list[str], time: str, channels: list[str],
     last = F.coalesce(F.ceil("__to.p") - 1, F.floor("__p"))
     cells = pairs.withColumns({"__a": F.ceil("__p"), "__z": F.least(last, F.col("__n") - 1)}).where("__a <= __z")
     # a segment of grid points between two samples, cut at chunks
-    stretch = cells.withColumn("c", F.explode(F.sequence(F.floor(F.col("__a") / chunk), F.floor(F.col("__z") / chunk))))
-    line = stretch.select(*keys, "c", F.greatest("__a", F.col("c") * chunk).alias("a"), F.least("__z", F.col("c") * chunk + (chunk - 1)).alias("z"), F.col("__p").alias("p"), F.col("__v").alias("v"), F.coalesce((F.col("__to.v") - F.col("__v")) / (F.col("__to.p") - F.col("__p")), F.lit(0.0)).alias("slope"))
-    schema = ", ".join([*(f"`{k}` {line.schema[k].dataType.simpleString()}" for k in keys), "c long", "x array<double>"])
+    stretch = cells.withColumn("__k", F.explode(F.sequence(F.floor(F.col("__a") / chunk), F.floor(F.col("__z") / chunk))))
+    begin = F.col("__k") * chunk
+    line = stretch.select(*keys, "__k", F.greatest("__a", begin).alias("__a"), F.least("__z", begin + (chunk - 1)).alias("__z"), "__p", "__v", F.coalesce((F.col("__to.v") - F.col("__v")) / (F.col("__to.p") - F.col("__p")), F.lit(0.0)).alias("__slope"))
+    schema = ", ".join([*(f"`{k}` {line.schema[k].dataType.simpleString()}" for k in keys), "__k long", "__x array<double>"])
 
     def lay(group: pa.Table) -> pa.Table:
-        a, z, p, v, slope = (group[k].to_numpy() for k in ("a", "z", "p", "v", "slope"))
-        base = group["c"][0].as_py() * chunk
+        a, z, p, v, slope = (group[k].to_numpy() for k in ("__a", "__z", "__p", "__v", "__slope"))
+        base = group["__k"][0].as_py() * chunk
         x = np.zeros(chunk)
         n = z - a + 1
         row = np.repeat(np.arange(len(a)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[row]
         x[at - base] = v[row] + (at - p[row]) * slope[row]
-        return pa.table({**{k: group[k].slice(0, 1) for k in keys}, "c": group["c"].slice(0, 1).cast(pa.int64()), "x": pa.array([x.tolist()], pa.list_(pa.float64()))})
+        return pa.table({**{k: group[k].slice(0, 1) for k in keys}, "__k": group["__k"].slice(0, 1).cast(pa.int64()), "__x": pa.array([x.tolist()], pa.list_(pa.float64()))})
 
-    laid = line.groupBy(*keys, "c").applyInArrow(lay, schema)
-    every = grid.select(*by, "rate", "__n", F.explode(F.array(*map(F.lit, channels))).alias("channel")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / chunk))))
-    size = F.least(F.lit(chunk), F.col("__n") - F.col("c") * chunk).cast("int")
-    return every.join(laid, [*keys, "c"], "left").select(*keys, "rate", (F.col("c") * chunk).alias("start"), F.coalesce(F.slice("x", F.lit(1), size), F.array_repeat(F.lit(0.0), size)).alias("x"))
+    laid = line.groupBy(*keys, "__k").applyInArrow(lay, schema)
+    every = grid.select(*by, "rate", "__n", F.explode(F.array(*map(F.lit, channels))).alias("channel")).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / chunk))))
+    size = F.least(F.lit(chunk), F.col("__n") - begin).cast("int")
+    return every.join(laid, [*keys, "__k"], "left").select(*keys, "rate", begin.alias("start"), F.coalesce(F.slice("__x", F.lit(1), size), F.array_repeat(F.lit(0.0), size)).alias("x"))
 
 
 def density(df: DataFrame, x: str, y: str, weight: str | None = None, cells: int = 64, adjust: float = 1.0, cut: float = 3.0, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
