@@ -41,6 +41,8 @@ from .words import mix, slices, text_column
 SHINGLE, PERCENT = 3, 90
 #: Points of a shard that are searched in one task; points in a leaf and children of a box; cells of a comparison laid out at once.
 TILE, LEAF, FAN, CELLS = 4096, 32, 8, 1 << 22
+#: Parts of a tile for what is only compared with a hub: no tree is worth building for one query.
+OF_HUB = 16
 #: Survivors for each point of a tile from which on stars are sent first.
 DENSE = 4
 #: Bytes of text that are verified against one set in one group.
@@ -261,7 +263,7 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     verify = lambda pairs: verified(name(pairs), texts, shingle, percent / 100, share)
 
     asked = _kept(members.where("node <> hub").select("hub", "node").distinct(), "pairs")
-    links = _kept(verify(_with_hubs(asked, sets, percent, tile).select("a", "b")), "links")
+    links = _kept(verify(_with_hubs(asked, sets, percent, -(-tile // OF_HUB)).select("a", "b")), "links")
     tried = asked.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     labels = connected_components(links)
     for stars_first in (True, False):
