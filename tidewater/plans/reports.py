@@ -11,7 +11,7 @@ from ..sources import records
 from . import analysis
 from .analysis import LONG, _rank, vec
 from .labels_triggers import stream
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 R = lambda c, name: F.round(c, 6).alias(name)
 
@@ -104,9 +104,10 @@ def enriched_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.enriched_once(facts, "l_suppkey", lambda keys: keys.join(known, "l_suppkey")).select("l_orderkey", "l_linenumber", "name")
 
 
-@query()
+@query(f"""select session, trials, wrong, collisions from (select session, count(*)::bigint as trials, count(*) filter (not ok)::bigint as wrong from ({ORACLES["trigger_check"]}) group by 1)
+join (select session, count(*) filter (collision)::bigint as collisions from ({ORACLES["trigger_audit"]}) group by 1) using (session)""")
 def session_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials and codes of each session that are not as expected; its two parts have SQL of their own (trigger_audit, trigger_check)."""
+    """Trials and codes of each session that are not as expected."""
     codes, checks = reports.audit_session(stream(spark, sf_dir), "session", ["sample"])
     wrong = checks.groupBy("session").agg(F.count("*").alias("trials"), F.count_if(~F.col("ok")).alias("wrong"))
     return wrong.join(codes.groupBy("session").agg(F.count_if("collision").alias("collisions")), "session")
