@@ -143,23 +143,42 @@ class Shard:
         """n and spelling of the words here that are near ``word``, each once over all shards."""
         if not self.held:
             return
+        for side, seg in self.lying(word):
+            by = self.held.get((side, seg))
+            if not by:
+                continue
+            rest = word[: len(word) - len(seg)] if side else word[len(seg) :]
+            for key in keys(rest):
+                if tiles == 1 or place(key, tiles) == tile:
+                    for beside, n, other in by.get(key, ()):
+                        # words that share their beginning, too, have met there
+                        if meets(beside, rest, key) and not (side and word.startswith(beside)):
+                            yield n, other
+
+    def lying(self, word: str) -> Iterator[tuple[int, str]]:
+        """Side and letters of the segments that lie in ``word`` at their own offset. The automaton finds those of up to ``LONG`` letters;
+        longer ones, which a word can have in four lengths only, are cut out (an automaton goes back over all of a long repeated segment at each letter)."""
         if self.automaton is None:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
             for _, seg in self.held:
-                self.automaton.add_word(seg, seg)
+                if len(seg) <= LONG:
+                    self.automaton.add_word(seg, seg)
             self.automaton.make_automaton()
-        for last, seg in self.automaton.iter(word):
-            k = len(seg)
-            for side, lies, rest in ((0, last + 1 == k, word[k:]), (1, last + 1 == len(word), word[: len(word) - k])):
-                by = self.held.get((side, seg)) if lies else None
-                for key in keys(rest) if by else ():
-                    if tiles == 1 or place(key, tiles) == tile:
-                        for beside, n, other in by.get(key, ()):
-                            # words that share their beginning, too, have met there
-                            if meets(beside, rest, key) and not (side and word.startswith(beside)):
-                                yield n, other
+        size = len(word)
+        if (size - 1) // 2 <= LONG and len(self.automaton):
+            for last, seg in self.automaton.iter(word):
+                if last + 1 == len(seg):
+                    yield 0, seg
+                if last + 1 == size:
+                    yield 1, seg
+        for k in {(size - 1) // 2, size // 2, (size + 1) // 2}:
+            if k > LONG:
+                yield 0, word[:k]
+        for k in {size // 2, (size + 1) // 2, (size + 2) // 2}:
+            if k > LONG:
+                yield 1, word[size - k :]
 
 
 def _near(rows: DataFrame) -> DataFrame:
