@@ -17,6 +17,13 @@ repeated rows of one id are removed, then those of the smallest ids stay, which
 The shortlist grows with the table so that recall does not fall. On vectors without structure, the hardest case, 64
 numbers each, recall at 20 of a shortlist of 200, 400, 800, 1600 is 0.994, 1, 1, 1 of 8,000 rows; 0.92, 0.98, 0.997, 1 of 50,000;
 0.89, 0.96, 0.99, 1 of 100,000; 0.86, 0.93, 0.98, 0.996 of 200,000; 0.80, 0.91, 0.97, 0.99 of 400,000: 494, 699, 988 and 1,398 are taken there.
+On vectors that the codes fit less well it is far lower (hundreds of numbers without structure; groups of different widths).
+
+``exact`` therefore checks what was found (``_checked``): with each code the index holds how much of the vector the code leaves
+out, along the sum of codewords and across it. That bounds a row's product with a query from above, and every row whose
+bound reaches the k-th score found is scored exactly, so no row is missed, whatever the vectors. The better the codes fit, the
+fewer rows remain; where they hardly fit, nearly all do, and the check costs rows x queries products. It ships whole vectors by blocks:
+all rows once for every 4 x ``BLOCK_QUERIES`` queries.
 
 Defined results: vectors null, with null or non-finite components or zero take no part, nor do rows without id; vectors
 of each length are searched among their own (no product joins two lengths; more than ``LENGTHS`` lengths are an error);
@@ -33,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +50,8 @@ SAMPLE, BOOKS, WORDS, BEAM, RERANK = 16_384, 16, 256, 4, 200
 #: Rows for which ``RERANK`` is enough.
 FULL = 8_192
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 1_024
+#: Vectors of a block of the check, in bytes.
+BLOCK_BYTES = 8 << 20
 #: Lengths of vectors that one table may have.
 LENGTHS = 64
 
@@ -92,9 +102,25 @@ def approximate(table: np.ndarray, codes: np.ndarray, norms: np.ndarray | None =
     return s if norms is None else 2 * s - norms * norms
 
 
-def _candidates(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, same: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query: its id, the ``rerank`` best rows of the block and their approximate scores. ``same``: a digest of
-    each row's vector."""
+def remainders(x: np.ndarray, books: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the sums of codewords leave out of ``x``: its part along the sum (signed) and the length of the part across."""
+    sums = books[np.arange(len(books)), codes].sum(1)
+    unit = sums / np.where(norms > 0, norms, np.inf)[:, None]
+    along = ((x - sums) * unit).sum(1)
+    return along, np.linalg.norm(x - sums - along[:, None] * unit, axis=1)
+
+
+def ceilings(s: np.ndarray, error: float, length: float, norms: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """No less than a query's inner products with rows whose codes give ``s``, within ``error``. ``length``: of the query.
+    Along the sum of codewords the query is known by ``s``, and what it has across it has at most the length left."""
+    per = 1 / np.where(norms > 0, norms, np.inf)
+    known = np.maximum(np.abs(s) - error, 0) * per
+    return s + error + (s * along + error * np.abs(along)) * per + np.sqrt(np.maximum(length * length - known * known, 0)) * across
+
+
+def _distinct(ids: np.ndarray, same: np.ndarray, k: int) -> np.ndarray:
+    """Places, by id, of the rows without repeated rows of one id and without all but the k + 1 smallest ids of a vector.
+    ``same``: a digest of each row's vector."""
     _, group = np.unique(same, axis=0, return_inverse=True)
     group = group.ravel()
     by = np.lexsort((ids, group))
@@ -102,7 +128,13 @@ def _candidates(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, same: np.ndarra
     first = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) > 0]))
     rank = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
     keep = by[rank <= k]
-    keep = keep[np.argsort(ids[keep], kind="stable")]
+    return keep[np.argsort(ids[keep], kind="stable")]
+
+
+def _candidates(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, same: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its id, the ``rerank`` best rows of the block and their approximate scores. ``same``: a digest of
+    each row's vector."""
+    keep = _distinct(ids, same, k)
     ids, codes, norms = ids[keep], np.ascontiguousarray(codes[keep].T), norms[keep].astype(np.float32)
     most = min(rerank + 1, len(ids))
     for at in range(0, len(qid), 64):
@@ -116,6 +148,43 @@ def _candidates(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, same: np.ndarra
             yield np.full(len(cand), i), ids[cand], s[cand]
 
 
+def _reaching(qid: np.ndarray, q: np.ndarray, bars: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, along: np.ndarray, across: np.ndarray, books: np.ndarray, k: int, measure: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its id, the rows of the block (ids ascend) whose score reaches its bar, the best k of them, and their scores.
+    A row that is ruled out by its ceiling is not scored; what can't be compared (overflow) is."""
+    rows, queries = (x * x).sum(1), (q * q).sum(1)
+    codes, rounding = np.ascontiguousarray(codes.T), 4 * (x.shape[1] + 4) * np.finfo(float).eps
+    for at in range(0, len(qid), 64):
+        some, own, bar = q[at : at + 64], qid[at : at + 64], bars[at : at + 64].copy()
+        tables = np.einsum("qd,mwd->qmw", some, books).astype(np.float32)
+        errors = (len(books) + 4) * (np.finfo(np.float32).eps * np.abs(tables).max(2).sum(1, dtype=float) + np.finfo(np.float32).tiny)
+
+        def least(j: int, part: slice, at: int = at, bar: np.ndarray = bar) -> np.ndarray:
+            """The least product at which a row reaches the bar, less rounding."""
+            both = rows[part] + queries[at + j]
+            return (bar[j] if measure == "product" else (bar[j] + both) / 2) - rounding * both
+
+        open_ = np.empty((len(own), len(ids)), bool)
+        for j, table in enumerate(tables):
+            most = ceilings(approximate(table, codes).astype(float), errors[j], math.sqrt(queries[at + j]), norms, along, across)
+            open_[j] = ~(most < least(j, slice(None))) & (ids != own[j])
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in own]
+        left = np.flatnonzero(open_.any(0))
+        for i in range(0, len(left), 4096):
+            part = left[i : i + 4096]
+            near = x[part]
+            products = near @ some.T
+            for j in np.flatnonzero(open_[:, part].any(1)):
+                hit = np.flatnonzero(open_[j, part] & ~(products[:, j] < least(j, part)))
+                score = (near[hit] * some[j]).sum(1) if measure == "product" else -((near[hit] - some[j]) ** 2).sum(1)
+                v, s = np.concatenate([found[j][0], ids[part[hit]]]), np.concatenate([found[j][1], score])
+                best = np.lexsort((v, -s))[:k]
+                found[j] = v[best], s[best]
+                if len(best) == k:
+                    bar[j] = max(bar[j], s[best[-1]])
+        for i, (v, s) in zip(own, found, strict=True):
+            yield np.full(len(v), i), v, s
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, x (array of double) of the rows that take part."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
@@ -142,21 +211,22 @@ def share_of(rerank: int, blocks: int) -> int:
     return rerank if blocks == 1 else min(rerank, math.ceil(even + 6 * math.sqrt(even) + 20))
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 20, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, rerank: int = RERANK, measure: str = "product", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, k: int = 20, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, rerank: int = RERANK, measure: str = "product", exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each row that fulfils ``queries`` (over vec_id). ``measure``:
-    product (greatest inner product; score is it) or distance (smallest Euclidean; score is its negative square)."""
+    product (greatest inner product; score is it) or distance (smallest Euclidean; score is its negative square). ``exact``:
+    check that no better row is left out."""
     rows = usable(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).orderBy("d").limit(LENGTHS + 1).collect()
     if len(sizes) > LENGTHS:
         raise ValueError(f"vectors of over {LENGTHS} lengths")
     out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = [_search(rows.where(F.size("x") == d), queries, d, n, q, k, sample, books, words, max(rerank, k), measure) for d, n, q in sizes if q]
+    found = [_search(rows.where(F.size("x") == d), queries, d, n, q, k, sample, books, words, max(rerank, k), measure, exact) for d, n, q in sizes if q]
     for f in found:
         out = f if len(found) == 1 else out.unionByName(f)
     return out
 
 
-def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k: int, sample: int, books: int, words: int, rerank: int, measure: str) -> DataFrame:
+def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k: int, sample: int, books: int, words: int, rerank: int, measure: str, exact: bool) -> DataFrame:
     spark = rows.sparkSession
     rerank = shortlist(n, rerank)
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(words, min(sample, (32 << 20) // (8 * d)))).toArrow()  # ``sample`` vectors and 32 MB at most
@@ -168,10 +238,12 @@ def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k:
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), d)
                 codes, norms = encode(x, learned.value)
+                along, across = remainders(x, learned.value, codes, norms)
                 same = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x + 0.0]  # one zero, not two
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(same, pa.binary())], names=["vec_id", "x", "codes", "norm", "same"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(along), pa.array(across), pa.array(same, pa.binary())], names=["vec_id", "x", "codes", "norm", "along", "across", "same"])
 
-    index = spark.read.parquet(written(rows.mapInArrow(code, "vec_id long, x array<double>, codes binary, norm double, same binary"), "codes"))
+    index_at = written(rows.mapInArrow(code, "vec_id long, x array<double>, codes binary, norm double, along double, across double, same binary"), "codes")
+    index = spark.read.parquet(index_at)
     row_blocks, query_blocks = -(-n // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
     of_block, rank_blocks = share_of(rerank, row_blocks), max(1, -(-n_queries * rerank // (BLOCK_QUERIES * RERANK)))
     salt = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
@@ -221,4 +293,30 @@ def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k:
 
     wanted = again.select("qb", "vec_id").distinct().join(index.select("vec_id", "x", "same").dropDuplicates(["vec_id", "same"]).drop("same"), "vec_id").select("qb", "vec_id", "x", F.lit(False).alias("asks"))
     wanted = wanted.unionByName(asked.select(salt("vec_id", rank_blocks).alias("qb"), "vec_id", "x", F.lit(True).alias("asks")))
-    return pairs.groupBy("qb").cogroup(wanted.groupBy("qb")).applyInArrow(rank, "query_id long, rank int, vec_id long, score double")
+    found = pairs.groupBy("qb").cogroup(wanted.groupBy("qb")).applyInArrow(rank, "query_id long, rank int, vec_id long, score double")
+    return _checked(found, spark.read.parquet(index_at), asked, learned, d, n, n_queries, k, measure) if exact else found
+
+
+def _checked(found: DataFrame, index: DataFrame, asked: DataFrame, learned: Broadcast, d: int, n: int, n_queries: int, k: int, measure: str) -> DataFrame:
+    """The k best of all rows, as ``found`` has them or better: its k-th score is the bar that a row's ceiling must reach to be scored."""
+    row_blocks, query_blocks = -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))), max(1, -(-n_queries // (4 * BLOCK_QUERIES)))
+    salt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    bars = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
+    ask = asked.join(bars, "vec_id", "left").select("vec_id", "x", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"), salt(query_blocks).alias("qb")).withColumn("rb", every(row_blocks))
+    give = index.withColumns({"rb": salt(row_blocks), "qb": every(query_blocks)})
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        get = lambda t, c: t.column(c).combine_chunks()
+        right = right.take(pa.array(_distinct(get(right, "vec_id").to_numpy(), _bytes(get(right, "same"), 16), k)))
+        ids, norms, along, across = (get(right, c).to_numpy() for c in ("vec_id", "norm", "along", "across"))
+        with np.errstate(over="ignore", invalid="ignore"):
+            got = list(_reaching(get(left, "vec_id").to_numpy(), _matrix(get(left, "x"), d), get(left, "bar").to_numpy(), ids, _matrix(get(right, "x"), d), _bytes(get(right, "codes"), len(learned.value)), norms, along, across, learned.value, k, measure))
+        return pa.table([np.concatenate(c) for c in zip(*got, strict=True)], schema=out)
+
+    best = ask.groupBy("qb", "rb").cogroup(give.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
