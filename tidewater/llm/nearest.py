@@ -50,8 +50,8 @@ SAMPLE, BOOKS, WORDS, BEAM, RERANK = 16_384, 16, 256, 4, 200
 #: Rows for which ``RERANK`` is enough.
 FULL = 8_192
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 1_024
-#: Vectors of a block of the check, in bytes.
-BLOCK_BYTES = 8 << 20
+#: Vectors of a block of the check, in bytes, unless these are fewer than ``LEAST_ROWS``.
+BLOCK_BYTES, LEAST_ROWS = 8 << 20, 2_048
 #: Lengths of vectors that one table may have.
 LENGTHS = 64
 
@@ -245,7 +245,7 @@ def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k:
     index_at = written(rows.mapInArrow(code, "vec_id long, x array<double>, codes binary, norm double, along double, across double, same binary"), "codes")
     index = spark.read.parquet(index_at)
     row_blocks, query_blocks = -(-n // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
-    of_block, rank_blocks = share_of(rerank, row_blocks), max(1, -(-n_queries * rerank // (BLOCK_QUERIES * RERANK)))
+    of_block, rank_blocks = share_of(rerank, row_blocks), max(1, -(-n_queries * rerank * max(d, 64) // (BLOCK_QUERIES * RERANK * 64)))  # fewer of longer vectors
     salt = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asked = index.where(queries).groupBy("vec_id").agg(F.min("x").alias("x"))
@@ -299,7 +299,7 @@ def _search(rows: DataFrame, queries: Column, d: int, n: int, n_queries: int, k:
 
 def _checked(found: DataFrame, index: DataFrame, asked: DataFrame, learned: Broadcast, d: int, n: int, n_queries: int, k: int, measure: str) -> DataFrame:
     """The k best of all rows, as ``found`` has them or better: its k-th score is the bar that a row's ceiling must reach to be scored."""
-    row_blocks, query_blocks = -(-n // max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))), max(1, -(-n_queries // (4 * BLOCK_QUERIES)))
+    row_blocks, query_blocks = -(-n // min(BLOCK_ROWS, max(LEAST_ROWS, BLOCK_BYTES // (8 * d)))), max(1, -(-n_queries // (4 * BLOCK_QUERIES)))
     salt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     bars = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
