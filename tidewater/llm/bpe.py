@@ -7,6 +7,8 @@ before it, t) is one that merging leaves as it is. So
 
 * the encoding of any prefix is read off by walking back from its end,
 * appending bytes only adds entries (exact appends),
+* pieces that begin with the same bytes share the entries of these: new pieces of a slice of documents are encoded in the order
+  of their bytes, and each goes on from the prefix that it shares with the one before,
 * an edit recomputes entries from the edit on, until as many entries in a row as the longest token has
   bytes agree with the old ones; the rest is reused.
 
@@ -23,13 +25,15 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import text_column
+from .words import slices, text_column
 
-#: Pieces whose ids a Python worker remembers at once; then it starts anew. Bounds memory, not results.
+#: Pieces whose ids a Python worker remembers; beyond, they become the older ones, and it forgets those before. Bounds memory, not results.
 PIECES_KEPT = 300_000
 #: The same for pairs of tokens.
 PAIRS_KEPT = 1_000_000
@@ -66,7 +70,9 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.of_id = {v: k for k, v in ranks.items()}
+        of_id = {v: k for k, v in ranks.items()}
+        #: The bytes of each id, null where a file leaves an id out.
+        self.of_id = pa.array([of_id.get(k) for k in range(max(of_id, default=-1) + 1)], pa.large_binary())
         self.longest = max(map(len, ranks), default=1)
         lengths: dict[bytes, set[int]] = {}
         for token in ranks:
@@ -115,6 +121,13 @@ class PrefixEncoder:
         self.piece += more
         self._grow(self.piece, self.last, begin + 1, len(self.piece))
 
+    def turn_into(self, piece: bytes) -> None:
+        """Another piece in place of this one: only what follows the prefix that both share is computed."""
+        same = len(commonprefix((self.piece, piece)))
+        del self.last[same + 1 :]
+        self.piece = piece
+        self._grow(piece, self.last, same + 1, len(piece))
+
     def edit(self, at: int, gone: int, new: bytes) -> int:
         """Replace ``gone`` bytes at ``at`` by ``new``; returns how many entries were computed anew."""
         piece = self.piece[:at] + new + self.piece[at + gone :]
@@ -142,21 +155,32 @@ class PrefixEncoder:
         return [self.v.ranks[t] for t in self.tokens(end)]
 
 
-class _Pieces(dict):
-    """Piece to its ids, packed as little-endian unsigned 32-bit integers."""
+class _Pieces:
+    """Pieces to their ids, packed as little-endian unsigned 32-bit integers: ``known``, and ``older`` ones from before."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.v = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        whole = self.v.ranks.get(raw)
-        ids = [whole] if whole is not None else PrefixEncoder(self.v, raw).ids()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Has all these pieces among the known ones."""
+        if len(self.known) > PIECES_KEPT:
+            self.known, self.older = {}, self.known
+        known, encoder = self.known, PrefixEncoder(self.v)
+        for piece in sorted(pieces.difference(known)):  # by code points, which is by bytes
+            if (packed := self.older.get(piece)) is None:
+                raw = piece.encode()
+                if (whole := self.v.ranks.get(raw)) is None:
+                    encoder.turn_into(raw)
+                ids = encoder.ids() if whole is None else [whole]
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            known[piece] = packed
+
+    def forget_long(self, pieces: set[str]) -> None:
+        for piece in pieces:
+            if len(piece) > 64:
+                del self.known[piece]
 
 
 @lru_cache(maxsize=2)
@@ -167,16 +191,31 @@ def _coder(path: str, pattern: str):
     return regex.compile(pattern), v, _Pieces(v)
 
 
+def encode_all(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """Packed ids of each text."""
+    split, _, pieces = _coder(path, pattern)
+    found = [split.findall(text) for text in texts]
+    different = set().union(*found)
+    pieces.learn(different)
+    out = [b"".join(map(pieces.known.__getitem__, f)) for f in found]
+    pieces.forget_long(different)
+    return out
+
+
 def encode(text: str, path: str, pattern: str) -> bytes:
     """Packed ids of a text."""
-    split, _, pieces = _coder(path, pattern)
-    if len(pieces) > PIECES_KEPT:
-        pieces.clear()
-    return b"".join(map(pieces.__getitem__, split.findall(text)))
+    return encode_all([text], path, pattern)[0]
 
 
 def decode(packed: bytes, path: str, pattern: str) -> bytes:
-    return b"".join(map(_coder(path, pattern)[1].of_id.__getitem__, memoryview(packed).cast("I")))
+    if not packed:
+        return b""
+    tokens = _coder(path, pattern)[1].of_id.take(pa.array(np.frombuffer(packed, "<u4")))
+    if tokens.null_count:
+        raise KeyError("an id that the vocabulary doesn't have")
+    _, ends, joined = tokens.buffers()  # the tokens' bytes lie one after the other
+    begin, end = np.frombuffer(ends, np.int64)[[tokens.offset, tokens.offset + len(tokens)]]
+    return memoryview(joined)[begin:end].tobytes()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -185,19 +224,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], [], []]
-                for text in text_column(part, "text").to_pylist():
-                    packed = encode(text, path, pattern)
-                    raw = decode(packed, path, pattern)
-                    row = len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest(), packed, raw.decode()
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+            for part in slices(batch):
+                packed = encode_all(text_column(part).to_pylist(), path, pattern)
+                raw = [decode(x, path, pattern) for x in packed]
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column]) for column in (packed, raw)]
+                arrays = [part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), *digests]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    arrays += [pa.array(out[3], pa.binary()), pa.array(out[4], pa.string())]
+                    arrays += [pa.array(packed, pa.binary()), pa.array([x.decode() for x in raw], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
