@@ -61,3 +61,28 @@ def test_ids_that_a_vocabulary_does_not_have(tmp_path):
     for unknown in (3, 6):
         with pytest.raises((KeyError, IndexError)):
             bpe.decode(struct.pack("<2I", 0, unknown), path, r"\w+")
+
+
+def test_memory_of_a_slice_and_of_what_is_remembered(path):
+    import tracemalloc
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abeinorst", k=4)) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=5_000)) for _ in range(40)]  # 1 MB of few pieces
+    once = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(40)) for _ in range(25)]
+    bpe.encode("warm", path, PATTERN)
+    tracemalloc.start()
+    try:
+        packed, before = bpe.encode_all(texts, path, PATTERN), tracemalloc.get_traced_memory()
+        assert before[1] < 6 * sum(map(len, texts))  # not a string for each of the 200,000 pieces
+        assert packed[0] == brute_force(texts[0], path)
+        assert bpe.encode_all(once, path, PATTERN)[7] == brute_force(once[7], path)
+    finally:
+        tracemalloc.stop()
+    _, vocabulary, pieces = bpe._coder(path, PATTERN)
+    assert not any(ord(p[-1]) >= 0x4E00 for p in pieces.known)  # met once: not remembered
+    bpe.encode_all(once, path, PATTERN)
+    assert not any(len(p) > 50 for p in pieces.known)  # long ids: never
+    assert all(x is vocabulary.tokens[vocabulary.ranks[x]] for pair in vocabulary.known for x in pair if x)
+    bpe.encode_all(texts, path, PATTERN)
+    assert {" " + w for w in words} <= pieces.known.keys()

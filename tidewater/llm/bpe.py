@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from functools import lru_cache
 from os.path import commonprefix
 
@@ -34,9 +34,14 @@ from pyspark.sql import DataFrame
 from .words import slices, text_column
 
 #: Pieces whose ids a Python worker remembers; beyond, they become the older ones, and it forgets those before. Bounds memory, not results.
-PIECES_KEPT = 300_000
-#: The same for pairs of tokens.
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 150_000
+#: The same for pairs of tokens; beyond, it starts anew.
+PAIRS_KEPT = 250_000
+#: Code points of a piece, and bytes of its ids, beyond which it is not remembered.
+LONG, LONG_IDS = 64, 128
+#: Marks of pieces that were met: only a piece that is met in a second slice is remembered, as most are met in one only. When half
+#: are set, all are taken away.
+MARKS = 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -70,7 +75,7 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        of_id = {v: k for k, v in ranks.items()}
+        self.tokens = of_id = {v: k for k, v in ranks.items()}
         #: The bytes of each id, null where a file leaves an id out.
         self.of_id = pa.array([of_id.get(k) for k in range(max(of_id, default=-1) + 1)], pa.large_binary())
         self.longest = max(map(len, ranks), default=1)
@@ -88,7 +93,8 @@ class Vocabulary:
             if len(self.known) > PAIRS_KEPT:
                 self.known.clear()
             wanted = [self.ranks[a], self.ranks[b]] if a else [self.ranks[b]]
-            known = self.known[a, b] = merge_by_rank(a + b, self.ranks) == wanted
+            pair = tuple(map(self.tokens.__getitem__, wanted))  # the vocabulary's own bytes, not cuttings of a piece, are kept
+            known = self.known[pair if a else (b"", *pair)] = merge_by_rank(a + b, self.ranks) == wanted
         return known
 
 
@@ -156,31 +162,39 @@ class PrefixEncoder:
 
 
 class _Pieces:
-    """Pieces to their ids, packed as little-endian unsigned 32-bit integers: ``known``, and ``older`` ones from before."""
+    """Pieces to their ids, packed as little-endian unsigned 32-bit integers: ``known``, and ``older`` ones from before; those
+    met for the first time are marked in ``met``."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.met, self.marks = bytearray(MARKS), 0
 
-    def learn(self, pieces: set[str]) -> None:
-        """Has all these pieces among the known ones."""
+    def learn(self, pieces: Set[str]) -> dict[str, bytes]:
+        """The ids of those of these pieces that are not among the known ones."""
         if len(self.known) > PIECES_KEPT:
             self.known, self.older = {}, self.known
-        known, encoder = self.known, PrefixEncoder(self.v)
-        for piece in sorted(pieces.difference(known)):  # by code points, which is by bytes
-            if (packed := self.older.get(piece)) is None:
-                raw = piece.encode()
-                if (whole := self.v.ranks.get(raw)) is None:
-                    encoder.turn_into(raw)
-                ids = encoder.ids() if whole is None else [whole]
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-            known[piece] = packed
-
-    def forget_long(self, pieces: set[str]) -> None:
-        for piece in pieces:
-            if len(piece) > 64:
-                del self.known[piece]
+        if self.marks > MARKS // 2:
+            self.met, self.marks = bytearray(MARKS), 0
+        known, met, new, encoder = self.known, self.met, {}, PrefixEncoder(self.v)
+        for piece in sorted(pieces - known.keys()):  # by code points, which is by bytes
+            if (packed := self.older.get(piece)) is not None:
+                known[piece] = packed
+                continue
+            raw = piece.encode()
+            if (whole := self.v.ranks.get(raw)) is None:
+                encoder.turn_into(raw)
+            ids = encoder.ids() if whole is None else [whole]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            mark = hash(piece) % MARKS
+            if met[mark] and len(piece) <= LONG and len(packed) <= LONG_IDS:
+                known[piece] = packed
+            else:
+                self.marks += not met[mark]
+                met[mark] = 1
+                new[piece] = packed
+        return new
 
 
 @lru_cache(maxsize=2)
@@ -194,12 +208,11 @@ def _coder(path: str, pattern: str):
 def encode_all(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """Packed ids of each text."""
     split, _, pieces = _coder(path, pattern)
-    found = [split.findall(text) for text in texts]
-    different = set().union(*found)
-    pieces.learn(different)
-    out = [b"".join(map(pieces.known.__getitem__, f)) for f in found]
-    pieces.forget_long(different)
-    return out
+    one: dict[str, str] = {}  # of equal pieces, only one string outlives its text's turn
+    found = [[*map(one.setdefault, f, f)] for f in map(split.findall, texts)]
+    new = pieces.learn(one.keys())
+    ids = {piece: packed if (packed := new.get(piece)) is not None else pieces.known[piece] for piece in one}
+    return [b"".join(map(ids.__getitem__, f)) for f in found]
 
 
 def encode(text: str, path: str, pattern: str) -> bytes:
@@ -222,18 +235,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     """Encode and decode whole texts: id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the
     packed ids and the decoded text. Narrow: no shuffle; one row in, one row out."""
 
+    def coded(part: pa.RecordBatch) -> pa.RecordBatch:
+        packed = encode_all(text_column(part).to_pylist(), path, pattern)
+        raw = [decode(x, path, pattern) for x in packed]
+        digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column]) for column in (packed, raw)]
+        arrays = [part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), *digests]
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            arrays += [pa.array(packed, pa.binary()), pa.array([x.decode() for x in raw], pa.string())]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                packed = encode_all(text_column(part).to_pylist(), path, pattern)
-                raw = [decode(x, path, pattern) for x in packed]
-                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in column]) for column in (packed, raw)]
-                arrays = [part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), *digests]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    arrays += [pa.array(packed, pa.binary()), pa.array([x.decode() for x in raw], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield from map(coded, slices(batch))  # nothing of a slice is held while the next one is encoded
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * keep_ids
