@@ -39,3 +39,14 @@ def test_query(spark, name):
         names = [d[0] for d in want.description]
         assert sorted(got.columns) == sorted(names)
         assert rows(got.columns, map(tuple, got.collect())) == rows(names, want.fetchall())
+
+
+def test_file_names_of_long_numbers(spark, tmp_path):
+    """Numbers of more digits than the names are padded to."""
+    spark.createDataFrame([(i, "u", "h") for i in (0, 7, 99_999, 100_000, 123_456, 9_876_543_210)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = __spark_entry__.queries()["file_names"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLES["file_names"])
+        names = [d[0] for d in want.description]
+        assert rows(got.columns, map(tuple, got.collect())) == rows(names, want.fetchall())

@@ -184,7 +184,7 @@ def parameter_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 select page_id, page_id as trial, page_id % 7 as part, case when page_id % 3 > 0 then page_id end as photo, 'S' || case when len((page_id * 50)::varchar) >= 4 then (page_id * 50)::varchar else lpad((page_id * 50)::varchar, 4, '0') end as padded from f""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
-    name = F.concat(F.lit("a/"), F.lpad(i.cast("string"), 5, "0"), F.lit("_"), i % 7, F.lit("_x.jpg"))
+    name = F.concat(messages.padded(i, 5, "a/"), F.lit("_"), i % 7, F.lit("_x.jpg"))  # lpad alone would cut numbers of six digits
     url = F.concat(F.lit("http://farm.example/99/"), F.when(i % 3 > 0, i.cast("string")).otherwise("none"), F.lit("_0a1b.JPG"))
     return table(spark, sf_dir, "pages").select("page_id", *messages.name_parts(name, ["trial", "part"]), messages.photo_id(url).alias("photo"), messages.padded(i * 50, 4, "S").alias("padded"))
 
