@@ -216,6 +216,38 @@ def test_regions(spark):
     assert rows(regions.areas(regions.union_of_runs(runs, ["scene"]).withColumn("region", F.lit(0))), "area", "width", "height") == [(100, 10, 10)]
 
 
+def test_many_regions_over_each_other(spark):
+    """Equal to looking at every region, with lines cut over batches; and no side of a join is broadcast, as estimates of
+    sizes don't know how many lines a region has."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 15, (300, 2))
+    boxes = [(f"s{k % 3}", k, f"l{k % 7}", int(rng.integers(-5, 60)), int(rng.integers(-5, 40)), int(w), int(h)) for k, (w, h) in enumerate(size)] + [("s3", 900, "a", 0, 0, 1, 1), ("s3", 901, "b", 1, 7, 1, 1)]
+    asked = [(n // 2, f"s{rng.integers(0, 5)}", int(rng.integers(-2, 90)), int(rng.integers(-2, 70))) for n in range(800)] + [(900, "s3", 8, 8), (901, "s3", 4, 4), (902, None, 4, 4), (903, "s0", None, 4)]
+    runs = regions.runs_of_box(spark.createDataFrame(boxes, "scene string, region int, label string, x int, y int, w int, h int"), "x", "y", "w", "h")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = regions.locate(spark.createDataFrame(asked, "k int, scene string, x int, y int"), runs, ["k"], "x", "y", 85, 65)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        got = rows(found.na.fill(-9), "k", "scene", "x", "y", "region", "label")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    def told(scene, x, y):
+        if x is None:
+            return -9, None
+        if not (0 <= x < 85 and 0 <= y < 65):
+            return -2, "outside"
+        near = [(max(u - x, x - (u + w - 1), 0) ** 2 + max(v - y, y - (v + h - 1), 0) ** 2, w * h, r, name) for s, r, name, u, v, w, h in boxes if s == scene]
+        best = min((n for n in near if n[0] <= 100), default=(0, 0, -1, "None"))
+        return best[2:]
+
+    want = [(k, s, -9 if x is None else x, y, *told(s, x, y)) for k, s, x, y in asked]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_grids_and_spectra(spark):
     import numpy as np
 

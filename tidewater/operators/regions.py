@@ -6,6 +6,11 @@ Regions are rows of pixels: a mask is a table of (scene, region, y, x0, x1) runs
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +47,74 @@ def union_of_runs(runs: DataFrame, by: list[str]) -> DataFrame:
     return part.groupBy(*by, "y", "__part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("__part")
 
 
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What shows of runs (scene, y, x0, x1, ...) that lie over each other. They come line by line, the ones on top first, so that
+    what shows of a line so far lies over all that is still to come: a batch and one line's pieces are held, whatever a line has."""
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+        if not (n := rows.num_rows):
+            continue
+        rows = rows.combine_chunks()
+        new = pc.or_(*[pc.not_equal(rows[c].slice(1), rows[c].slice(0, n - 1)) for c in rows.column_names[:2]]).to_numpy()
+        line = np.concatenate([[0], np.cumsum(new)]).astype(np.int64)
+        x0, x1 = (rows[c].to_numpy().astype(np.int64) for c in ("x0", "x1"))
+        least, span = x0.min(), x1.max() - x0.min() + 1
+        edges = np.unique(np.concatenate([line * span + x0 - least, line * span + x1 - least]))  # cells lie between edges
+        c0, c1 = (np.searchsorted(edges, line * span + x - least) for x in (x0, x1))
+        level = np.frexp(c1 - c0)[1] - 1  # a run is two stretches of 2^level cells, which may overlap
+        top = np.full(len(edges), n)
+        for k in range(level.max(), -1, -1):
+            if k < level.max():  # a stretch as two of half its length
+                half = top.copy()
+                np.minimum(half[1 << k :], top[: -(1 << k)], out=half[1 << k :])
+                top = half
+            some = np.flatnonzero(level == k)
+            np.minimum.at(top, c0[some], some)
+            np.minimum.at(top, c1[some] - (1 << k), some)
+        start = np.flatnonzero(np.diff(top, prepend=-1))
+        end = np.append(start[1:], len(edges) - 1)
+        start, end = start[top[start] < n], end[top[start] < n]
+        of = top[start]
+        out = rows.take(pa.array(of))
+        for c, at in (("x0", start), ("x1", end)):
+            k = out.schema.get_field_index(c)
+            out = out.set_column(k, out.schema.field(k), pa.array(edges[at] - line[of] * span + least).cast(out.schema.field(k).type))
+        done = int(np.searchsorted(line[of], line[-1]))
+        left = out.slice(done)
+        yield from out.slice(0, done).to_batches()
+    if left is not None:
+        yield from left.to_batches()
+
+
 def locate(points: DataFrame, runs: DataFrame, key: list[str], x: str, y: str, width: int, height: int, margin: int = 10, scene: str = "scene", region: str = "region", label: str = "label") -> DataFrame:
     """region and label of each point. Outside of the scene: (-2, 'outside'). In a region: that one, of several the one of
     the smallest area (ties: the smallest id). Else the region of the nearest pixel within ``margin`` (ties: the smallest
     area, then id). Else, and where a scene has no regions: (-1, 'None'). Null coordinates: null.
 
-    ``runs`` carry the region's ``label``. Points look up their own line first; only those without a hit look at lines
-    around, each joined by (scene, y).
+    ``runs`` carry the region's ``label``. Regions are laid over each other once, the smallest on top: what shows of them are pieces
+    that don't overlap, as many as a line has pixels at most, whatever the number of regions. Each pixel that points ask for is looked up once:
+    in the pieces of its line, and only those without a hit in the lines around, each joined by (scene, y). ``key`` is not needed
+    for that. No side of these joins is broadcast: an estimate of their sizes doesn't know of lines.
     """
     px, py = F.col(x).cast("int"), F.col(y).cast("int")
     there = F.col(x).isNotNull() & F.col(y).isNotNull()
     inside = (F.col(x) >= 0) & (F.col(y) >= 0) & (px < width) & (py < height)
-    sized = runs.join(areas(runs, scene, region).select(scene, region, "area"), [scene, region])
-    best = F.struct("__d", "area", F.col(region).alias("region"), F.col(label).alias("label"))
-    asked = points.where(there & inside).select(*key, scene, px.alias("__x"), py.alias("__y"))
-    hit = asked.join(sized.withColumnRenamed("y", "__y"), [scene, "__y"]).where(F.col("__x").between(F.col("x0"), F.col("x1") - 1)).withColumn("__d", F.lit(0.0))
-    hits = hit.groupBy(*key).agg(F.min(best).alias("__best"))
-    lines = asked.join(hits, key, "left_anti").withColumn("y", F.explode(F.sequence(F.col("__y") - margin, F.col("__y") + margin)))
-    dx = F.greatest(F.col("x0") - F.col("__x"), F.col("__x") - (F.col("x1") - 1), F.lit(0))
-    near = lines.join(sized, [scene, "y"]).withColumn("__d", F.hypot(dx, F.col("y") - F.col("__y"))).where(F.col("__d") <= margin)
-    found = hits.unionByName(near.groupBy(*key).agg(F.min(best).alias("__best")))
-    joined = points.join(found, key, "left")
+    order = [F.col(c) for c in (scene, "y", "__area", region, label)]
+    sized = runs.where((F.col("x0") < F.col("x1")) & F.col("y").isNotNull()).join(areas(runs, scene, region).select(scene, region, F.col("area").alias("__area")).hint("merge"), [scene, region]).select(scene, "y", "x0", "x1", "__area", region, label)
+    shown = sized.repartition(scene, "y").sortWithinPartitions(*order).mapInArrow(_painted, sized.schema).hint("merge")
+    pixel = [scene, "__x", "__y"]
+    placed = points.withColumns({"__x": F.when(there & inside, px), "__y": F.when(there & inside, py)})
+    asked = placed.where(F.col("__x").isNotNull()).select(*pixel).distinct().withColumn("y", F.col("__y"))
+    own = asked.join(shown, (asked[scene] == shown[scene]) & (asked["y"] == shown["y"]) & (F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")), "left")
+    around = F.when(F.col("__area").isNull(), F.sequence(F.col("__y") - margin, F.col("__y") + margin)).otherwise(F.array("__y"))
+    lines = own.select(*[asked[c] for c in pixel], F.explode(around).alias("y"))
+    dx, dy = F.greatest(F.col("x0") - F.col("__x"), F.col("__x") - (F.col("x1") - 1), F.lit(0)).cast("long"), (F.col("y") - F.col("__y")).cast("long")
+    near = lines.join(shown, [scene, "y"]).withColumn("__d", dx * dx + dy * dy).where(F.col("__d") <= margin * margin)
+    best = F.struct("__d", "__area", F.col(region).alias("region"), F.col(label).alias("label"))
+    joined = placed.join(near.groupBy(*pixel).agg(F.min(best).alias("__best")), pixel, "left")
     pick = lambda field, k: F.when(~there, None).when(~inside, F.lit(OUTSIDE[k])).otherwise(F.coalesce(F.col(f"__best.{field}"), F.lit(NOTHING[k])))
-    return joined.withColumns({"region": pick("region", 0), "label": pick("label", 1)}).drop("__best")
+    return joined.select(*points.columns, "__best").withColumns({"region": pick("region", 0), "label": pick("label", 1)}).drop("__best")
 
 
 def gaze_point(events: DataFrame, kind: str = "type") -> DataFrame:
