@@ -47,6 +47,43 @@ def test_silhouettes(spark):
     assert {r["silhouette"] for r in matrices.silhouettes(df.withColumn("c", F.lit(1)), ["id"], "x", "c").collect()} == {None}
 
 
+def test_silhouettes_of_several_clusterings(spark, monkeypatch):
+    """Distances are taken once for all clusterings, equal to each on its own, also over many tiles and blocks; what is sent of a
+    large group is bounded by the bytes of its tiles."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    data = [(i, i % 2, int(i % 3), f"c{i % 5 if i else 9}", x[i].tolist()) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, g int, a int, b string, x array<double>")
+    alone = {(r["id"], c): r["silhouette"] for c in "ab" for r in matrices.silhouettes(df, ["id"], "x", c, ["g"]).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    same = [j for j in range(1, 200, 2) if j % 3 == 2]
+    inner, outer = np.mean([d[5, j] for j in same if j != 5]), min(np.mean([d[5, j] for j in range(1, 200, 2) if j % 3 == k]) for k in (0, 1))
+    assert alone[5, "a"] == pytest.approx((outer - inner) / max(inner, outer)) and alone[0, "b"] == 0
+    for tile in (7, 1000):
+        got = {(r["id"], r["clustering"]): r["silhouette"] for r in matrices.silhouettes_of_each(df, ["id"], "x", ["a", "b"], ["g"], tile).collect()}
+        assert got == pytest.approx(alone, abs=1e-9)
+    many = spark.range(40_000).select(F.col("id").alias("__id"), F.array(F.col("id").cast("double")).alias("__x"), *[(F.col("id") % k).alias(f"k{k}") for k in (2, 4, 8)])
+    assert matrices._dealt(many, ["k2", "k4", "k8"], [], matrices.TILE).count() == 40_000 * 8  # 40,000 * 40 * 3 in tiles of 1,024 rows for each clustering
+    monkeypatch.setattr(matrices, "TILE_BYTES", 8 * 15 * 2000)
+    assert matrices._dealt(many, ["k2", "k4", "k8"], [], matrices.TILE).count() / 40_000 in range(18, 23)  # the number of clusters is an estimate
+
+
+def test_choice_of_clusters_by_each_row(spark):
+    """Held-out silhouettes against plain ones, with several splits and numbers of clusters at once."""
+    from tidewater.operators import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 2)) * 0.3 + np.array([[0, 0], [6, 0], [0, 6]])[np.arange(120) % 3]
+    df = spark.createDataFrame([(i, i // 3 % 2, x[i].tolist()) for i in range(120)], "id int, split int, x array<double>")
+    got = {r["k"]: (r["silhouette"], r["best"]) for r in models.select_clusters(df, "x", "split", ["id"], [2, 3]).collect()}
+    value = []
+    for i in range(120):
+        near = [[np.linalg.norm(x[i] - x[j]) for j in range(120) if j != i and j // 3 % 2 == i // 3 % 2 and j % 3 == k] for k in range(3)]
+        a, b = np.mean(near[i % 3]), min(np.mean(near[k]) for k in range(3) if k != i % 3)
+        value.append((b - a) / max(a, b))
+    assert got[3] == (pytest.approx(np.median(value)), True) and not got[2][1] and got[2][0] < got[3][0]
+
+
 def test_mixed_model(spark):
     """Groups of unequal sizes: estimates equal those of the likelihood of the whole covariance."""
     rng = np.random.default_rng(1)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from . import aggregates, matrices, vectors
 from .quantiles import exact_quantiles
 
@@ -177,14 +178,16 @@ def select_clusters(df: DataFrame, x: str, split: str, key: list[str], ks: list[
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(*key, split, F.col(x).cast("array<double>").alias("__a")).withColumn("__x", array_to_vector("__a"))
-    out = None
+    out, names = None, {f"__c{k}": k for k in ks}
     for s in sorted(r[0] for r in rows.select(split).distinct().collect()):  # splits: a few
-        for k in ks:
-            centres = KMeans(featuresCol="__x", k=k, seed=seed).fit(rows.where(F.col(split) != s)).clusterCenters()
-            inside = rows.where(F.col(split) == s).select(*key, split, "__a", F.lit(k).alias("k"), nearest_centre(F.col("__a"), centres).alias("__c"))
-            out = inside if out is None else out.unionByName(inside)
-    told = matrices.silhouettes(out, key, "__a", "__c", [split, "k"])
-    middle = exact_quantiles(told.groupBy(*key, "k").agg(F.avg("silhouette").alias("__s")), "__s", [0.5], ["k"])
+        outside = rows.where(F.col(split) != s)
+        centres = {name: KMeans(featuresCol="__x", k=k, seed=seed).fit(outside).clusterCenters() for name, k in names.items()}
+        inside = rows.where(F.col(split) == s).select(*key, split, "__a", *[nearest_centre(F.col("__a"), c).alias(name) for name, c in centres.items()])
+        out = inside if out is None else out.unionByName(inside)
+    told = matrices.silhouettes_of_each(out, key, "__a", list(names), [split])
+    path = shared.folder(df.sparkSession, "silhouettes")  # all pairs: taken once, then read again and again
+    told.groupBy(*key, F.substring("clustering", 4, 10).cast("int").alias("k")).agg(F.avg("silhouette").alias("__s")).write.parquet(path)
+    middle = exact_quantiles(df.sparkSession.read.parquet(path), "__s", [0.5], ["k"])
     each = middle.select("k", F.col("__q")[0].alias("silhouette"))
     best = each.agg(F.max(F.struct("silhouette", (-F.col("k")).alias("k"))).alias("__b")).select((-F.col("__b.k")).alias("__k"))
     return each.crossJoin(F.broadcast(best)).select("k", "silhouette", (F.col("k") == F.col("__k")).alias("best"))
