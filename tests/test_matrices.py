@@ -1,5 +1,7 @@
 """Nulls, ceilings, silhouettes and mixed models against plain restatements."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,8 @@ def test_silhouettes_of_several_clusterings(spark, monkeypatch):
     for tile in (7, 1000):
         got = {(r["id"], r["clustering"]): r["silhouette"] for r in matrices.silhouettes_of_each(df, ["id"], "x", ["a", "b"], ["g"], tile).collect()}
         assert got == pytest.approx(alone, abs=1e-9)
+    plan = matrices.silhouettes_of_each(df, ["id"], "x", ["a", "b"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(g#\w+, low#\w+, high#\w+", plan)  # not a group in one task
     many = spark.range(40_000).select(F.col("id").alias("__id"), F.array(F.col("id").cast("double")).alias("__x"), *[(F.col("id") % k).alias(f"k{k}") for k in (2, 4, 8)])
     assert matrices._dealt(many, ["k2", "k4", "k8"], [], matrices.TILE).count() == 40_000 * 8  # 40,000 * 40 * 3 in tiles of 1,024 rows for each clustering
     monkeypatch.setattr(matrices, "TILE_BYTES", 8 * 15 * 2000)

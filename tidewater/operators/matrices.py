@@ -116,7 +116,7 @@ def _distance_sums(rows: pa.Table) -> pa.Table:
         is_in[n_of, at[:, q]] = 1
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     sides = [np.flatnonzero(i == low), np.flatnonzero(i == high)]
-    squares, one = (points**2).sum(1)[:, None], np.ones((len(ids), 1))
+    squares, one = np.einsum("ij,ij->i", points, points)[:, None], np.ones((len(ids), 1))
     blocks = [[s[k : k + BLOCK] for k in range(0, len(s), BLOCK)] for s in sides]
     to = [np.hstack([points[b], one[b], squares[b]]) for b in blocks[1]]
     total, n = np.zeros(is_in.shape), np.zeros(is_in.shape, np.int64)
@@ -154,7 +154,8 @@ def _dealt(named: DataFrame, clusters: list[str], by: list[str], tile: int) -> D
 
 def _silhouettes(named: DataFrame, clusters: list[str], by: list[str], tile: int) -> DataFrame:
     """__id, __q, silhouette of rows of ``by``, __id and __x, in each clustering (``clusters[__q]``)."""
-    sums = _dealt(named, clusters, by, tile).groupBy("g", "low", "high").applyInArrow(_distance_sums, "id long, q array<int>, c array<long>, own array<boolean>, s array<double>, n array<long>")
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is neither put together (few bytes take long here) nor replaced by the groups' own parts
+    sums = _dealt(named, clusters, by, tile).repartition(parts, "g", "low", "high").groupBy("g", "low", "high").applyInArrow(_distance_sums, "id long, q array<int>, c array<long>, own array<boolean>, s array<double>, n array<long>")
     long = sums.repartition("id").select("id", F.explode(F.arrays_zip("q", "c", "own", "s", "n")).alias("e")).select("id", "e.*")
     each = long.groupBy("id", "q", "c").agg(F.max("own").alias("own"), F.sum("s").alias("s"), F.sum("n").alias("n"))
     mean = F.col("s") / F.nullif(F.col("n") - F.col("own").cast("int"), F.lit(0))  # a row is no neighbour of its own
