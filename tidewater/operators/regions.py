@@ -92,7 +92,7 @@ def locate(points: DataFrame, runs: DataFrame, key: list[str], x: str, y: str, w
     the smallest area (ties: the smallest id). Else the region of the nearest pixel within ``margin`` (ties: the smallest
     area, then id). Else, and where a scene has no regions: (-1, 'None'). Null coordinates: null.
 
-    ``runs`` carry the region's ``label``. Regions are laid over each other once, the smallest on top: what shows of them are pieces
+    ``runs`` carry the region's ``label``. Regions are laid over each other, the smallest on top: what shows of them are pieces
     that don't overlap, as many as a line has pixels at most, whatever the number of regions. Each pixel that points ask for is looked up once:
     in the pieces of its line, and only those without a hit in the lines around, each joined by (scene, y). ``key`` is not needed
     for that. No side of these joins is broadcast: an estimate of their sizes doesn't know of lines.
